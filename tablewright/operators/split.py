@@ -23,10 +23,10 @@ def with_split(df: DataFrame, key: Sequence[str] | str, percentage: float = 30,
 def exact_split(df: DataFrame, key: Sequence[str] | str, percentage: float = 30, seed: int = 42) -> DataFrame:
     """Exactly ``ceil(n * p)`` test rows: those with the smallest key hashes.
 
-    The cut-off hash is found by rank selection instead of a global sort. Rows
-    that share the cut-off hash fall on the test side together.
+    The cut-off hash is found by rank selection instead of a global sort. Of the
+    hash 52 bits are used, so that distinct keys practically never share it.
     """
-    fraction = hash_fraction(key, seed)
+    fraction = hash_fraction(key, seed, digits=13)
     found = select_ranks(
         df, {"h": fraction}, lambda n: (max(0, math.ceil(n * percentage / 100.0) - 1),) * 2
     )["h"]
