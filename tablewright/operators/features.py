@@ -157,12 +157,13 @@ def one_hot_columns(df: DataFrame, column: str, categories: Sequence[str] | None
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *flags)
 
 
-def quick_features(df: DataFrame, target: str | None = None) -> DataFrame:
+def quick_features(df: DataFrame, target: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Every feature as double: texts label-encoded, the rest mean-imputed; target as ``label``.
 
-    A text target is label-encoded, any other target is cast to double.
+    A text target is label-encoded, any other target is cast to double; the
+    columns in ``keep`` pass through.
     """
-    features = [c for c in df.columns if c != target]
+    features = [c for c in df.columns if c != target and c not in keep]
     is_text = lambda c: isinstance(df.schema[c].dataType, T.StringType)
     texts = [c for c in features if is_text(c)]
     numbers = [c for c in features if not is_text(c)]
