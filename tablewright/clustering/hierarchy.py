@@ -11,6 +11,7 @@ from tablewright.clustering.centres import assign
 from tablewright.clustering.density import dbscan
 from tablewright.functions.blocks import distances, matrix
 from tablewright.functions.vectors import as_array
+from tablewright.operators.proximity import grid_key
 from tablewright.runtime import bounded_count, cut
 
 # Most summaries the driver merges: their distances take 32 MB.
@@ -121,7 +122,7 @@ def birch(df: DataFrame, id_column: str, features, threshold: float = 0.5, n_clu
     width = len(rows.first().x)
     side = 2 * threshold / width**0.5
     while True:
-        cell = F.transform("x", lambda v, s=side: F.floor(v / F.lit(s)))
+        cell = grid_key(F.col("x"), side, list(range(width)))
         cells = cut(rows.groupBy(cell.alias("cell")).agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[j]) for j in range(width)]).alias("x")), "cells")
         if bounded_count(cells, summaries) <= summaries:

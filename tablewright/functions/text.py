@@ -24,7 +24,9 @@ def json_object(text: Column, schema: str | T.StructType, required: Sequence[str
     """Parsed object; null when there is none, it is malformed, or a key is missing."""
     body = json_object_text(text)
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys(F.when(F.try_parse_json(body).isNotNull(), body))
+    # The JSON functions stop after the first value; as a one-element array all of it must parse.
+    whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    keys = F.json_object_keys(F.when(whole, body))
     present = F.lit(True)
     for key in required:
         present = present & F.coalesce(F.array_contains(keys, key), F.lit(False))

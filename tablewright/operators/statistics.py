@@ -112,69 +112,85 @@ def select_ranks(
 ) -> dict[str, tuple[float, float] | None]:
     """Exact values at two ranks (0-based, in ascending order) of each double column.
 
-    Every round brackets the wanted ranks with approximate percentiles and counts
-    what lies below and inside; the rows inside shrink by ``accuracy / 4`` a round
-    and nothing is shuffled. A bracket small enough is sorted in one buffer.
+    Every round brackets each wanted rank with two approximate percentiles and
+    counts what lies on either side. Both edges are values of the column, so either
+    one of them is the answer or the bracket loses them and everything outside: it
+    shrinks by about ``accuracy / 4`` a round, and nothing is shuffled. A bracket
+    small enough is sorted in one buffer.
     """
     counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
-    names = list(columns)
-    results: dict[str, tuple[float, float] | None] = {}
-    open_: dict[str, dict] = {}
-    for i, name in enumerate(names):
-        n = counted[i]
-        if n == 0:
-            results[name] = None
-            continue
-        low, high = ranks(n)
-        open_[name] = {"ranks": (low, high), "lo": None, "hi": None, "below": 0, "inside": n, "acc": accuracy}
-
-    def bracketed(name: str) -> Column:
-        state, column = open_[name], columns[name]
-        if state["lo"] is None:
-            return column
-        return F.when((column >= F.lit(state["lo"])) & (column <= F.lit(state["hi"])), column)
+    results: dict[tuple[str, int], float] = {}
+    wanted: dict[str, tuple[int, int]] = {}
+    open_: dict[tuple[str, int], _Bracket] = {}
+    for name, n in zip(columns, counted):
+        if n:
+            wanted[name] = ranks(n)
+            open_.update({(name, rank): _Bracket(None, None, 0, n) for rank in wanted[name]})
 
     while open_:
-        ready = [n for n, s in open_.items() if s["inside"] <= sort_rows]
+        ready = {key: b for key, b in open_.items() if b.inside <= sort_rows}
         if ready:
-            picks = []
-            for name in ready:
-                s = open_[name]
-                ordered = F.sort_array(F.collect_list(bracketed(name)))
-                picks += [F.element_at(ordered, s["ranks"][0] - s["below"] + 1),
-                          F.element_at(ordered, s["ranks"][1] - s["below"] + 1)]
-            row = df.agg(*[p.alias(f"v{i}") for i, p in enumerate(picks)]).first()
-            for i, name in enumerate(ready):
-                results[name] = (row[2 * i], row[2 * i + 1])
-                del open_[name]
+            results.update(_sorted_picks(df, columns, ready))
+            for key in ready:
+                del open_[key]
             continue
-        names_open = list(open_)
+        margin, keys = 2.0 / accuracy, list(open_)
         cuts = []
-        for name in names_open:
-            s = open_[name]
-            margin = 2.0 / s["acc"]
-            low = max(0.0, (s["ranks"][0] - s["below"]) / s["inside"] - margin)
-            high = min(1.0, (s["ranks"][1] - s["below"] + 1) / s["inside"] + margin)
-            cuts.append(F.percentile_approx(bracketed(name), [low, high], s["acc"]))
+        for name, rank in keys:
+            b = open_[name, rank]
+            low = max(0.0, (rank - b.below) / b.inside - margin)
+            high = min(1.0, (rank - b.below + 1) / b.inside + margin)
+            cuts.append(F.percentile_approx(b.of(columns[name]), [low, high], accuracy))
         edges = df.agg(*[c.alias(f"e{i}") for i, c in enumerate(cuts)]).first()
         tallies = []
-        for i, name in enumerate(names_open):
-            lo, hi = edges[i]
-            column = columns[name]
-            tallies += [F.count_if(column < F.lit(lo)), F.count_if((column >= F.lit(lo)) & (column <= F.lit(hi)))]
+        for (name, _), (lo, hi) in zip(keys, edges):
+            c = columns[name]
+            tallies += [F.count_if(c < F.lit(lo)), F.count_if(c <= F.lit(lo)), F.count_if(c < F.lit(hi)), F.count_if(c <= F.lit(hi))]
         tally = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first()
-        for i, name in enumerate(names_open):
-            s, (lo, hi) = open_[name], edges[i]
-            below, inside = tally[2 * i], tally[2 * i + 1]
-            first, last = s["ranks"]
-            if not below <= first <= last < below + inside or (inside == s["inside"] and lo < hi):
-                s["acc"] = s["acc"] * 10  # too coarse here: sharpen and look again
-            elif lo == hi:
-                results[name] = (lo, lo)
-                del open_[name]
+        for i, key in enumerate(keys):
+            (lo, hi), rank, b = edges[i], key[1], open_[key]
+            lt_lo, le_lo, lt_hi, le_hi = tally[4 * i:4 * i + 4]
+            if lt_lo <= rank < le_lo or lt_hi <= rank < le_hi:
+                results[key] = lo if rank < le_lo else hi
+                del open_[key]
+            elif rank < lt_lo:
+                open_[key] = _Bracket(b.lo, lo, b.below, lt_lo - b.below)
+            elif rank >= le_hi:
+                open_[key] = _Bracket(hi, b.hi, le_hi, b.below + b.inside - le_hi)
             else:
-                s.update(lo=lo, hi=hi, below=below, inside=inside)
-    return results
+                open_[key] = _Bracket(lo, hi, le_lo, lt_hi - le_lo)
+    return {
+        name: (results[name, wanted[name][0]], results[name, wanted[name][1]]) if name in wanted else None
+        for name in columns
+    }
+
+
+class _Bracket(NamedTuple):
+    """Values strictly between ``lo`` and ``hi``: how many lie below it and inside it."""
+
+    lo: float | None
+    hi: float | None
+    below: int
+    inside: int
+
+    def of(self, column: Column) -> Column:
+        inside = F.lit(True)
+        if self.lo is not None:
+            inside = inside & (column > F.lit(self.lo))
+        if self.hi is not None:
+            inside = inside & (column < F.lit(self.hi))
+        return column if self.lo is None and self.hi is None else F.when(inside, column)
+
+
+def _sorted_picks(df: DataFrame, columns: Mapping[str, Column], ready: dict) -> dict:
+    """Wanted values of small brackets; ranks that share a bracket share its sort."""
+    brackets = list(dict.fromkeys((name, b) for (name, _), b in ready.items()))
+    arrays = df.agg(*[F.sort_array(F.collect_list(b.of(columns[name]))).alias(f"a{i}") for i, (name, b) in enumerate(brackets)])
+    picks = arrays.select(*[
+        F.element_at(F.col(f"a{brackets.index((name, b))}"), rank - b.below + 1).alias(f"v{i}")
+        for i, ((name, rank), b) in enumerate(ready.items())
+    ]).first()
+    return dict(zip(ready, picks))
 
 
 def medians(df: DataFrame, columns: Sequence[str], **how) -> dict[str, float | None]:
