@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.vectors import as_array, dot, minkowski
 from tablewright.operators.components import connected_components
+from tablewright.operators.lookup import lookup
 from tablewright.operators.ordering import with_position
 from tablewright.operators.proximity import around, widest
 from tablewright.runtime import cut
@@ -101,9 +102,10 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
     border = reach.join(core_labels.select(F.col("cid").alias("b"), F.col("x").alias("y"), "cluster"), "b").where(
         minkowski(F.col("x"), F.col("y"), power) <= eps).groupBy("pid").agg(F.min("cluster").alias("cluster"))
     labels = core_labels.select("pid", "cluster").union(border)
-    by_point = marked.select("pid", "x", "core").join(labels, "pid", "left").select(
-        "x", "core", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
-    return given.join(by_point, "x").select(F.col("id").alias(id_column), "cluster", "core")
+    outcome = F.struct(F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), "core").alias("outcome")
+    by_point = cut(marked.select("pid", "x", "w", "core").join(labels, "pid", "left").select("x", F.col("w").alias("n"), outcome), "outcome")
+    found = lookup(given, by_point, "x", "x", "outcome")
+    return found.select(F.col("id").alias(id_column), "outcome.cluster", "outcome.core")
 
 
 def _near_cells(cells: DataFrame, width: int, side: float, eps: float, p: float) -> DataFrame:

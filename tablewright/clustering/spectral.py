@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.blocks import distances, matrix, row_slices, smallest
 from tablewright.functions.vectors import as_array
+from tablewright.operators.lookup import lookup
 from tablewright.runtime import bounded_count, cut
 
 # Up to this many distinct points the whole affinity matrix is decomposed (32 MB).
@@ -67,8 +68,8 @@ def spectral(df: DataFrame, id_column: str, features, n_clusters: int = 8, n_com
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=100, weightCol="w").fit(ready)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
-    labels = best.transform(ready).select("x", F.col("prediction").cast("long").alias("cluster"))
-    return given.join(labels, "x").select(F.col("id").alias(id_column), "cluster")
+    labels = best.transform(ready).select("x", F.col("w").alias("n"), F.col("prediction").cast("long").alias("cluster"))
+    return lookup(given, labels, "x", "x", "cluster").select(F.col("id").alias(id_column), "cluster")
 
 
 def _embed_landmarks(points: DataFrame, k: int, gamma: float, affinity: str, seed: int, landmarks: int) -> DataFrame:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.vectors import as_array, constant, dot, total
 from tablewright.learners.base import TableModel
 
 
-def _class_sums(df: DataFrame, values: Column, label: str, *extra) -> list:
-    """Per class: rows n and for each feature the requested aggregates."""
-    rows = df.select(F.col(label).cast("double").alias("c"), values.alias("x"))
-    width = len(rows.first().x)
-    aggs = [how(F.col("x")[j]).alias(f"{tag}{j}") for tag, how in extra for j in range(width)]
-    found = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy("c").collect()  # one row per class
-    return [(r.c, r.n, *[[r[f"{tag}{j}"] for j in range(width)] for tag, _ in extra]) for r in found]
+def _class_sums(df: DataFrame, values: Column, label: str, *wanted: str) -> list:
+    """Per class: its label, row count, and the wanted vector summaries (sum, mean, variance)."""
+    rows = df.select(F.col(label).cast("double").alias("c"), array_to_vector(values).alias("v"))
+    summary = Summarizer.metrics(*wanted).summary(F.col("v")).alias("s")
+    found = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), summary).orderBy("c").collect()  # one row per class
+    return [(r.c, r.n, *[[float(x) for x in r.s[w]] for w in wanted]) for r in found]
 
 
 def _priors(counts: list[int], hyper: dict, key: str = "class_prior") -> list[float]:
@@ -82,9 +83,10 @@ class BayesModel(TableModel):
 def gaussian(df: DataFrame, hyper: dict, label: str = "label"):
     smoothing = float(hyper.pop("var_smoothing", 1e-9))
     x = as_array(df, "features")
-    per = _class_sums(df, x, label, ("m", F.avg), ("v", F.var_pop))
-    width = len(per[0][2])
-    n = sum(p[1] for p in per)
+    per = _class_sums(df, x, label, "mean", "variance")
+    # the summaries hold sample variances
+    per = [(c, n, mean, [v * (n - 1) / n for v in var]) for c, n, mean, var in per]
+    width, n = len(per[0][2]), sum(p[1] for p in per)
     overall = []
     for j in range(width):
         mean = sum(p[1] * p[2][j] for p in per) / n
@@ -100,7 +102,7 @@ def gaussian(df: DataFrame, hyper: dict, label: str = "label"):
 
 def multinomial(df: DataFrame, hyper: dict, label: str = "label"):
     alpha = _alpha(hyper)
-    per = _class_sums(df, as_array(df, "features"), label, ("s", F.sum))
+    per = _class_sums(df, as_array(df, "features"), label, "sum")
     priors = _priors([p[1] for p in per], hyper)
     tables = []
     for prior, (_, _, sums) in zip(priors, per):
@@ -112,7 +114,7 @@ def multinomial(df: DataFrame, hyper: dict, label: str = "label"):
 def complement(df: DataFrame, hyper: dict, label: str = "label"):
     """Weights from the other classes' counts; the prior matters only with a single class."""
     alpha, norm = _alpha(hyper), hyper.pop("norm", False)
-    per = _class_sums(df, as_array(df, "features"), label, ("s", F.sum))
+    per = _class_sums(df, as_array(df, "features"), label, "sum")
     priors = _priors([p[1] for p in per], hyper)
     every = [sum(p[2][j] for p in per) for j in range(len(per[0][2]))]
     tables = []
@@ -129,7 +131,7 @@ def bernoulli(df: DataFrame, hyper: dict, label: str = "label"):
     x = as_array(df, "features")
     if threshold is not None:
         x = F.transform(x, lambda v: F.when(v > F.lit(float(threshold)), F.lit(1.0)).otherwise(F.lit(0.0)))
-    per = _class_sums(df, x, label, ("s", F.sum))
+    per = _class_sums(df, x, label, "sum")
     priors = _priors([p[1] for p in per], hyper)
     tables = []
     for prior, (_, n, sums) in zip(priors, per):
@@ -148,7 +150,9 @@ def categorical(df: DataFrame, hyper: dict, label: str = "label"):
     classes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect()}
     codes = rows.select("c", F.posexplode("x").alias("j", "v"))
     counts = codes.groupBy("c", "j", F.col("v").cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = [max([r.v for r in counts if r.j == j], default=-1) + 1 for j in range(width)]
+    sizes = [0] * width
+    for r in counts:
+        sizes[r.j] = max(sizes[r.j], r.v + 1)
     if least is not None:
         each = least if isinstance(least, (list, tuple)) else [least] * width
         sizes = [max(s, e) for s, e in zip(sizes, each)]

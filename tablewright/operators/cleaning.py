@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.functions import casts
 from tablewright.functions.hashing import hash_fraction
 from tablewright.operators import statistics
+from tablewright.operators.lookup import lookup
 from tablewright.operators.statistics import cell
+from tablewright.runtime import cut
 from tablewright.spec import DatasetSpec, is_declared_type
 
 
@@ -237,12 +239,13 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) ->
 
     Each row is kept ``floor(f)`` times, and once more when its hash falls below
     the rest of ``f = largest / own``. Rows are copied where they lie; only the
-    per-class counts travel.
+    per-class counts travel. A row without a class is kept as it is.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    factors = counts.select(F.col(label).alias("_class"), (F.lit(float(largest)) / F.col("_n")).alias("_f"))
-    joined = df.join(factors, F.col(label).eqNullSafe(F.col("_class")), "left")
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
+    factors = cut(counts, "classes")
+    largest = float(factors.agg(F.max("n")).first()[0] or 0)
+    joined = lookup(df, factors.withColumn("_f", F.lit(largest) / F.col("n")), label, "_class", "_f")
+    joined = joined.withColumn("_f", F.coalesce("_f", F.lit(1.0)))
     extra = hash_fraction(key, seed) < F.col("_f") - F.floor("_f")
     copies = (F.floor("_f") + extra.cast("long")).cast("int")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_class", "_f")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_f")

@@ -124,7 +124,7 @@ def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if bounded_count(counts, BROADCAST_ROWS) <= BROADCAST_ROWS:
         rank = F.row_number().over(Window.partitionBy("col").orderBy("value")) - 1
         return counts.withColumn("code", rank.cast("double"))
-    placed = with_position(counts, ["col", "value"])
+    placed = with_position(counts, ["col", "value"], small=0)
     first = placed.groupBy("col").agg(F.min("position").alias("_first"))  # one row per column
     return placed.join(F.broadcast(first), "col").select(
         "col", "value", "n", (F.col("position") - F.col("_first")).cast("double").alias("code")

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.runtime import BROADCAST_ROWS, bounded_count
+from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut
 
 SALTS = 64
-# Values held by more than this share of the rows are looked up without a shuffle.
+# A value held by more than this share of the rows is looked up without a shuffle.
 HOT_SHARE = 1 / 2000
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, small: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join ``table`` (unique ``key`` -> ``value``, optional count ``n``) to column ``on``.
+    """Left join ``table`` (unique ``key`` -> ``value``, optional row count ``n``) to column ``on``.
 
-    A table of checked size is broadcast. Beyond that the few values frequent
-    enough to overload a task (at most 1/HOT_SHARE of them) are broadcast, their
-    rows spread over salts, and everything else meets in one shuffle.
+    A table of checked size is broadcast; a larger one is joined by ``spread_lookup``.
     """
     if bounded_count(table, small) <= small:
         return df.join(
@@ -25,20 +23,23 @@ def lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, small
         ).drop("_k")
     if "n" not in table.columns:
         counts = df.where(F.col(on).isNotNull()).groupBy(F.col(on).alias(key)).agg(F.count(F.lit(1)).alias("n"))
-        table = table.join(counts, key)
-    rows = table.agg(F.sum("n")).first()[0]
-    hot = table.where(F.col("n") > F.lit(rows * HOT_SHARE)).select(
-        F.col(key).alias("_hk"), F.col(value).alias("_hv")
-    )
-    cold = table.where(F.col("n") <= F.lit(rows * HOT_SHARE)).select(
-        F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(0).alias("_s")
-    )
+        table = cut(table.join(counts, key), "counted")
+    return spread_lookup(df, table, on, key, value, table.agg(F.sum("n")).first()[0])
+
+
+def spread_lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, rows: int) -> DataFrame:
+    """Left join on a key some values of which may hold a large share of the ``rows``.
+
+    The values with more than ``HOT_SHARE`` of the rows, at most 1 / HOT_SHARE of
+    them, are broadcast. Their rows then carry a salt that matches nothing, so they
+    spread over the shuffle in which everything else meets.
+    """
+    frequent = F.col("n") > F.lit(rows * HOT_SHARE)
+    hot = table.where(frequent).select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))
+    cold = table.where(~frequent).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(0).alias("_s"))
     first = df.join(F.broadcast(hot), F.col(on) == F.col("_hk"), "left")
     done = F.col("_hk").isNotNull() | F.col(on).isNull()
-    # Finished rows match nothing on salt 1.. and spread evenly over the shuffle.
-    salted = first.withColumn(
-        "_salt", F.when(done, F.pmod(F.xxhash64(*df.columns[:8]), F.lit(SALTS)).cast("int") + 1).otherwise(F.lit(0))
-    )
-    text = F.coalesce(F.col(on), F.lit(""))
-    joined = salted.join(cold, (text == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
+    anywhere = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns[:8]]), F.lit(SALTS)).cast("int") + 1
+    salted = first.withColumn("_salt", F.when(done, anywhere).otherwise(F.lit(0)))
+    joined = salted.join(cold, (F.col(on) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     return joined.withColumn(value, F.coalesce("_hv", "_v")).drop("_hk", "_hv", "_salt", "_k", "_v", "_s")

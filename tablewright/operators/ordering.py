@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.runtime import cut
+from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut
 
 _WITHIN = (1 << 33) - 1
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: Sequence[str], name: str = "position", small: int = BROADCAST_ROWS) -> DataFrame:
     """Add each row's 0-based place in the order of unique columns ``order``.
 
     Rows are range-partitioned and sorted within partitions; only one row count
-    per partition reaches the driver.
+    per partition reaches the driver. A table of at most ``small`` rows is
+    numbered by one window.
     """
+    if bounded_count(df, small) <= small:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     stamped = cut(
         ordered.withColumn("_part", F.spark_partition_id())

@@ -8,6 +8,7 @@ from tablewright.catalogue.inputs import lines
 from tablewright.learners.catalogue import train
 from tablewright.plans.clean import clean
 from tablewright.plans.features import build_features
+from tablewright.runtime import cut
 from tablewright.spec import DatasetSpec
 
 SPEC = DatasetSpec(
@@ -22,7 +23,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inject gaps, clean, build features, split, fit a linear model, report its scores."""
     raw = lines(spark, sf_dir).selectExpr(
         "k", "case when hash(k) % 7 = 0 then null else cast(qty as string) end as qty", "disc", "tax", "flag", "y")
-    train_df, test_df, _ = build_features(clean(raw, SPEC), FEATURE_SPEC)
-    fitted = train("linear_regression", train_df.select("features", "label"), test_df.select("features", "label"))
+    ready = cut(clean(raw, SPEC), "clean")
+    train_df, test_df, _ = build_features(ready, FEATURE_SPEC)
+    sides = [cut(side.select("features", "label"), "side") for side in (train_df, test_df)]
+    fitted = train("linear_regression", *sides)
     rows = [(name, float(value)) for name, value in sorted(fitted.metrics.items())]
     return spark.createDataFrame(rows, "metric string, value double")

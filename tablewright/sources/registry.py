@@ -7,6 +7,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.learners.base import save_model
+from tablewright.operators.lookup import lookup
 
 REGISTRY_SCHEMA = (
     "model_id string, dataset_id string, model_name string, train_time double, metrics map<string,double>, "
@@ -66,5 +67,6 @@ def array_pull(values: Column, value: Column) -> Column:
 def dataset_names(owners: DataFrame, ids: str, datasets: DataFrame, key: str, name: str, missing: str = "Unknown Dataset") -> DataFrame:
     """One row per id in each owner's list with the dataset's name."""
     each = owners.withColumn(key, F.explode(ids)).drop(ids)
-    joined = each.join(datasets.select(key, F.col(name).alias("dataset_name")), key, "left")
+    names = datasets.select(key, F.col(name).alias("dataset_name"))
+    joined = lookup(each, names, key, key, "dataset_name")
     return joined.withColumn("dataset_name", F.coalesce("dataset_name", F.lit(missing)))

@@ -198,9 +198,10 @@ def test_versions(spark, tmp_path):
 
 # ---- positions, lookups, components ---------------------------------------
 
-def test_positions(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_positions(spark, small):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
-    assert all(r.v == r.position for r in with_position(df, ["v"]).collect())
+    assert all(r.v == r.position for r in with_position(df, ["v"], small=small).collect())
 
 
 def test_lookup_beyond_broadcast(spark):
@@ -213,7 +214,8 @@ def test_lookup_beyond_broadcast(spark):
     assert large.where("t is not null and (val is null or val <> concat('=', t))").isEmpty()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub_edges,small", [(10, 0), (1_000_000, 0), (1_000_000, 100_000)])
+def test_components(spark, hub_edges, small):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(200, 400)] + [(500, int(v)) for v in range(501, 560)] + [
         (int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))]
@@ -229,7 +231,7 @@ def test_components(spark):
         ra, rb = root(a), root(b)
         parent[max(ra, rb)] = min(ra, rb)
     linked = {v for a, b in edges if a != b for v in (a, b)}
-    got = {r.node: r.component for r in connected_components(frame(spark, edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(frame(spark, edges, "a long, b long"), hub_edges=hub_edges, small=small).collect()}
     assert got == {v: root(v) for v in linked}
 
 
