@@ -11,6 +11,7 @@ from tablewright.operators import metrics
 from tablewright.operators.split import is_test
 from tablewright.plans.flagship import flagship
 from tablewright.plans.train import train_job
+from tablewright.runtime import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,7 +33,9 @@ def sides(spark, sf, label, *features):
     """(train, test) of lineitem with k, features, label; features are SQL expressions."""
     df = lines(spark, sf).selectExpr("k", f"cast({label} as double) as label", *[f"cast({e} as double) as f{i}" for i, e in enumerate(features)])
     ready = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(df)
-    return ready.where(~is_test("k")).select("k", "features", "label"), ready.where(is_test("k")).select("k", "features", "label")
+    # written once: fitting reads its side many times
+    marked = cut(ready.select("k", "features", "label", is_test("k").alias("test")), "sides")
+    return marked.where("not test").drop("test"), marked.where("test").drop("test")
 
 
 def scores(spark, trained):

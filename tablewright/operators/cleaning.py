@@ -163,45 +163,46 @@ def handle_nulls(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
     All fills come from the table before any row is dropped. Columns of a type
     that is never filled (date, bool, uint, complex, object) lose their null rows.
+    One aggregation finds the empty columns, the means and the counts the medians
+    start from; the result is one filter and one projection.
     """
-    df = drop_unnamed(drop_null_columns(df))
+    df = drop_unnamed(df)
     declared = spec.declared(df)
+    method = spec.fill_method()
+    numeric = [c for c, t in declared.items() if t in ("int", "float")]
+    averaged = numeric if method == "mean" else []
+    facts = df.agg(
+        *[F.count(cell(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
+        *[F.avg(cell(df, c).cast("double")).alias(f"m{i}") for i, c in enumerate(averaged)],
+    ).first()
+    counts = {c: facts[f"n{i}"] for i, c in enumerate(df.columns)}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c]])
     if not spec.types:
         return df
-    of = lambda *kinds: [c for c, t in declared.items() if t in kinds]
-    numeric, strings = of("int", "float"), of("str")
-    frequent = of("category", "date_time", "time", "timedelta")
+    present = lambda columns: [c for c in columns if counts[c]]
+    of = lambda *kinds: present(c for c, t in declared.items() if t in kinds)
+    strings, frequent = of("str"), of("category", "date_time", "time", "timedelta")
     texts_with_mode = strings if spec.fill_string_type_columns else []
-    method = spec.fill_method()
 
-    mode_columns = frequent + texts_with_mode + (numeric if method == "mode" else [])
-    found = statistics.modes(df, mode_columns)
-    if method == "mode":
-        fills = {c: found[c].value.cast("double") for c in numeric if c in found}
+    found = statistics.modes(df, frequent + texts_with_mode + (present(numeric) if method == "mode" else []))
+    fills: dict[str, Column] = {c: found[c].value for c in frequent}
+    fills |= {c: found[c].value for c in texts_with_mode if found[c].ties == 1}
+    if method == "mean":
+        values = {c: F.lit(facts[f"m{i}"]) for i, c in enumerate(numeric) if counts[c]}
+    elif method == "median":
+        middle = statistics.medians(df, present(numeric), counts=counts)
+        values = {c: F.lit(v) for c, v in middle.items()}
     else:
-        fills = _numeric_fills(df, numeric, method)
-
-    out, required = {}, []
-    for name in numeric:
-        value = cell(df, name)
-        fill = fills.get(name)
-        if fill is not None:
-            value = F.coalesce(value.cast("double"), fill)
+        values = _numeric_fills(df, present(numeric), method) if method != "mode" else {
+            c: found[c].value.cast("double") for c in present(numeric)}
+
+    out = {c: F.coalesce(cell(df, c), v) for c, v in fills.items()}
+    for name in present(numeric):
+        value = F.coalesce(cell(df, name).cast("double"), values[name]) if name in values else cell(df, name)
         out[name] = round_whole(value) if declared[name] == "int" else value
-    for name in frequent:
-        if name in found:
-            out[name] = F.coalesce(cell(df, name), found[name].value)
-    for name in strings:
-        if name in texts_with_mode and name in found and found[name].ties == 1:
-            out[name] = F.coalesce(cell(df, name), found[name].value)
-        else:
-            required.append(name)
-    needed = F.lit(True)
-    for name in required:
-        needed = needed & cell(df, name).isNotNull()
-    kept = df.where(needed) if required else df
-    filled = kept.select(*[out.get(c, cell(df, c)).alias(c) for c in df.columns])
-    return drop_null_rows(filled)
+    # Filled columns are complete; only the others can still cost a row.
+    kept = drop_null_rows(df, [c for c in df.columns if c not in fills and c not in values])
+    return kept.select(*[out.get(c, cell(df, c)).alias(c) for c in df.columns])
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:

@@ -109,6 +109,7 @@ def select_ranks(
     ranks: Callable[[int], tuple[int, int]],
     sort_rows: int = SORT_ROWS,
     accuracy: int = 10_000,
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, tuple[float, float] | None]:
     """Exact values at two ranks (0-based, in ascending order) of each double column.
 
@@ -118,12 +119,14 @@ def select_ranks(
     shrinks by about ``accuracy / 4`` a round, and nothing is shuffled. A bracket
     small enough is sorted in one buffer.
     """
-    counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
+    if counts is None:
+        counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns.values())]).first()
+        counts = dict(zip(columns, counted))
     results: dict[tuple[str, int], float] = {}
     wanted: dict[str, tuple[int, int]] = {}
     open_: dict[tuple[str, int], _Bracket] = {}
-    for name, n in zip(columns, counted):
-        if n:
+    for name in columns:
+        if n := counts[name]:
             wanted[name] = ranks(n)
             open_.update({(name, rank): _Bracket(None, None, 0, n) for rank in wanted[name]})
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tablewright.operators import cleaning
+from tablewright.runtime import cut
 from tablewright.spec import DatasetSpec
 
 
-def clean(df: DataFrame, spec: DatasetSpec, columns: list[str] | None = None) -> DataFrame:
+def clean(df: DataFrame, spec: DatasetSpec, keep_typed: bool = False) -> DataFrame:
     """Enforce types, handle missing cells, remove duplicate rows, and the optional steps.
 
     Everything is one lazy plan with one shuffle; only column statistics are
-    computed on the way.
+    computed on the way. ``keep_typed`` writes the typed table once, so that the
+    passes for the statistics read columns instead of parsing the source again.
     """
-    typed = cleaning.enforce_types(df if columns is None else df.select(*columns), spec)
+    typed = cleaning.enforce_types(df, spec)
+    if keep_typed:
+        typed = cut(typed, "typed")
     filled = cleaning.handle_nulls(typed, spec)
     rows = cleaning.remove_duplicates(filled) if spec.remove_duplicate else filled
     if spec.remove_highly_correlated_columns:

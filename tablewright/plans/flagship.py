@@ -23,7 +23,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inject gaps, clean, build features, split, fit a linear model, report its scores."""
     raw = lines(spark, sf_dir).selectExpr(
         "k", "case when hash(k) % 7 = 0 then null else cast(qty as string) end as qty", "disc", "tax", "flag", "y")
-    ready = cut(clean(raw, SPEC), "clean")
+    ready = cut(clean(raw, SPEC, keep_typed=True), "clean")
     train_df, test_df, _ = build_features(ready, FEATURE_SPEC)
     sides = [cut(side.select("features", "label"), "side") for side in (train_df, test_df)]
     fitted = train("linear_regression", *sides)
