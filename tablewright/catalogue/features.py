@@ -235,6 +235,12 @@ def _(spark, sf):
     return spark.createDataFrame([(round(silhouette(df, "embedding", "label"), 6),)], "silhouette double")
 
 
+@query("silhouette_noise", _SIL.replace("label as c", "case when label = 9 then -1 else label end as c") + "select round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) as silhouette from s")
+def _(spark, sf):
+    df = table(spark, sf, "embeddings").withColumn("cluster", F.when(F.col("label") == 9, -1).otherwise(F.col("label")))
+    return spark.createDataFrame([(round(silhouette(df, "embedding", "cluster"), 6),)], "silhouette double")
+
+
 @query("silhouette_squared", "with e as (select vec_id as id, label as c, embedding::double[] as x from embeddings), "
        "p as (select a.id, a.c, b.c as o, count(*) as n, sum(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] - z[2], 2)))) as t from e a, e b group by all), "
        "s as (select id, sum(case when o = c then t / nullif(n - 1, 0) end) as a, min(case when o <> c then t / n end) as b from p group by id) "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.operators.ordering import with_position
-from tablewright.operators.statistics import cell
+from tablewright.operators.statistics import present
 
 
 def chart_data(
@@ -17,10 +17,10 @@ def chart_data(
     with the n-th remaining y in the order of the unique column ``order``.
     """
     if not compat:
-        pairs = df.select(cell(df, x).alias("x"), cell(df, y).alias("y")).na.drop()
+        pairs = df.where(present(df, x) & present(df, y)).select(F.col(x).alias("x"), F.col(y).alias("y"))
     else:
         side = lambda c, a: with_position(
-            df.select(F.col(order).alias("_o"), cell(df, c).alias(a)).na.drop(), ["_o"]
+            df.where(present(df, c)).select(F.col(order).alias("_o"), F.col(c).alias(a)), ["_o"]
         ).drop("_o")
         pairs = side(x, "x").join(side(y, "y"), "position").select("x", "y")
     return pairs.limit(limit) if limit else pairs

@@ -115,8 +115,9 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    columns = df.columns if subset is None else list(subset)
-    return df.na.drop("any", subset=columns) if columns else df
+    for name in df.columns if subset is None else subset:
+        df = df.where(statistics.present(df, name))
+    return df
 
 
 def split_target(df: DataFrame, target: str | None) -> DataFrame:
@@ -179,25 +180,25 @@ def handle_nulls(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c]])
     if not spec.types:
         return df
-    present = lambda columns: [c for c in columns if counts[c]]
-    of = lambda *kinds: present(c for c, t in declared.items() if t in kinds)
+    filled = lambda columns: [c for c in columns if counts[c]]
+    of = lambda *kinds: filled(c for c, t in declared.items() if t in kinds)
     strings, frequent = of("str"), of("category", "date_time", "time", "timedelta")
     texts_with_mode = strings if spec.fill_string_type_columns else []
 
-    found = statistics.modes(df, frequent + texts_with_mode + (present(numeric) if method == "mode" else []))
+    found = statistics.modes(df, frequent + texts_with_mode + (filled(numeric) if method == "mode" else []))
     fills: dict[str, Column] = {c: found[c].value for c in frequent}
     fills |= {c: found[c].value for c in texts_with_mode if found[c].ties == 1}
     if method == "mean":
         values = {c: F.lit(facts[f"m{i}"]) for i, c in enumerate(numeric) if counts[c]}
     elif method == "median":
-        middle = statistics.medians(df, present(numeric), counts=counts)
+        middle = statistics.medians(df, filled(numeric), counts=counts)
         values = {c: F.lit(v) for c, v in middle.items()}
     else:
-        values = _numeric_fills(df, present(numeric), method) if method != "mode" else {
-            c: found[c].value.cast("double") for c in present(numeric)}
+        values = _numeric_fills(df, filled(numeric), method) if method != "mode" else {
+            c: found[c].value.cast("double") for c in filled(numeric)}
 
     out = {c: F.coalesce(cell(df, c), v) for c, v in fills.items()}
-    for name in present(numeric):
+    for name in filled(numeric):
         value = F.coalesce(cell(df, name).cast("double"), values[name]) if name in values else cell(df, name)
         out[name] = round_whole(value) if declared[name] == "int" else value
     # Filled columns are complete; only the others can still cost a row.

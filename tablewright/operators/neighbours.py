@@ -1,7 +1,7 @@
 """Exact k nearest neighbours between two tables.
 
-A reference side of checked size goes to every task. A larger one is joined by
-pivots (Lu et al. 2012): each query belongs to the cell of its nearest pivot, the
+A side of checked size goes to every task: the references, or else a few queries,
+for which every task keeps its own k nearest. Two large sides are joined by pivots (Lu et al. 2012): each query belongs to the cell of its nearest pivot, the
 triangle inequality bounds how far a neighbour of that cell can lie from the
 pivot, and a reference row is sent only to the cells it can matter to. Crowded
 cells are cut into chunks on both sides, so no task's work depends on skew.
@@ -20,6 +20,8 @@ from tablewright.functions.blocks import distances, matrix, row_slices, smallest
 from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut, fits_broadcast
 
 CHUNK_ROWS = 8_192
+# Up to this many queries are sent to the references instead.
+QUERY_ROWS = 4_096
 MAX_PIVOTS = 1_024
 
 
@@ -37,7 +39,8 @@ def _top(query_ids, queries, refs: pd.DataFrame, points: np.ndarray, k: int, p:
 
 def nearest_neighbours(
     queries: DataFrame, references: DataFrame, k: int, p: float = 2.0,
-    broadcast_rows: int = BROADCAST_ROWS, pivots: int | None = None, chunk_rows: int = CHUNK_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, query_rows: int = QUERY_ROWS, pivots: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(qid, rid, ..., distance) for ``queries(qid, x)`` and ``references(rid, x, ...)``.
 
@@ -60,7 +63,36 @@ def nearest_neighbours(
                     yield from _top(pdf["qid"].to_numpy(), matrix(pdf["x"], width), refs, points, k, p, "qid")
 
         return queries.select("qid", "x").mapInPandas(search, schema)
-    return _by_pivots(queries.select("qid", "x"), references, k, p, width, schema, names, pivots, chunk_rows)
+    queries = queries.select("qid", "x")
+    if bounded_count(queries, query_rows) <= query_rows and fits_broadcast(query_rows, width):
+        return _few_queries(queries, references, k, p, width, schema, names)
+    return _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_rows)
+
+
+def _nearest_of(found: DataFrame, k: int) -> DataFrame:
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "rid"))
+    return found.withColumn("_rank", order).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _few_queries(queries, references, k, p, width, schema, names):
+    """Each task keeps the k nearest of its own references per query; the best of those are kept."""
+    rows = queries.toPandas()
+    sent = queries.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), matrix(rows["x"], width)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, points = sent.value
+        best = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            refs = pdf.sort_values("rid", kind="stable").reset_index(drop=True)
+            near = pd.concat(_top(ids, points, refs[names], matrix(refs["x"], width), k, p, "qid"))
+            both = near if best is None else pd.concat([best, near])
+            best = both.sort_values(["distance", "rid"], kind="stable").groupby("qid", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return _nearest_of(references.select(*names, "x").mapInPandas(search, schema), k)
 
 
 def _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_rows):
@@ -140,5 +172,4 @@ def _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_ro
 
     keys = ["_cell", "_a", "_b"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
-    order = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "rid"))
-    return found.withColumn("_rank", order).where(F.col("_rank") <= k).drop("_rank")
+    return _nearest_of(found, k)

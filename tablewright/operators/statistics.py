@@ -22,6 +22,14 @@ def cell(df: DataFrame, name: str) -> Column:
     return no_nan(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Is the cell there? Written so that the null test reaches the file reader."""
+    column = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return column.isNotNull() & ~F.isnan(column)
+    return column.isNotNull()
+
+
 def _slots(df: DataFrame, name: str) -> list[Column]:
     """A cell as one of (long, double, text), so columns of any type can be stacked."""
     kind, value = df.schema[name].dataType, cell(df, name)

@@ -247,13 +247,13 @@ def test_within(spark):
 # ---- neighbours and silhouettes -------------------------------------------
 
 @pytest.mark.parametrize("p", [1.0, 2.0, math.inf, 3.0])
-@pytest.mark.parametrize("broadcast_rows", [100_000, 10])
-def test_nearest_neighbours(spark, p, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows,query_rows", [(100_000, 10), (10, 1000), (10, 10)])
+def test_nearest_neighbours(spark, p, broadcast_rows, query_rows):
     refs, queries = random_points(300, 3, 3, copies=100), random_points(90, 3, 4, copies=30)
     queries[0] = refs[0]
     r = frame(spark, [(i, v.tolist(), float(i)) for i, v in enumerate(refs)], "rid long, x array<double>, label double")
     q = frame(spark, [(i, v.tolist()) for i, v in enumerate(queries)], "qid long, x array<double>")
-    found = nearest_neighbours(q, r, 4, p, broadcast_rows=broadcast_rows, pivots=12, chunk_rows=16).collect()
+    found = nearest_neighbours(q, r, 4, p, broadcast_rows=broadcast_rows, query_rows=query_rows, pivots=12, chunk_rows=16).collect()
     got = {}
     for row in sorted(found, key=lambda t: (t.qid, t.distance, t.rid)):
         got.setdefault(row.qid, []).append(row.rid)
