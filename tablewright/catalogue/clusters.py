@@ -11,6 +11,8 @@ from tablewright.clustering.density import dbscan
 from tablewright.clustering.hierarchy import agglomerative, birch
 from tablewright.clustering.modes import mean_shift
 from tablewright.clustering.spectral import spectral
+from tablewright.operators.lookup import lookup
+from tablewright.runtime import cut
 
 QUERIES, ORACLES = {}, {}
 XY = ["x", "y"]
@@ -29,8 +31,8 @@ def query(name, sql=None):
 
 
 def named(labels, id_column="id"):
-    first = labels.groupBy("cluster").agg(F.min(id_column).alias("_first"))
-    return labels.join(first, "cluster").select(id_column, F.col("_first").alias("cluster"))
+    first = labels.groupBy("cluster").agg(F.min(id_column).alias("first"))
+    return lookup(labels, cut(first, "names"), "cluster", "cluster", "first").select(id_column, F.col("first").alias("cluster"))
 
 
 def _vectors(spark, sf):

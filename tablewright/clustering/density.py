@@ -63,9 +63,10 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
     # Equal points act as one point with a weight; the grouping combines on the map side.
     cell = F.transform("x", lambda v: F.floor(v / F.lit(side)).cast("long"))
     distinct = given.groupBy("x").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w")).withColumn("cell", cell)
-    named = distinct.groupBy("cell").agg(F.min("pid").alias("cid"), F.sum("w").alias("cw"), *_box(width))
+    named = distinct.groupBy("cell").agg(F.min("pid").alias("cid"), F.sum("w").alias("cw"), F.count(F.lit(1)).alias("n"), *_box(width))
     cells = cut(named, "cells")
-    points = cut(distinct.join(cells.select("cell", "cid", "cw"), "cell").drop("cell"), "points")
+    own = cells.select("cell", "n", F.struct("cid", "cw").alias("own"))
+    points = cut(lookup(distinct, own, "cell", "cell", "own").select("pid", "x", "w", "own.cid", "own.cw"), "points")
 
     near = cut(_near_cells(cells, width, side, eps, power), "near")
     both = near.select("a", "b", "far").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
@@ -84,8 +85,8 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
     marked = cut(marked, "marked")
 
     cores = marked.where("core")
-    core_cells = cores.select("cid").distinct()
-    pairs = near.join(core_cells.withColumnRenamed("cid", "a"), "a").join(core_cells.withColumnRenamed("cid", "b"), "b")
+    core_cells = cores.groupBy("cid").agg(F.min("pid").alias("first"), F.count(F.lit(1)).alias("n"))
+    pairs = near.join(core_cells.select(F.col("cid").alias("a")), "a").join(core_cells.select(F.col("cid").alias("b")), "b")
     linked = _connected(cores, pairs.select("a", "b"), width, side, eps, power)
     component = connected_components(linked)
     labelled = core_cells.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
@@ -93,9 +94,10 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
     labelled = cut(labelled, "labelled")
 
     # Clusters are numbered by the smallest id among their core points.
-    first = cores.join(labelled, "cid").groupBy("component").agg(F.min("pid").alias("first"))
-    numbers = with_position(first, ["first"], "cluster").select("component", "cluster")
-    core_labels = cut(cores.join(labelled, "cid").join(numbers, "component").select("pid", "cid", "x", "cluster"), "cores")
+    clusters = labelled.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    numbers = cut(with_position(clusters, ["first"], "cluster"), "numbers")
+    cell_labels = cut(lookup(labelled, numbers, "component", "component", "cluster").select("cid", "n", "cluster"), "cells")
+    core_labels = cut(lookup(cores, cell_labels, "cid", "cid", "cluster").select("pid", "cid", "x", "cluster"), "cores")
 
     loose = marked.where("not core").select("pid", "x", F.col("cid").alias("a"))
     reach = loose.join(both.select("a", "b"), "a").union(loose.select("a", "pid", "x", F.col("a").alias("b")))

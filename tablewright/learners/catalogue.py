@@ -40,6 +40,8 @@ _CLUSTER_PARAMETERS = {
     "spectral": ("n_clusters", "n_components", "gamma", "affinity", "n_neighbors", "n_init"),
     "dbscan": ("eps", "min_samples", "metric", "p"),
 }
+# Parameters for which None is a choice and not the default.
+_NONE_COUNTS = ("max_features", "binarize", "penalty")
 
 
 @dataclass
@@ -65,7 +67,7 @@ def cluster_score(df: DataFrame, features, label: str) -> dict[str, float | None
 
 
 def _supervised(name: str, fit, train: DataFrame, test: DataFrame | None, hyper: dict) -> Trained:
-    rest = {k: v for k, v in hyper.items() if v is not None}
+    rest = {k: v for k, v in hyper.items() if v is not None or k in _NONE_COUNTS}
     started = time.perf_counter()
     model, progress = fit(train, rest)
     elapsed = time.perf_counter() - started

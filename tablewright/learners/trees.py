@@ -35,6 +35,7 @@ def _forest(hyper: dict, features: str) -> dict:
 
 
 def tree_classifier(df: DataFrame, hyper: dict):
+    """One tree over all features; a feature subset per split is a forest's setting."""
     data = class_weights(df, hyper.pop("class_weight", None))
     return DecisionTreeClassifier(weightCol="weight", **_tree(hyper)).fit(data), []
 
@@ -59,8 +60,9 @@ def gbt_classifier(df: DataFrame, hyper: dict):
     tree.pop("impurity", None)
     options = take(hyper, learning_rate="stepSize", n_estimators="maxIter", subsample="subsamplingRate")
     options = {"stepSize": 0.1, "maxIter": 100, **options}
-    if hyper.get("max_features") is not None:
-        options["featureSubsetStrategy"] = str(hyper.pop("max_features"))
+    choice = hyper.pop("max_features", None)
+    if choice is not None:
+        options["featureSubsetStrategy"] = str(choice)
     if hyper.pop("n_iter_no_change", None):
         share = float(hyper.pop("validation_fraction", 0.1))
         part = F.pmod(F.xxhash64("features", "label"), F.lit(10_000))
