@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tablewright.catalogue.inputs import LINES_SQL, lines, split_sql, table
-from tablewright.learners.catalogue import train
+from tablewright.learners.catalogue import CLASSIFIERS, REGRESSORS, train
 from tablewright.operators import metrics
 from tablewright.operators.split import is_test
 from tablewright.plans.flagship import flagship
@@ -87,7 +87,6 @@ def _vectors(spark, sf):
 def _neighbours(name, **hyper):
     def run(spark, sf):
         left, right = _vectors(spark, sf)
-        from tablewright.learners.catalogue import CLASSIFIERS, REGRESSORS
         model, _ = {**CLASSIFIERS, **REGRESSORS}[name](left, {"id_column": "vec_id", **hyper})
         return model.transform(right, "vec_id").select("vec_id", F.round("prediction", 6).alias("prediction"))
 

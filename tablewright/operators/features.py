@@ -286,7 +286,9 @@ def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADC
                 names += [f"{c}={v}" for v in labels.get(c, [])]
             else:
                 fallback = codes.where((F.col("col") == c) & (F.col("value") == literals.get(c, ""))).first()
-                parts.append(f"case when `{c}` is null then {_sql_double(fallback.code)} else `{c}__code` end as _c{i}")
+                # an unseen value takes the slot after the last one, which the encoder drops
+                code = f"coalesce(`{c}__code`, {_sql_double(sizes[c])})"
+                parts.append(f"case when `{c}` is null then {_sql_double(fallback.code)} else {code} end as _c{i}")
                 names.append(f"{c}=*")
     for i, c in enumerate(datetimes):
         kind = df.schema[c].dataType

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut
 
@@ -39,7 +39,8 @@ def spread_lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str
     cold = table.where(~frequent).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.lit(0).alias("_s"))
     first = df.join(F.broadcast(hot), F.col(on) == F.col("_hk"), "left")
     done = F.col("_hk").isNotNull() | F.col(on).isNull()
-    anywhere = F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns[:8]]), F.lit(SALTS)).cast("int") + 1
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    anywhere = F.pmod(F.xxhash64(*(plain[:8] or [F.col(on)])), F.lit(SALTS)).cast("int") + 1
     salted = first.withColumn("_salt", F.when(done, anywhere).otherwise(F.lit(0)))
     joined = salted.join(cold, (F.col(on) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     return joined.withColumn(value, F.coalesce("_hv", "_v")).drop("_hk", "_hv", "_salt", "_k", "_v", "_s")

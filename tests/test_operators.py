@@ -342,6 +342,7 @@ def test_features_save_load_unseen_and_wide(spark, tmp_path):
     assert feature_rows(model, unseen)[0][1:3] == (0.0, 0.0)
     wide = features.fit_features(df, spec, wide_categories=1)
     assert wide.wide == ["c"] and feature_rows(wide, df) == rows
+    assert feature_rows(wide, unseen)[0][1:3] == (0.0, 0.0)
     wide.save(str(tmp_path / "w"))
     assert feature_rows(features.FeatureModel.load(spark, str(tmp_path / "w")), df) == rows
 
