@@ -35,3 +35,24 @@ def _(spark, sf_dir):
     from tablewright.llm.bpe import VOCABULARY, encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}")
+
+
+@query("op9_warc_bundles", """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest from p),
+o as (select payload_digest, payload_bytes, max(page_id) as owner from d where payload_bytes >= 1000 group by all)
+select d.page_id, d.payload_bytes, d.payload_digest,
+  case when owner is null or owner = d.page_id then 'response' else 'revisit' end as record_type,
+  case when owner <> d.page_id then owner end as refers_to
+from d left join o using (payload_digest, payload_bytes)""")
+def _(spark, sf_dir):
+    from tablewright.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op10_hypergeometric_mix")
+def _(spark, sf_dir):
+    from tablewright.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
