@@ -56,3 +56,41 @@ def _(spark, sf_dir):
     from tablewright.llm.mixing import mix_report
 
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_link_graph_verdicts")
+def _(spark, sf_dir):
+    from tablewright.llm.url_graph import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _license_sql() -> str:
+    """Phrases by word position and templates by comparing every line with each of them."""
+    from tablewright.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, words_of
+
+    words = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases = ", ".join(f"({quoted(words_of(p))}, '{label}')" for p, label in PHRASES)
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(words_of(t))))})" for label, t in TEMPLATES)
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {words("coalesce(text, '')")} as w from documents),
+p as (select * from (values {phrases}) v(pw, label)),
+s as (select r, i - 1 as pos, label from d, p, unnest(generate_series(1, len(w))) u(i) where w[i] = pw[1] and list_slice(w, i, i + len(pw) - 1) = pw),
+b as (select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as base from s group by r),
+t as (select * from (values {templates}) v(label, tw)),
+l as (select r, {words("line")} as lw from (select r, unnest(string_split(text, chr(10))) as line from d)),
+m as (select r, label, len(list_intersect(lw, tw)) / len(tw) as c from l, t where len(lw) > 0),
+h as (select r, list(distinct label) as found, max(c) as c from m where c >= {THRESHOLD} - 1e-9 group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') as labels,
+  case when n_base > 0 then 1.0::double else coalesce(c, 0.0)::double end as score
+from d left join b using (r) left join h using (r)"""
+
+
+@query("op5_license_set_join", _license_sql())
+def _(spark, sf_dir):
+    from tablewright.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
