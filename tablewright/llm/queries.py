@@ -94,3 +94,17 @@ def _(spark, sf_dir):
     from tablewright.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_cnn_language")
+def _(spark, sf_dir):
+    from tablewright.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_adaptive_dimension_scan")
+def _(spark, sf_dir):
+    from tablewright.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
