@@ -121,7 +121,11 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
 
 
 def probes(queries: DataFrame, index: Index, k: int, most: int) -> DataFrame:
-    """(list, query_id, q, bound): a row per query and probed list; ``bound`` is a score that k others reach."""
+    """(list, query_id, q, bound, seen): a row per query and probed list.
+
+    ``bound`` is the score of the k-th nearest in the bounding sample; those k ids go along
+    once, so that a query never gets fewer than it could.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -131,16 +135,21 @@ def probes(queries: DataFrame, index: Index, k: int, most: int) -> DataFrame:
                 near = _order(y, index.centroids, most)
                 seen = q @ index.sample.T
                 seen[part["vec_id"].to_numpy()[:, None] == index.sample_ids[None]] = -np.inf
-                bound = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.full(len(q), -np.inf)
-                n = near.shape[1]
+                top = np.argsort(-seen, axis=1)[:, :k]
+                bound = np.take_along_axis(seen, top, axis=1)[:, -1] if seen.shape[1] >= k else np.full(len(q), -np.inf)
+                n, none = near.shape[1], np.empty(0, np.int64)
+                first = [index.sample_ids[t[np.isfinite(row[t])]] for t, row in zip(top, seen)]
                 yield pd.DataFrame({"list": near.ravel(), "query_id": np.repeat(part["vec_id"].to_numpy(), n),
-                                    "q": [v for v in part["v"] for _ in range(n)], "bound": np.repeat(bound - 1e-9 * (1 + np.abs(bound)), n)})
+                                    "q": [v for v in part["v"] for _ in range(n)], "bound": np.repeat(bound - 1e-9 * (1 + np.abs(bound)), n),
+                                    "seen": [ids if i == 0 else none for ids in first for i in range(n)]})
 
-    return queries.where(F.size("v") == index.width).mapInPandas(run, "list int, query_id long, q array<double>, bound double")
+    return queries.where(F.size("v") == index.width).mapInPandas(run, "list int, query_id long, q array<double>, bound double, seen array<long>")
 
 
 def scan(index: Index, k: int, columns: int, epsilon: float):
     """The scan of one chunk of a list by one chunk of queries."""
+    place = {int(v): i for i, v in enumerate(index.sample_ids)}
+
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ids, out = own["vec_id"].to_numpy(), []
         if len(own) and len(asked):
@@ -168,6 +177,10 @@ def scan(index: Index, k: int, columns: int, epsilon: float):
                     score = exact_scores(x[left], q[i])
                     top = np.lexsort((ids[left], -score))[:k]
                     out.append((np.full(len(top), asked["query_id"].iat[i]), ids[left[top]], score[top]))
+        for query_id, q, seen in zip(asked["query_id"], asked["q"], asked["seen"]):
+            if len(seen):
+                x = index.sample[[place[i] for i in seen]]
+                out.append((np.full(len(seen), query_id), np.asarray(seen), exact_scores(x, np.asarray(q, float))))
         parts = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pd.DataFrame({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -201,8 +214,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS
     by_id = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
     own = placed.join(F.broadcast(chunks), "list").select("list", by_id("vec_id", F.col("_chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec_id", "v")
     asked = (probes(queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), index, k, most).join(F.broadcast(chunks), "list")
-             .select("list", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), by_id("query_id", F.lit(turns)).alias("turn"), "query_id", "q", "bound"))
+             .select("list", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), by_id("query_id", F.lit(turns)).alias("turn"), "query_id", "q", "bound", "seen"))
     keys = ["list", "chunk", "turn"]
     found = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scan(index, k, columns, epsilon), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
