@@ -120,19 +120,21 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.where(F.size("v") == index.width).mapInPandas(run, "list int, vec_id long, v array<double>")
 
 
-def probes(queries: DataFrame, index: Index, k: int, most: int) -> DataFrame:
+def probes(queries: DataFrame, index: Index, filled: list[int], k: int, most: int) -> DataFrame:
     """(list, query_id, q, bound, seen): a row per query and probed list.
 
     ``bound`` is the score of the k-th nearest in the bounding sample; those k ids go along
-    once, so that a query never gets fewer than it could.
+    once, so that a query never gets fewer than it could. Only ``filled`` lists are probed.
     """
+    filled = np.array(filled, np.int32)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at: at + 256]
                 q = _matrix(part["v"], index.width)
                 y = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-                near = _order(y, index.centroids, most)
+                near = filled[_order(y, index.centroids[filled], most)]
                 seen = q @ index.sample.T
                 seen[part["vec_id"].to_numpy()[:, None] == index.sample_ids[None]] = -np.inf
                 top = np.argsort(-seen, axis=1)[:, :k]
@@ -213,7 +215,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS
     chunks = spark.createDataFrame([(i, -(-n // LIST_CHUNK)) for i, n in counts.items()], "list int, _chunks int")
     by_id = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
     own = placed.join(F.broadcast(chunks), "list").select("list", by_id("vec_id", F.col("_chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec_id", "v")
-    asked = (probes(queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), index, k, most).join(F.broadcast(chunks), "list")
+    asked = (probes(queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), index, sorted(counts), k, most).join(F.broadcast(chunks), "list")
              .select("list", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), by_id("query_id", F.lit(turns)).alias("turn"), "query_id", "q", "bound", "seen"))
     keys = ["list", "chunk", "turn"]
     found = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(scan(index, k, columns, epsilon), "query_id long, vec_id long, score double")
