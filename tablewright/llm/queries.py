@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES, ORACLES = {}, {}
 # Folder of the public tokenizer files; every executor has it.
@@ -108,3 +108,11 @@ def _(spark, sf_dir):
     from tablewright.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_substring_dedup")
+def _(spark, sf_dir):
+    from tablewright.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
