@@ -116,3 +116,10 @@ def _(spark, sf_dir):
 
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_circulant_minhash")
+def _(spark, sf_dir):
+    from tablewright.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_n")
