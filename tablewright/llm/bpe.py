@@ -18,10 +18,13 @@ from functools import lru_cache
 from itertools import islice
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tablewright.llm.arrays import batches
+
 VOCABULARY = "word_bpe_49k.json"
 # Distinct runs of characters kept with their tokens by one worker, and the longest such run.
 CACHED = 400_000
@@ -363,24 +366,26 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     of nothing. Very long texts are taken in chunks; the digests are updated chunk by chunk.
     Other columns of ``docs`` are not read.
     """
+    columns = [c.split(" ")[0] for c in RESULT.split(", ")] + ["ids"] * with_ids
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = encoder(path).pieces
-        for frame in frames:
+        for frame in batches(frames, 512):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                count, kept = 0, []
+                count, kept = 0, [np.empty(0, np.int32)]
                 ids, decoded = hashlib.sha256(), hashlib.sha256()
                 joint = b""
                 parts = pieces(text if isinstance(text, str) else "")
                 while block := list(islice(parts, 1 << 14)):
                     count += sum(p[0] for p in block)
-                    as_ids = " ".join(p[1] for p in block)
+                    as_ids = " ".join([p[1] for p in block])
                     ids.update(joint + as_ids.encode())
-                    decoded.update(joint + " ".join(p[2] for p in block).encode())
+                    decoded.update(joint + " ".join([p[2] for p in block]).encode())
                     joint = b" "
                     if with_ids:
-                        kept.extend(map(int, as_ids.split(" ")))
-                out.append((doc_id, count, ids.hexdigest(), decoded.hexdigest(), *([kept] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                        kept.append(np.array(as_ids.split(" "), np.int32))
+                out.append((doc_id, count, ids.hexdigest(), decoded.hexdigest(), *([np.concatenate(kept)] if with_ids else [])))
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, RESULT + (", ids array<int>" if with_ids else ""))

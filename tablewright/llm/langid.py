@@ -205,3 +205,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), prediction(model)("text").alias("_p")).select(
         "doc_id", "held_out", "_p.lang_pred", "_p.score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language: texts that are null or have no letter go.
+
+    Where nothing can be learnt, for want of labelled rows, every text with a letter stays.
+    """
+    model = model or fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = docs.select(F.struct("*").alias("row"), prediction(model)("text").alias("judged"))
+    return judged.where(F.col("judged.lang_pred") != UNKNOWN).select("row.*")

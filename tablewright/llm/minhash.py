@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm import arrays as A
 from tablewright.llm.sketches import COORDINATES, ROWS, SHINGLE, band_keys, set_hashes, shingle_sets, signatures
-from tablewright.llm.tables import numbered, settled
+from tablewright.llm.tables import numbered, packed, settled, unpacked
 from tablewright.operators.components import connected_components
 
 # Similarity of linked documents in percent.
@@ -179,6 +179,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    rows = numbered(docs)
+    rows = numbered(packed(docs, "doc_id", "text"))
     kept = near_duplicates(docs, percent).where("kept").select("_n")
-    return rows.join(kept, "_n", "left_semi").drop("_n")
+    return unpacked(rows.join(kept, "_n", "left_semi"), docs.columns)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.llm.tables import packed, unpacked
 from tablewright.runtime import cut
 
 # The weights of sources in code point order, repeating.
@@ -197,5 +198,6 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataF
     most. Documents without words are not taken.
     """
     counts = draw(cut(sized_rows(docs), "sizes"), None, shards, seed)[0].select("_k1", "_k2", "_copy", "shard", "_order")
-    rows = docs.select("*", *row_keys()).withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")))
-    return rows.join(counts, ["_k1", "_k2", "_copy"]).sortWithinPartitions("shard", "_order").select(*[f"`{c}`" for c in docs.columns])
+    rows = packed(docs, "doc_id", "source", "text").select("*", *row_keys())
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")))
+    return unpacked(rows.join(counts, ["_k1", "_k2", "_copy"]).sortWithinPartitions("shard", "_order"), docs.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm import arrays as A
-from tablewright.llm.tables import numbered, settled
+from tablewright.llm.tables import numbered, packed, settled, unpacked
 
 LENGTH = 20
 START = 10
@@ -180,9 +180,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, start: int = START)
     * All columns of ``docs`` are handed on; own columns n_words and n_removed replace
       columns of these names. No rows: no result.
     """
-    docs = numbered(docs.drop("n_words", "n_removed"))
-    runs = repeated_runs(docs.select("_n", "text"), length, start)
-    columns = [c for c in docs.columns if c not in ("_n", "text")]
+    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    rows = numbered(packed(docs, "doc_id", "text"))
+    runs = repeated_runs(rows.select("_n", "text"), length, start)
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut_down(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -190,6 +190,5 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, start: int = START)
             parts = [keep_words(A.encode(t), r) for t, r in zip(texts, lists)]
             yield pd.DataFrame({"text": [p[0].decode("utf-8", "replace") for p in parts], "n_words": [p[1] for p in parts], "n_removed": [p[2] for p in parts]})
 
-    done = _with_runs(docs, runs, "left").withColumn("_kept", cut_down.asNondeterministic()("text", "runs"))
-    order = [c for c in docs.columns if c != "_n"]
-    return done.select(*[F.col(f"`{c}`") if c in columns else F.col("_kept.text").alias("text") for c in order], "_kept.n_words", "_kept.n_removed")
+    done = _with_runs(rows, runs, "left").withColumn("kept", cut_down.asNondeterministic()("text", "runs"))
+    return unpacked(done, columns, text=F.col("kept.text"), n_words=F.col("kept.n_words"), n_removed=F.col("kept.n_removed"))

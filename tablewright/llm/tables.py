@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.ordering import with_position
 from tablewright.runtime import cut
@@ -32,3 +32,15 @@ def numbered(docs: DataFrame, name: str = "_n") -> DataFrame:
     if odd.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long"))
     return with_position(docs, ["doc_id", "text"], name)
+
+
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others in one struct, so that no name of theirs gets in the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *rest).alias("others"))
+
+
+def unpacked(docs: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The columns of the table that was ``packed``, in their order, those in ``own`` replaced or added."""
+    parts = [own.get(c, F.col(c) if c in docs.columns else F.col("others").getField(c)).alias(c) for c in columns]
+    return docs.select(*parts, *[value.alias(c) for c, value in own.items() if c not in columns])
