@@ -181,4 +181,4 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     rows = numbered(packed(docs, "doc_id", "text"))
     kept = near_duplicates(docs, percent).where("kept").select("_n")
-    return unpacked(rows.join(kept, "_n", "left_semi"), docs.columns)
+    return unpacked(rows.join(kept, "_n", "left_semi"), docs.columns, "doc_id", "text")

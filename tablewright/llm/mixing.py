@@ -200,4 +200,4 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataF
     counts = draw(cut(sized_rows(docs), "sizes"), None, shards, seed)[0].select("_k1", "_k2", "_copy", "shard", "_order")
     rows = packed(docs, "doc_id", "source", "text").select("*", *row_keys())
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")))
-    return unpacked(rows.join(counts, ["_k1", "_k2", "_copy"]).sortWithinPartitions("shard", "_order"), docs.columns)
+    return unpacked(rows.join(counts, ["_k1", "_k2", "_copy"]).sortWithinPartitions("shard", "_order"), docs.columns, "doc_id", "source", "text")

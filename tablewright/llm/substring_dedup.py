@@ -191,4 +191,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, start: int = START)
             yield pd.DataFrame({"text": [p[0].decode("utf-8", "replace") for p in parts], "n_words": [p[1] for p in parts], "n_removed": [p[2] for p in parts]})
 
     done = _with_runs(rows, runs, "left").withColumn("kept", cut_down.asNondeterministic()("text", "runs"))
-    return unpacked(done, columns, text=F.col("kept.text"), n_words=F.col("kept.n_words"), n_removed=F.col("kept.n_removed"))
+    return unpacked(done, columns, "doc_id", text=F.col("kept.text"), n_words=F.col("kept.n_words"), n_removed=F.col("kept.n_removed"))

@@ -40,7 +40,7 @@ def packed(docs: DataFrame, *own: str) -> DataFrame:
     return docs.select(*own, F.struct(F.lit(0).alias("_"), *rest).alias("others"))
 
 
-def unpacked(docs: DataFrame, columns: list[str], **own: Column) -> DataFrame:
-    """The columns of the table that was ``packed``, in their order, those in ``own`` replaced or added."""
-    parts = [own.get(c, F.col(c) if c in docs.columns else F.col("others").getField(c)).alias(c) for c in columns]
+def unpacked(docs: DataFrame, columns: list[str], *plain: str, **own: Column) -> DataFrame:
+    """The columns of a ``packed`` table in their order: ``plain`` ones as they are, those in ``own`` replaced or added."""
+    parts = [own.get(c, F.col(c) if c in plain else F.col("others").getField(c)).alias(c) for c in columns]
     return docs.select(*parts, *[value.alias(c) for c, value in own.items() if c not in columns])

@@ -15,10 +15,9 @@ from tablewright.runtime import cut
 # Fixed values: (rule, verdict); a rule is a host, a slash and the beginning of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DAMPING = 0.85
-TOLERANCE = 1e-9
-MOST_ROUNDS = 60
+TOLERANCE = 1e-6
+MOST_ROUNDS = 100
 THRESHOLD = 0.0
-CUT_EVERY = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Absolute and protocol-relative targets of links and embedded files.
 LINK = r"(?i)(?:href|src|action)\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
@@ -97,7 +96,7 @@ def propagate(edges: DataFrame, marked: DataFrame, damping: float = DAMPING, tol
     return scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("score"))).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages``.
 
     * A rule fits its host and all subdomains if the path starts with the rule's; the longest
@@ -109,7 +108,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     * A host with very many pages is one row of scores; its pages stay where they are while
       the scores are looked up.
     """
-    scores = cut(propagate(host_edges(pages), seeds(pages, rules)), "scores")
+    scores = cut(propagate(host_edges(pages), seeds(pages, rules), tolerance=tolerance), "scores")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), best_rule(host, path, rules).alias("_r"))
     net = F.coalesce(F.col("trust") - F.col("distrust"), F.lit(0.0))
