@@ -69,7 +69,7 @@ def _texts(frame: pd.DataFrame, with_runs: bool) -> Iterator[tuple[np.ndarray, l
 
 
 def candidate_blocks(docs: DataFrame, level: int, length: int) -> DataFrame:
-    """(h, sig, _n, run): blocks of candidate windows that share their anchor ``h``; ``sig`` hashes all words of a block."""
+    """Blocks of candidate windows that share their anchor: its hash ``a``, one of all words of the block ``b``; see ``_gathered``."""
     with_runs = "runs" in docs.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +82,29 @@ def candidate_blocks(docs: DataFrame, level: int, length: int) -> DataFrame:
                 h, at = block.anchors(level, length)
                 new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1) | (np.diff(block.doc[w], prepend=-1) != 0))
                 start, size = w[new], np.diff(new, append=len(w))
-                yield pd.DataFrame({"h": A.signed(h[new]), "sig": A.signed(_spans(block.words, start, start + size + length - 1)),
-                                    "_n": numbers[block.doc[start]], "run": block.places(start) << RUN_BITS | size})
+                yield _gathered(h[new], _spans(block.words, start, start + size + length - 1), numbers[block.doc[start]], block.places(start) << RUN_BITS | size)
 
-    return docs.mapInPandas(run, "h long, sig long, _n long, run long")
+    return docs.mapInPandas(run, _GATHERED)
+
+
+_GATHERED = "a long, b long, _n long, place long, c long"
+
+
+def _gathered(a: np.ndarray, b: np.ndarray, numbers: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    """Rows (a, b, _n, place, c) of which equal (a, b) have met: the first has their count, for the others c is 0.
+
+    Those are settled: something equal comes earlier. They get keys of their own, so that
+    what one text repeats very often is spread and not gathered in one task.
+    """
+    order = np.lexsort((place, numbers, b, a))
+    a, b, numbers, place = a[order], b[order], numbers[order], place[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    count = np.zeros(len(a), np.int64)
+    heads = np.flatnonzero(first)
+    count[heads] = np.diff(heads, append=len(a))
+    own = A.mix64(numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    return pd.DataFrame({"a": A.signed(np.where(first, a, own)), "b": A.signed(np.where(first, b, ~own)), "_n": numbers, "place": place, "c": count})
 
 
 def _spans(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -97,17 +116,16 @@ def _spans(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
 
 
 def candidate_windows(docs: DataFrame, level: int, length: int) -> DataFrame:
-    """(w, h, _n, at): every candidate window with its hash and that of its anchor, 128 bits together."""
+    """Every candidate window with its hash ``a`` and that of its anchor ``b``, 128 bits together; see ``_gathered``."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for numbers, texts, runs in _texts(frame, True):
                 block = _Block(texts, runs, length)
                 if len(block.windows):
                     whole = A.mix64(_window_hashes(block.words, length)[block.windows])
-                    yield pd.DataFrame({"w": A.signed(whole), "h": A.signed(block.anchors(level, length)[0]),
-                                        "_n": numbers[block.doc[block.windows]], "at": block.places(block.windows)})
+                    yield _gathered(whole, block.anchors(level, length)[0], numbers[block.doc[block.windows]], block.places(block.windows))
 
-    return docs.mapInPandas(run, "w long, h long, _n long, at long")
+    return docs.mapInPandas(run, _GATHERED)
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
@@ -123,20 +141,19 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, start: int = START) ->
     if not 0 < start < length:
         raise ValueError("start lies between 1 and length - 1")
     found, docs_now = [], docs
+    earliest = Window.partitionBy("a", "b").orderBy("_n", "place")
     for level in levels:
-        blocks = candidate_blocks(docs_now, level, length).repartition("h")
-        earliest, same = Window.partitionBy("h", "sig").orderBy("_n", "run"), Window.partitionBy("h")
-        ranked = blocks.withColumn("first", F.row_number().over(earliest) == 1).withColumn("places", F.count(F.lit(1)).over(same))
-        kept = settled(ranked.where("places > 1").select("_n", "run", "first"), "blocks")
+        blocks = candidate_blocks(docs_now, level, length).repartition("a")
+        ranked = blocks.withColumn("first", F.row_number().over(earliest) == 1).withColumn("places", F.sum("c").over(Window.partitionBy("a")))
+        kept = settled(ranked.where("places <> 1").select("_n", F.col("place").alias("run"), (F.col("first") & (F.col("c") > 0)).alias("first")), "blocks")
         found.append(kept.where("not first").select("_n", (F.col("run") + (length - 1)).alias("run")))
         docs_now = _with_runs(docs, kept.where("first").select("_n", "run"), "inner")
         if kept.isEmpty():
             break
     else:
-        windows = candidate_windows(docs_now, levels[-1], length).repartition("w")
-        earliest = Window.partitionBy("w", "h").orderBy("_n", "at")
-        later = windows.withColumn("place", F.row_number().over(earliest)).where("place > 1")
-        found.append(settled(later.select("_n", (F.shiftleft("at", RUN_BITS) + length).alias("run")), "windows"))
+        windows = candidate_windows(docs_now, levels[-1], length).repartition("a")
+        later = windows.withColumn("rank", F.row_number().over(earliest)).where("rank > 1 or c = 0")
+        found.append(settled(later.select("_n", (F.shiftleft("place", RUN_BITS) + length).alias("run")), "windows"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
