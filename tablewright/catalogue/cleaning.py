@@ -329,6 +329,19 @@ def _(spark, sf):
     return _shown(cleaning.handle_nulls(typed, CLEAN_SPEC))
 
 
+@query("handle_nulls_untyped", f"{D} select o_orderkey, price, prio from d where price is not null and prio is not null")
+def _(spark, sf):
+    """Without declared types nothing is filled, and incomplete rows still go."""
+    df = dirty_orders(spark, sf, "o_orderkey", "price", "prio").withColumns({"_c7": F.lit(1), "empty": F.lit(None).cast("string")})
+    return cleaning.handle_nulls(df, DatasetSpec()).drop("_c7")
+
+
+@query("csv_round_trip_text", "select doc_id, text from documents")
+def _(spark, sf):
+    """Texts that hold line breaks and quotes."""
+    return tables.round_trip_csv(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("handle_nulls_unfilled_types", f"{D} select o_orderkey, coalesce(price, 0.0) as price, odate::varchar as odate from d where odate is not null")
 def _(spark, sf):
     spec = DatasetSpec(types={"o_orderkey": "int", "price": "float", "odate": "date"}, fill_empty_rows_using="custom_value")

@@ -160,33 +160,59 @@ query("forest_regress", _THREE)(_exact("random_forest_regressor", "three", "qty"
 query("gbt_classify", _TWO)(_exact("gradient_boosting", "two", "qty", "disc", n_estimators=5, max_depth=3, max_bins=64))
 
 
-# ---- iterative trainers without a closed form: scores on both sides
+# ---- iterative trainers on targets that they reach exactly, or with a known solution
+
+_HALF = "case when qty > 25 then 1 else 0 end"
+_UPPER = L + f" select k, {_HALF} as prediction from d where test"
+query("ada_boost_classify", _UPPER)(_exact("ada_boost_classifier", _HALF, "qty", "disc", n_estimators=5, max_bins=64))
+query("svc", _UPPER)(_exact("svc", _HALF, "(qty - 25.5) / 5", kernel="linear", C=100.0, max_iter=200))
+query("mlp", _UPPER)(_exact("mlp", _HALF, "(qty - 25.5) / 5", max_iter=100, hidden_layer_sizes=(4,)))
+# Labels are any numbers; the trainers see 0, 1, ..., k - 1.
+query("tree_classify_signs", L + " select k, 2 * two - 1 as prediction from d where test")(
+    _exact("decision_tree", "2 * two - 1", "qty", "disc", max_depth=3, max_bins=64))
+query("gbt_classify_tens", L + " select k, 10 * two + 10 as prediction from d where test")(
+    _exact("gradient_boosting", "10 * two + 10", "qty", "disc", n_estimators=5, max_depth=3, max_bins=64))
+query("forest_classify_tens", L + " select k, 10 * three + 10 as prediction from d where test")(
+    _exact("random_forest", "10 * three + 10", "qty", "disc", n_estimators=5, max_depth=4, max_bins=64, max_features=None, bootstrap=False))
+
+
+@query("ada_boost_regress", L + " select k, three as prediction from d where test")
+def _(spark, sf):
+    left, right = sides(spark, sf, "three", "qty", "disc")
+    model = train("ada_boost_regressor", left, n_estimators=5, max_bins=64).model
+    return model.transform(right).select("k", F.round("prediction").cast("int").alias("prediction"))
 
-def _scored(name, label, *features, **hyper):
-    def run(spark, sf):
-        left, right = sides(spark, sf, label, *features)
-        return scores(spark, train(name, left.drop("k"), right.drop("k"), **hyper))
 
-    return run
+@query("svr", L + " select k, cast(2 * qty as int) as prediction from d where test")
+def _(spark, sf):
+    """A line without noise: predictions lie within epsilon of it."""
+    left, right = sides(spark, sf, "2 * qty", "qty / 10")
+    model = train("svr", left, kernel="linear", epsilon=0.1, C=10.0).model
+    return model.transform(right).select("k", F.round("prediction").cast("int").alias("prediction"))
 
 
-query("logistic")(_scored("logistic_regression", "two", "qty", "disc", C=10.0, max_iter=200))
-query("ada_boost_classify")(_scored("ada_boost_classifier", "three", "qty", "disc", "tax", n_estimators=5))
-query("ada_boost_regress")(_scored("ada_boost_regressor", "y", "qty", "disc", "tax", n_estimators=5))
-query("svc")(_scored("svc", "two", "qty / 50", "disc * 10", random_features=32, C=1.0, max_iter=30))
-query("svr")(_scored("svr", "y", "qty / 50", "disc * 10", "tax * 10", kernel="linear", max_iter=25))
-query("mlp")(_scored("mlp", "two", "qty / 50", "disc * 10", max_iter=40, hidden_layer_sizes=(16,)))
+@query("logistic", L + ", b as (select (disc < 0.03)::int as f, avg(two) as p from d where not test group by 1) select round(ln(z.p / (1 - z.p)), 3) as intercept, "
+       "round(ln(o.p / (1 - o.p)) - ln(z.p / (1 - z.p)), 3) as slope from b z, b o where z.f = 0 and o.f = 1")
+def _(spark, sf):
+    """One binary feature without a penalty: log odds."""
+    left, _ = sides(spark, sf, "two", "case when disc < 0.03 then 1 else 0 end")
+    model = train("logistic_regression", left, penalty="none", max_iter=300, tol=1e-12).model
+    return spark.createDataFrame([(round(float(model.intercept), 3), round(float(model.coefficients[0]), 3))], "intercept double, slope double")
 
 
-@query("train_job")
+@query("train_job", f"with d as (select *, {split_sql('k', 0.2)} as test from ({LINES_SQL})), m as (select avg(qty) as mx, avg(y) as my, covar_pop(qty, y) / var_pop(qty) as slope from d where not test), "
+       "e as (select sum((y - my - slope * (qty - mx)) ^ 2) as s, var_pop(y) * count(*) as t, count(*) as n from d, m where test) "
+       "select 'mse' as metric, round(s / n, 6) as value from e union all select 'r2', round(1 - s / t, 6) from e")
 def _(spark, sf):
-    df = lines(spark, sf, "k", "qty", "disc", "tax", "flag", "y")
-    return scores(spark, train_job(df, "linear_regression", "y", key=["k"]))
+    return scores(spark, train_job(lines(spark, sf, "k", "qty", "y"), "linear_regression", "y", key=["k"]))
 
 
-@query("train_job_pca")
+@query("train_job_pca", f"with c as (select var_samp(qty) as a, var_samp(tax * 500) as b, covar_samp(qty, tax * 500) as c from ({LINES_SQL})) "
+       "select 'explained_variance' as metric, round((a + b + sqrt((a - b) ^ 2 + 4 * c * c)) / 2 / (a + b), 6) as value from c")
 def _(spark, sf):
-    return scores(spark, train_job(lines(spark, sf, "qty", "disc", "tax"), "pca", hyperparameters={"n_components": 2}))
+    """Two columns: the larger eigenvalue of a two by two matrix."""
+    df = lines(spark, sf, "qty", "tax").select("qty", (F.col("tax") * 500).alias("tax"))
+    return scores(spark, train_job(df, "pca", hyperparameters={"n_components": 1}))
 
 
 @query("flagship")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tablewright.catalogue.inputs import table
+from tablewright.operators.cleaning import fit_cleaning
 from tablewright.operators.features import fit_features
 from tablewright.runtime import new_folder
 from tablewright.spec import DatasetSpec
@@ -48,10 +49,26 @@ def _(spark, sf):
         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     spec = DatasetSpec(types={"event_id": "int", "event_type": "category", "value": "float"}, fill_empty_rows_using="custom_value")
     out, state = new_folder(spark, "stream"), new_folder(spark, "progress")
-    incremental.clean_stream(_landed(spark, sf, df), spec, out, state).awaitTermination()
+    incremental.clean_stream(_landed(spark, sf, df), fit_cleaning(df, spec), out, state).awaitTermination()
     return spark.read.parquet(out).select("event_id", "event_type", "value")
 
 
+@query("stream_clean_mean", "with m as (select min(epoch_us(ts)) as low, max(epoch_us(ts)) as high from events), "
+       "e as (select user_id, event_type, case when epoch_us(ts) >= low + (high - low) * 3 // 10 then value end as value from events, m) "
+       "select distinct user_id, event_type, round(coalesce(value, (select avg(value) from e)), 6) as value from e")
+def _(spark, sf):
+    """A column that is empty in the first file, means of the whole history, and duplicates across files."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = F.unix_micros("ts") >= low + (high - low) * 3 // 10
+    df = events.select("ts", "user_id", "event_type", F.when(late, F.col("value")).alias("value"))
+    spec = DatasetSpec(types={"user_id": "int", "event_type": "str", "value": "float"})
+    model = fit_cleaning(df.drop("ts"), spec)
+    out, state = new_folder(spark, "stream"), new_folder(spark, "progress")
+    incremental.clean_stream(_landed(spark, sf, df).drop("ts"), model, out, state).awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type", F.round("value", 6).alias("value"))
+
+
 @query("stream_score", "select event_id, round((value - (select avg(value) from events)) / (select stddev_pop(value) from events), 6) as scaled from events")
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
@@ -68,10 +85,13 @@ def _(spark, sf):
     return _drained(spark, stream.select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("stream_kmeans")
+@query("stream_kmeans", "with e as (select cast(event_id % 3 as int) as cluster, 1000.0e0 * (event_id % 3) + user_id % 100 as x from events) "
+       "select cluster, round(avg(x), 6) as centre, count(*) as seen from e group by cluster")
 def _(spark, sf):
-    stream = _landed(spark, sf).select(F.array(F.col("value")).alias("x"))
+    """Values in three intervals far apart: each centre is the mean of its own, however the rows arrive."""
+    apart = F.lit(1000.0) * (F.col("event_id") % 3) + F.col("user_id") % 100
+    stream = _landed(spark, sf).select(F.array(apart).alias("x"))
     out, state = new_folder(spark, "stream"), new_folder(spark, "progress")
-    incremental.kmeans_stream(stream, np.array([[10.0], [50.0], [200.0]]), out, state).awaitTermination()
+    incremental.kmeans_stream(stream, np.array([[0.0], [1000.0], [2000.0]]), out, state).awaitTermination()
     centres, seen = incremental.read_centres(spark, out)
-    return spark.createDataFrame([(i, float(c[0]), int(s)) for i, (c, s) in enumerate(zip(centres, seen))], "cluster int, centre double, seen long")
+    return spark.createDataFrame([(i, round(float(c[0]), 6), int(s)) for i, (c, s) in enumerate(zip(centres, seen))], "cluster int, centre double, seen long")

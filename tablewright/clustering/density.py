@@ -51,11 +51,13 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
 
     A border point within reach of several clusters joins the one numbered lowest.
     """
+    if metric not in ("cosine", "minkowski", *POWERS):
+        raise ValueError(f"unsupported metric: {metric}")
     power = float(p) if p else POWERS.get(metric, 2.0)
     point = as_array(df, features)
     if metric == "cosine":
         norm = F.sqrt(dot(point, point))
-        point, power, eps = F.transform(point, lambda v: v / norm), 2.0, math.sqrt(2 * eps)
+        point, power, eps = F.transform(point, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0))), 2.0, math.sqrt(2 * eps)
     given = df.select(F.col(id_column).alias("id"), point.alias("x"))
     width = len(given.first().x)
     side = eps * (1 - 1e-12) / (1.0 if math.isinf(power) else width ** (1.0 / power))

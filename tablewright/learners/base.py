@@ -6,7 +6,7 @@ import importlib
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 class TableModel:
@@ -35,6 +35,24 @@ class TableModel:
         return cls(**params)
 
 
+class RelabelledModel(TableModel):
+    """A classifier fitted on 0, 1, ..., k - 1 that predicts the labels it was given."""
+
+    def transform(self, df: DataFrame, *more) -> DataFrame:
+        named = F.get(F.array(*[F.lit(float(v)) for v in self.classes]), F.col("prediction").cast("int"))
+        return self.inner.transform(df, *more).withColumn("prediction", named)
+
+    def save(self, path: str) -> None:
+        super().save(path)
+        save_model(self.inner, f"{path}/inner")
+
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str, params: dict) -> "RelabelledModel":
+        model = cls(**params)
+        model.inner = load_model(spark, f"{path}/inner")
+        return model
+
+
 def save_model(model, path: str) -> str:
     """Save a model of ours or of Spark's."""
     if isinstance(model, TableModel):

@@ -128,11 +128,12 @@ def regress(df: DataFrame, hyper: dict):
     """AdaBoost.R2; trees see the weights directly instead of a weighted resample."""
     rounds, rate = int(hyper.pop("n_estimators", 50)), float(hyper.pop("learning_rate", 1.0))
     seed, depth, loss = int(hyper.pop("random_state", None) or 42), _depth(hyper, 3), _loss(hyper.pop("loss", "linear"))
+    bins = int(hyper.pop("max_bins", 32))
     rows, n = _start(df)
     model = BoostedRegressor(alphas=[])
     model.trees, errors = [], []
     for i in range(rounds):
-        tree = DecisionTreeRegressor(maxDepth=depth, weightCol="w", seed=seed).fit(rows)
+        tree = DecisionTreeRegressor(maxDepth=depth, maxBins=bins, weightCol="w", seed=seed).fit(rows)
         scored = _predict(tree, rows, "_p")
         gap = F.abs(F.col("label") - F.col("_p"))
         largest = scored.agg(F.max(gap)).first()[0]

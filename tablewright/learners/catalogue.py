@@ -13,10 +13,11 @@ from tablewright.clustering.hierarchy import agglomerative, birch
 from tablewright.clustering.modes import mean_shift
 from tablewright.clustering.spectral import spectral
 from tablewright.functions.vectors import as_array
+from tablewright.learners.base import RelabelledModel
 from tablewright.learners import bayes, boosting, linear, margins, neighbours, trees
 from tablewright.operators import metrics
-from tablewright.operators.silhouette import silhouette, silhouette_squared
-from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut
+from tablewright.operators.silhouette import silhouette
+from tablewright.runtime import cut
 
 REGRESSORS = {
     "linear_regression": linear.ols, "ridge": linear.ridge, "lasso": linear.lasso, "elastic_net": linear.elastic_net,
@@ -58,18 +59,27 @@ class Trained:
 
 
 def cluster_score(df: DataFrame, features, label: str) -> dict[str, float | None]:
-    """Exact silhouette while the distinct points fit one task's memory, else the squared-distance one."""
-    distinct = df.select(as_array(df, features).alias("x")).distinct()
-    if bounded_count(distinct, BROADCAST_ROWS) <= BROADCAST_ROWS:
-        return {"silhouette": silhouette(df, features, label)}
-    many = df.select(label).distinct().limit(2).count() > 1
-    return {"silhouette_squared": silhouette_squared(df, features, label).first()[0] if many else None}
+    """The exact silhouette, at any size; ``silhouette_squared`` is the linear one to ask for instead."""
+    return {"silhouette": silhouette(df, features, label)}
+
+
+def _fit_classes(fit, train: DataFrame, hyper: dict):
+    """Fit on class numbers 0, 1, ..., k - 1 in the order of the labels, whatever these are."""
+    classes = sorted(float(r.label) for r in train.where("label is not null").select("label").distinct().collect())  # one row per class
+    if classes == [float(i) for i in range(len(classes))]:
+        return fit(train, hyper)
+    if isinstance(hyper.get("class_weight"), dict):
+        hyper["class_weight"] = {float(classes.index(float(c))): w for c, w in hyper["class_weight"].items() if float(c) in classes}
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label").cast("double")) - 1
+    model = RelabelledModel(classes=classes)
+    model.inner, progress = fit(train.withColumn("label", place.cast("double")), hyper)
+    return model, progress
 
 
 def _supervised(name: str, fit, train: DataFrame, test: DataFrame | None, hyper: dict) -> Trained:
     rest = {k: v for k, v in hyper.items() if v is not None or k in _NONE_COUNTS}
     started = time.perf_counter()
-    model, progress = fit(train, rest)
+    model, progress = _fit_classes(fit, train, rest) if name in CLASSIFIERS else fit(train, rest)
     elapsed = time.perf_counter() - started
     scores: dict[str, float] = {}
     for side, df in (("train", train), ("test", test)):

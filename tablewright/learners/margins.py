@@ -84,14 +84,18 @@ class MarginModel(TableModel):
         return model
 
 
+# Steps of a solver that is to stop by its tolerance alone.
+UNLIMITED = 1_000_000
+
+
 def classify(df: DataFrame, hyper: dict):
     """Hinge loss with penalty 1 / (n C); more than two classes by one-versus-rest."""
     kernel = _kernel_map(df, hyper, "rbf")
     mapped = class_weights(kernel.transform(df), hyper.pop("class_weight", None))
     n = mapped.agg(F.sum("weight")).first()[0]
     options = take(hyper, tol="tol", max_iter="maxIter")
-    if options.get("maxIter", 1) < 0:
-        options.pop("maxIter")
+    if options.get("maxIter", -1) < 0:
+        options["maxIter"] = UNLIMITED
     base = LinearSVC(regParam=1.0 / (n * float(hyper.pop("C", 1.0))), standardization=False, weightCol="weight", **options)
     many = df.select("label").distinct().limit(3).count() > 2
     inner = OneVsRest(classifier=base, weightCol="weight").fit(mapped) if many else base.fit(mapped)
@@ -128,7 +132,7 @@ def regress(df: DataFrame, hyper: dict):
     kernel = _kernel_map(df, hyper, "rbf")
     c, epsilon = float(hyper.pop("C", 1.0)), float(hyper.pop("epsilon", 0.1))
     tol, steps = float(hyper.pop("tol", 1e-3)), int(hyper.pop("max_iter", -1))
-    steps = 60 if steps < 0 else steps
+    steps = UNLIMITED if steps < 0 else steps
     mapped = kernel.transform(df)
     rows = mapped.select(as_array(mapped, "features").alias("x"), F.col("label").cast("double").alias("y")).persist()
     facts = rows.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), F.count("y").alias("n")).first()

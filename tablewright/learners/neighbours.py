@@ -70,6 +70,8 @@ class NeighboursModel(TableModel):
 
 def _fit(df: DataFrame, hyper: dict, task: str):
     metric = hyper.pop("metric", "minkowski")
+    if metric not in ("cosine", "minkowski", *POWERS):
+        raise ValueError(f"unsupported metric: {metric}")
     p = float(hyper.pop("p", 2) or 2)
     model = NeighboursModel(
         task=task, k=int(hyper.pop("n_neighbors", 5)), weights=hyper.pop("weights", "uniform"),

@@ -13,7 +13,7 @@ from tablewright.learners.linear import class_weights
 
 # Impurity names.
 IMPURITY = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy", "squared_error": "variance", None: None}
-DEFAULT_DEPTH = 10
+# The deepest tree that Spark grows.
 DEEPEST = 30
 
 
@@ -21,7 +21,9 @@ def _tree(hyper: dict) -> dict:
     depth = hyper.pop("max_depth", None)
     out = take(hyper, min_samples_leaf="minInstancesPerNode", min_impurity_decrease="minInfoGain",
                min_weight_fraction_leaf="minWeightFractionPerNode", random_state="seed", max_bins="maxBins")
-    out["maxDepth"] = DEFAULT_DEPTH if depth is None else min(int(depth), DEEPEST)
+    if depth is not None and int(depth) > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} deep, not {depth}")
+    out["maxDepth"] = DEEPEST if depth is None else int(depth)
     impurity = IMPURITY.get(hyper.pop("criterion", None))
     return {**out, "impurity": impurity} if impurity else out
 

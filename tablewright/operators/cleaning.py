@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,6 +16,10 @@ from tablewright.runtime import cut
 from tablewright.spec import DatasetSpec, is_declared_type
 
 
+# Copies of one row that one task makes.
+COPIES_TOGETHER = 4096
+
+
 def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     return {c: casts.to_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
 
@@ -106,12 +111,8 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
-    """Drop columns without a header, whichever reader named them."""
-    kept = [
-        c for c in df.columns
-        if not c.startswith("Unnamed") and not (c.startswith("_c") and c[2:].isdigit())
-    ]
-    return df.select(*[F.col(f"`{c}`") for c in kept])
+    """Drop columns without a header; ``read_csv`` names them ``Unnamed: <position>``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("Unnamed")])
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -162,6 +163,15 @@ def fill_most_frequent(df: DataFrame, columns: Sequence[str], unique_only: bool
 def handle_nulls(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Drop empty columns, fill by declared type, then drop rows still incomplete.
 
+    See ``null_plan``; without declared types nothing is filled.
+    """
+    required, out = null_plan(df, spec)
+    return drop_null_rows(df, required).select(*[value.alias(c) for c, value in out.items()])
+
+
+def null_plan(df: DataFrame, spec: DatasetSpec) -> tuple[list[str], dict[str, Column]]:
+    """What ``handle_nulls`` does to ``df``: the columns that must be present, and every kept column's expression.
+
     All fills come from the table before any row is dropped. Columns of a type
     that is never filled (date, bool, uint, complex, object) lose their null rows.
     One aggregation finds the empty columns, the means and the counts the medians
@@ -179,7 +189,7 @@ def handle_nulls(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     counts = {c: facts[f"n{i}"] for i, c in enumerate(df.columns)}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c]])
     if not spec.types:
-        return df
+        return df.columns, {c: F.col(f"`{c}`") for c in df.columns}
     filled = lambda columns: [c for c in columns if counts[c]]
     of = lambda *kinds: filled(c for c, t in declared.items() if t in kinds)
     strings, frequent = of("str"), of("category", "date_time", "time", "timedelta")
@@ -202,8 +212,31 @@ def handle_nulls(df: DataFrame, spec: DatasetSpec) -> DataFrame:
         value = F.coalesce(cell(df, name).cast("double"), values[name]) if name in values else cell(df, name)
         out[name] = round_whole(value) if declared[name] == "int" else value
     # Filled columns are complete; only the others can still cost a row.
-    kept = drop_null_rows(df, [c for c in df.columns if c not in fills and c not in values])
-    return kept.select(*[out.get(c, cell(df, c)).alias(c) for c in df.columns])
+    required = [c for c in df.columns if c not in fills and c not in values]
+    return required, {c: out.get(c, cell(df, c)) for c in df.columns}
+
+
+@dataclass
+class CleaningModel:
+    """Conversions, fills and kept columns as fitted on one table, for rows that arrive later."""
+
+    typed: dict[str, Column]
+    required: list[str]
+    out: dict[str, Column]
+    remove_duplicate: bool
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Typed, filled and complete rows; neither a shuffle nor a look at other rows."""
+        typed = df.select(*[value.alias(c) for c, value in self.typed.items()])
+        return drop_null_rows(typed, self.required).select(*[value.alias(c) for c, value in self.out.items()])
+
+
+def fit_cleaning(df: DataFrame, spec: DatasetSpec) -> CleaningModel:
+    """Learn from the history what ``enforce_types`` and ``handle_nulls`` would do to it."""
+    changed = conversions(df, spec)
+    typed = {c: changed.get(c, F.col(f"`{c}`")) for c in df.columns}
+    required, out = null_plan(df.select(*[value.alias(c) for c, value in typed.items()]), spec)
+    return CleaningModel(typed, required, out, spec.remove_duplicate)
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -241,7 +274,8 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) ->
 
     Each row is kept ``floor(f)`` times, and once more when its hash falls below
     the rest of ``f = largest / own``. Rows are copied where they lie; only the
-    per-class counts travel. A row without a class is kept as it is.
+    per-class counts travel. Where a row has very many copies, runs of them are dealt to
+    other tasks first. A row without a class is kept as it is.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
     factors = cut(counts, "classes")
@@ -249,5 +283,11 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) ->
     joined = lookup(df, factors.withColumn("_f", F.lit(largest) / F.col("n")), label, "_class", "_f")
     joined = joined.withColumn("_f", F.coalesce("_f", F.lit(1.0)))
     extra = hash_fraction(key, seed) < F.col("_f") - F.floor("_f")
-    copies = (F.floor("_f") + extra.cast("long")).cast("int")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_f")
+    counted = joined.withColumn("_copies", F.floor("_f") + extra.cast("long")).drop("_f")
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES_TOGETHER))
+    dealt = counted.withColumn("_run", F.explode(runs))
+    least = factors.agg(F.min("n")).first()[0]
+    if least and largest / least > COPIES_TOGETHER:
+        dealt = dealt.repartition(F.col(label), F.col("_run"), hash_fraction(key, seed))
+    first = F.col("_run") * COPIES_TOGETHER + 1
+    return dealt.withColumn("copy", F.explode(F.sequence(first, F.least("_copies", first + COPIES_TOGETHER - 1)))).drop("_copies", "_run")

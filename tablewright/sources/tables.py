@@ -16,17 +16,25 @@ from tablewright.spec import DatasetSpec
 FORMATS = ("csv", "parquet")
 
 
-def read_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, infer: bool = True, line_breaks: bool = True) -> DataFrame:
     """CSV with a header; the usual texts for a missing cell become null.
 
+    Cells may hold line breaks, so a file is read by one task; ``line_breaks=False`` promises
+    that none does and lets large files be split. A column without a header is called
+    ``Unnamed: <position>``.
+
     With declared types the cells stay text for ``enforce_types`` to convert.
     Otherwise one pass finds each column's type.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
-    texts = raw.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    names = raw.columns
+    if any(c == f"_c{i}" for i, c in enumerate(names)):  # perhaps named so by the reader
+        head = spark.read.option("multiLine", line_breaks).option("escape", '"').csv(path).first()
+        names = [f"Unnamed: {i}" if not head[i] else c for i, c in enumerate(names)]
+    texts = raw.select(*[null_tokens(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names)])
     if spec is not None and spec.types or not infer:
         return texts
     types = infer_types(texts)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewright.clustering.centres import batch_update
-from tablewright.plans.clean import clean
-from tablewright.spec import DatasetSpec
+from tablewright.operators.cleaning import CleaningModel
 
 # Fixed value: how often new files are looked for when a stream keeps running.
 POLL = "5 minutes"
@@ -29,16 +28,18 @@ def _trigger(writer, once: bool):
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)
 
 
-def clean_stream(stream: DataFrame, spec: DatasetSpec, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Clean each batch of new rows into its own folder.
+def clean_stream(stream: DataFrame, model: CleaningModel, out: str, checkpoint: str, once: bool = True,
+                 time_column: str | None = None, delay: str = "1 day") -> StreamingQuery:
+    """Clean new rows by a model fitted on the history, so all batches get one schema and the same fills.
 
-    A batch that is replayed after a failure overwrites its own folder, so every
-    row is written once; progress is kept only for batches that succeeded.
+    Duplicates are dropped across batches. With ``time_column`` the state for that is bounded:
+    rows are compared within ``delay`` of event time. Without it all rows seen are remembered.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        clean(batch, spec).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return _trigger(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), once).start()
+    cleaned = model.transform(stream)
+    if model.remove_duplicate:
+        keys = [c for c in cleaned.columns if c != time_column]
+        cleaned = dedupe_stream(cleaned, keys, time_column, delay) if time_column else cleaned.dropDuplicates()
+    return write_stream(cleaned, out, checkpoint, once)
 
 
 def score_stream(stream: DataFrame, model) -> DataFrame:
