@@ -60,11 +60,11 @@ def split_sql(key: str, share: float = 0.3) -> str:
     return f"cast(('0x' || substr(md5('42:' || {key}), 1, 8)) as bigint) / 4294967296.0::double < {share}"
 
 
-# Three separated squares of points.
+# Three separated squares of points, as many distinct ones as rows.
 _BLOBS = {
     "id": "o_orderkey",
-    "x": "10.0e0 * (o_orderkey % 3) + (o_orderkey * 37 % 100) / 100.0e0",
-    "y": "10.0e0 * ((o_orderkey % 3) % 2) + (o_orderkey * 53 % 100) / 100.0e0",
+    "x": "10.0e0 * (o_orderkey % 3) + (o_orderkey * 7919 % 1000003) / 1000003.0e0",
+    "y": "10.0e0 * ((o_orderkey % 3) % 2) + (o_orderkey * 104729 % 1000003) / 1000003.0e0",
     "truth": "cast(o_orderkey % 3 as int)",
 }
 BLOBS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in _BLOBS.items()) + " from orders"

@@ -59,7 +59,7 @@ def _settle(links: list) -> dict[int, int]:
 def _is_star_forest(links: DataFrame) -> bool:
     """Has every outer node one link, and is no centre an outer node?"""
     repeated = links.groupBy("a").count().where("count > 1").select("a")
-    chained = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+    chained = links.select(F.col("b").alias("a")).join(links.select("a").distinct(), "a", "left_semi")
     return repeated.union(chained).isEmpty()
 
 

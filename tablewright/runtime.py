@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+_owners: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path inside the shared folder, owned by the innermost ``owned_tables``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was written by ``cut`` and into ``new_folder`` inside.
+
+    Results are lazy: what is to outlive the block has to be written before it ends.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _owners.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:

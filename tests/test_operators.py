@@ -360,3 +360,44 @@ def test_fit_on_train_only(spark):
     spec = DatasetSpec(types={"v": "float"}, row_key=("id",))
     train, _, _ = build_features(df, spec, fit_on="train")
     assert abs(np.mean([r.features[0] for r in train.collect()])) < 1e-9
+
+
+def test_owned_tables_are_deleted(spark):
+    import os
+
+    from tablewright.runtime import cut, owned_tables
+
+    with owned_tables(spark):
+        inner = cut(spark.range(5), "owned")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert inner.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_oversample_of_a_very_rare_class(spark, monkeypatch):
+    from tablewright.operators import cleaning
+
+    monkeypatch.setattr(cleaning, "COPIES_TOGETHER", 10)
+    df = spark.range(301).selectExpr("id", "case when id = 0 then 'rare' else 'usual' end as label")
+    out = cleaning.oversample(df, "label", ["id"]).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("c")).collect()
+    assert {r["label"]: (r["n"], r["c"]) for r in out} == {"rare": (300, 300), "usual": (300, 1)}
+
+
+def test_unnamed_columns_and_quoted_breaks(spark, tmp_path):
+    from tablewright.operators.cleaning import drop_unnamed
+    from tablewright.sources.tables import read_csv
+
+    (tmp_path / "t.csv").write_text('_c0,,b\n1,2,"x\ny"\n3,4,z\n')
+    df = read_csv(spark, str(tmp_path / "t.csv"))
+    assert df.columns == ["_c0", "Unnamed: 1", "b"] and drop_unnamed(df).columns == ["_c0", "b"]
+    assert [r["b"] for r in df.orderBy("_c0").collect()] == ["x\ny", "z"]
+
+
+def test_metrics_and_depths_are_checked(spark):
+    from tablewright.learners.catalogue import train
+
+    df = spark.range(20).selectExpr("array(cast(id as double)) as features", "cast(id > 9 as double) as label")
+    with pytest.raises(ValueError):
+        train("knn_classifier", df, metric="hamming")
+    with pytest.raises(ValueError):
+        train("decision_tree", df, max_depth=45)
