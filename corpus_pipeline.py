@@ -10,7 +10,7 @@ from tablewright.llm.minhash import keep_one_of_each
 from tablewright.llm.mixing import mix_documents
 from tablewright.llm.queries import TOKENIZERS
 from tablewright.llm.substring_dedup import dedup_substrings
-from tablewright.runtime import cut
+from tablewright.runtime import new_folder, owned_tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents; what a stage wrote on the way is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = new_folder(spark, name)
+        with owned_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
