@@ -6,7 +6,7 @@ stages, so it runs inside code generation, saves natively and scores streams.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -184,11 +184,14 @@ def quick_features(df: DataFrame, target: str | None = None, keep: Sequence[str]
 
 def fit_pca(df: DataFrame, features: str = "features", k: int | None = None, keep: float = 0.95,
             output: str = "components") -> tuple[PipelineModel, list[float]]:
-    """Centred PCA with ``k`` components, or the fewest whose variance ratios exceed ``keep``."""
+    """Centred PCA with ``k`` components, or the fewest whose variance ratios exceed ``keep``.
+
+    The covariance needs no centred rows, so sparse vectors stay sparse; the few scores are
+    centred instead.
+    """
     width = len(df.select(features).first()[0])
-    centre = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False)
-    centred = centre.fit(df)
-    full = PCA(k=k or width, inputCol="_centred", outputCol="_scores").fit(centred.transform(df))
+    full = PCA(k=k or width, inputCol=features, outputCol="_scores").fit(df)
+    centre = StandardScaler(inputCol="_scores", outputCol="_centred", withMean=True, withStd=False).fit(full.transform(df))
     ratios = [float(v) for v in full.explainedVariance]
     if k is None:
         total, k = 0.0, width
@@ -197,9 +200,9 @@ def fit_pca(df: DataFrame, features: str = "features", k: int | None = None, kee
             if total > keep:
                 k = i + 1
                 break
-    kept = VectorSlicer(inputCol="_scores", outputCol=output, indices=list(range(k)))
+    kept = VectorSlicer(inputCol="_centred", outputCol=output, indices=list(range(k)))
     tidy = SQLTransformer(statement="SELECT * EXCEPT (_centred, _scores) FROM __THIS__")
-    return PipelineModel([centred, full, kept, tidy]), ratios[:k]
+    return PipelineModel([full, centre, kept, tidy]), ratios[:k]
 
 
 # ---- the whole transformer ------------------------------------------------
@@ -214,12 +217,33 @@ def _sql_double(value: float) -> str:
 
 @dataclass
 class FeatureModel:
-    """Fitted transformer: a pipeline, plus a code table for very wide categories."""
+    """Fitted transformer: a pipeline, plus a code table for very wide categories.
+
+    ``names`` has an entry per feature; one ``<column>=*`` stands for all values of a wide
+    category, of which there are ``widths``. ``name_table`` spells all of them out.
+    """
 
     pipeline: PipelineModel
     codes: DataFrame | None
     wide: list[str]
     names: list[str]
+    widths: dict[str, int] = field(default_factory=dict)
+
+    def name_table(self, spark: SparkSession) -> DataFrame:
+        """(position, name) of every slot of the feature vector."""
+        at, plain, starts = 0, [], []
+        for name in self.names:
+            if name in self.widths:
+                starts.append((name[:-2], at))
+            else:
+                plain.append((at, name))
+            at += self.widths.get(name, 1)
+        out = spark.createDataFrame(plain, "position long, name string")
+        if starts:
+            first = F.broadcast(spark.createDataFrame(starts, "col string, _at long"))
+            spelled = self.codes.join(first, "col").select((F.col("_at") + F.col("code")).cast("long"), F.concat("col", F.lit("="), "value"))
+            out = out.union(spelled)
+        return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.wide:
@@ -232,7 +256,7 @@ class FeatureModel:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.active()
         spark.createDataFrame(
-            [(self.wide, self.names)], "wide array<string>, names array<string>"
+            [(self.wide, self.names, self.widths)], "wide array<string>, names array<string>, widths map<string,int>"
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
         if self.codes is not None:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
@@ -241,7 +265,7 @@ class FeatureModel:
     def load(cls, spark, path: str) -> "FeatureModel":
         row = spark.read.parquet(f"{path}/names").first()
         codes = spark.read.parquet(f"{path}/codes") if row.wide else None
-        return cls(PipelineModel.load(f"{path}/pipeline"), codes, list(row.wide), list(row.names))
+        return cls(PipelineModel.load(f"{path}/pipeline"), codes, list(row.wide), list(row.names), dict(row.widths))
 
 
 def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADCAST_ROWS) -> FeatureModel:
@@ -252,7 +276,7 @@ def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADC
     how = "standard" if spec.standardization_necessary else "minmax" if spec.normalization_necessary else None
     facts = _scale_facts(df, imputed, how) if how else {c: (0.0, 1.0) for c in numeric}
 
-    parts, names = ["*"], []
+    parts, names, widths = ["*"], [], {}
     for i, c in enumerate(numeric):
         shift, width = facts[c]
         value = f"coalesce(nanvl(cast(`{c}` as double), null), {_sql_double(medians[c] or 0.0)})"
@@ -290,6 +314,7 @@ def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADC
                 code = f"coalesce(`{c}__code`, {_sql_double(sizes[c])})"
                 parts.append(f"case when `{c}` is null then {_sql_double(fallback.code)} else {code} end as _c{i}")
                 names.append(f"{c}=*")
+                widths[f"{c}=*"] = sizes[c]
     for i, c in enumerate(datetimes):
         kind = df.schema[c].dataType
         if isinstance(kind, T.StringType):
@@ -333,7 +358,7 @@ def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADC
     dropped = ", ".join(f"`{s}`" for s in dict.fromkeys(scratch))
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
 
-    model = FeatureModel(PipelineModel([]), codes if wide else None, wide, names)
+    model = FeatureModel(PipelineModel([]), codes if wide else None, wide, names, widths)
     if wide:
         coded = label_encode(
             df.withColumns({f"{c}__code": F.col(f"`{c}`") for c in wide}), [f"{c}__code" for c in wide],
@@ -345,6 +370,6 @@ def fit_features(df: DataFrame, spec: DatasetSpec, wide_categories: int = BROADC
     if spec.dimensionality_reduction:
         components, ratios = fit_pca(fitted.transform(coded), "_raw", output="features")
         fitted = PipelineModel(fitted.stages + components.stages)
-        model.names = [f"component_{i}" for i in range(len(ratios))]
+        model.names, model.widths = [f"component_{i}" for i in range(len(ratios))], {}
     model.pipeline = fitted
     return model
