@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablewright.llm import arrays as A
 from tablewright.llm.sketches import COORDINATES, ROWS, SHINGLE, band_keys, set_hashes, shingle_sets, signatures
 from tablewright.llm.tables import numbered, packed, settled, unpacked
-from tablewright.operators.components import connected_components
+from tablewright.llm.components import components
 
 # Similarity of linked documents in percent.
 PERCENT = 75
@@ -130,14 +130,14 @@ def link_representatives(reps: DataFrame, docs: DataFrame, percent: int = PERCEN
 
     stars = bands.where((F.col("_n") != F.col("pivot._n")) & _reaches(F.least(F.col("bound"), F.col("pivot.bound")), F.col("size"), F.col("pivot.size"), percent))
     first = settled(verified(stars.select(F.col("pivot._n").alias("a"), F.col("_n").alias("b")).distinct(), sets, percent), "links")
-    label = connected_components(first, small=0).select(F.col("node").alias("_n"), F.col("component").alias("label"))
+    label = components(first).select(F.col("node").alias("_n"), F.col("component").alias("label"))
     labelled = bands.join(label, "_n", "left").withColumn("label", F.coalesce("label", "_n")).repartition("key")
     open_ = settled(labelled.withColumn("l0", F.min("label").over(by_key)).withColumn("l1", F.max("label").over(by_key)).where("l0 <> l1")
                     .select("_n", "size", "bound", "label", F.col("pivot._n").alias("pivot")), "open")
     if open_.isEmpty():
         return first
 
-    clouds = connected_components(open_.select(F.col("pivot").alias("a"), F.col("_n").alias("b")).distinct(), small=0)
+    clouds = components(open_.select(F.col("pivot").alias("a"), F.col("_n").alias("b")).distinct())
     clouds = clouds.select(F.col("node").alias("_n"), F.col("component").alias("cloud"))
     each = settled(open_.drop("pivot").distinct().join(clouds, "_n"), "clouds")
     parts = each.groupBy("cloud").agg(F.ceil(F.sum("size") / chunk).cast("int").alias("parts"), F.count_distinct("label").alias("labels")).where("labels > 1")
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = classes.groupBy("s1", "s2").agg(F.min("_n").alias("rep"))
     classes = settled(classes.join(same, ["s1", "s2"]).select("_n", "n_shingles", "rep", F.when(F.col("_n") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
     links = link_representatives(classes.where("keys is not null"), docs, percent)
-    component = connected_components(links, small=0).select(F.col("node").alias("rep"), "component")
+    component = components(links).select(F.col("node").alias("rep"), "component")
     placed = classes.join(component, "rep", "left").select("_n", "n_shingles", F.coalesce("component", "rep").alias("component"))
     names = docs.select(F.col("_n").alias("component"), F.col("doc_id").alias("component_id"))
     placed = docs.select("_n", "doc_id").join(placed, "_n", "left").withColumn("component", F.coalesce("component", "_n"))
