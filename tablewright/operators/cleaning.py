@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions import casts
@@ -248,19 +251,9 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     return plain.dropDuplicates()
 
 
-def drop_correlated(
-    df: DataFrame, columns: Sequence[str], threshold: float = 0.9, per_job: int = 1000
-) -> DataFrame:
+def drop_correlated(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """Drop each numeric column that correlates above ``threshold`` with a kept earlier one."""
-    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    strong: set[tuple[str, str]] = set()
-    for start in range(0, len(pairs), per_job):
-        part = pairs[start:start + per_job]
-        row = df.agg(*[
-            F.corr(cell(df, a).cast("double"), cell(df, b).cast("double")).alias(f"r{i}")
-            for i, (a, b) in enumerate(part)
-        ]).first()
-        strong |= {p for p, r in zip(part, row) if r is not None and abs(r) > threshold}
+    strong = correlated_pairs(df, columns, threshold) if len(columns) > 1 else set()
     kept: list[str] = []
     for b in columns:
         if not any((a, b) in strong for a in kept):
@@ -269,6 +262,41 @@ def drop_correlated(
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in dropped])
 
 
+def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float) -> set[tuple[str, str]]:
+    """Pairs (a, b) of columns, a first, whose rows with both present correlate above ``threshold``.
+
+    One pass for the means and one for all pairs: each task sums its rows as small matrices
+    over the columns, and the rows of these matrices meet per column.
+    """
+    width = len(columns)
+    numbers = [cell(df, c).cast("double") for c in columns]
+    means = np.array([v or 0.0 for v in df.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(numbers)]).first()])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, width, width))
+        for frame in batches:
+            for at in range(0, len(frame), 4096):
+                x = np.stack(frame["x"].iloc[at: at + 4096].to_numpy()).astype(float) - means
+                here = np.isfinite(x).astype(float)
+                x = np.where(here > 0, x, 0.0)
+                own, square = x.T @ here, (x * x).T @ here
+                total += np.stack([here.T @ here, own, own.T, square, square.T, x.T @ x])
+        yield pd.DataFrame({"i": range(width), "m": [total[:, i].ravel() for i in range(width)]})
+
+    def strong(frame: pd.DataFrame) -> pd.DataFrame:
+        n, sx, sy, sxx, syy, sxy = np.sum(np.stack(frame["m"].to_numpy()), axis=0).reshape(6, width)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
+            r = np.where(spread > 0, (n * sxy - sx * sy) / np.sqrt(spread), 0.0)
+        i = int(frame["i"].iat[0])
+        near = [j for j in np.flatnonzero(np.abs(r) > threshold) if j > i]
+        return pd.DataFrame({"i": [i] * len(near), "j": near}, dtype="int64")
+
+    parts = df.select(F.array(*numbers).alias("x")).mapInPandas(sums, "i long, m array<double>")
+    found = parts.groupBy("i").applyInPandas(strong, "i long, j long").collect()  # pairs of columns
+    return {(columns[r.i], columns[r.j]) for r in found}
+
+
 def oversample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Repeat rows of the rarer classes until classes are about equally large.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut
 
 SALTS = 64
+# Most bytes a broadcast table may hold.
+BROADCAST_BYTES = 64 << 20
 # A value held by more than this share of the rows is looked up without a shuffle.
 HOT_SHARE = 1 / 2000
 
@@ -14,9 +16,9 @@ HOT_SHARE = 1 / 2000
 def lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, small: int = BROADCAST_ROWS) -> DataFrame:
     """Left join ``table`` (unique ``key`` -> ``value``, optional row count ``n``) to column ``on``.
 
-    A table of checked size is broadcast; a larger one is joined by ``spread_lookup``.
+    A table of checked rows and bytes is broadcast; a larger one is joined by ``spread_lookup``.
     """
-    if bounded_count(table, small) <= small:
+    if bounded_count(table, small) <= small and _bytes(table, key, value) <= BROADCAST_BYTES:
         return df.join(
             F.broadcast(table.select(F.col(key).alias("_k"), F.col(value).alias(value))),
             F.col(on) == F.col("_k"), "left",
@@ -27,6 +29,21 @@ def lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, small
     return spread_lookup(df, table, on, key, value, table.agg(F.sum("n")).first()[0])
 
 
+def _bytes(table: DataFrame, *columns: str) -> int:
+    """About the bytes of the given columns; numbers count 8 each."""
+    def width(c: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        return F.lit(8 * (1 + len(kind.fields)) if isinstance(kind, T.StructType) else 8)
+
+    plain = [width(c, table.schema[c].dataType) for c in columns]
+    if all(isinstance(table.schema[c].dataType, (T.NumericType, T.BooleanType)) for c in columns):
+        return 0  # the row bound is enough
+    return table.agg(F.sum(sum(plain, F.lit(0).cast("long")))).first()[0] or 0
+
+
 def spread_lookup(df: DataFrame, table: DataFrame, on: str, key: str, value: str, rows: int) -> DataFrame:
     """Left join on a key some values of which may hold a large share of the ``rows``.
 
