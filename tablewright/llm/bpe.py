@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from tablewright.llm.arrays import batches
 
 VOCABULARY = "word_bpe_49k.json"
-# Distinct runs of characters kept with their tokens by one worker, and the longest such run.
-CACHED = 400_000
-CACHED_BORDERS = 1 << 20
+# Distinct words kept with their tokens by one worker, about, borders kept, and the longest such word.
+CACHED = 300_000
+CACHED_BORDERS = 1 << 19
 CACHED_LENGTH = 64
 # Characters of a text cut into runs at once.
 CHUNK = 1 << 16
@@ -235,36 +235,32 @@ class Encoder:
     """Tokens of texts, one run of other than white space at a time.
 
     No word reaches across white space, so a run's tokens do not depend on its place; those
-    of short runs and words are kept in bounded caches.
+    of short words are kept in a bounded cache.
     """
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self._runs, self._words = Recent(CACHED), Recent(CACHED)
+        self._known = Recent(CACHED)
 
     def run(self, run: str) -> tuple[int, str, str]:
         """(number of tokens, decimal ids joined by spaces, tokens joined by spaces) of a run in normal form."""
-        known = self._runs.new.get(run)
+        known = self._known.new.get(run)
         if known is not None:
             return known
-        known = self._runs.old.get(run)
-        if known is None:
-            # All letters, or letters and one mark: the usual runs need no pattern.
-            if run.isalpha():
-                known = self.word(run)
-            elif run[-1] in ".," and run[:-1].isalpha():
-                (n, ids, tokens), (m, more_ids, more) = self.word(run[:-1]), self.word(run[-1])
-                known = n + m, f"{ids} {more_ids}", f"{tokens} {more}"
-            else:
-                words = [self.word(w) for w in self.vocabulary.word.findall(run)]
-                known = sum(w[0] for w in words), " ".join([w[1] for w in words]), " ".join([w[2] for w in words])
-        return self._runs.put(run, known) if len(run) <= CACHED_LENGTH else known
+        # All letters, or letters and one mark: the usual runs need no pattern.
+        if run.isalpha():
+            return self.word(run)
+        if run[-1] in ".," and run[:-1].isalpha():
+            (n, ids, tokens), (m, more_ids, more) = self.word(run[:-1]), self.word(run[-1])
+            return n + m, f"{ids} {more_ids}", f"{tokens} {more}"
+        words = [self.word(w) for w in self.vocabulary.word.findall(run)]
+        return sum(w[0] for w in words), " ".join([w[1] for w in words]), " ".join([w[2] for w in words])
 
     def word(self, word: str) -> tuple[int, str, str]:
-        known = self._words.new.get(word)
+        known = self._known.new.get(word)
         if known is not None:
             return known
-        known = self._words.old.get(word)
+        known = self._known.old.get(word)
         if known is None:
             vocabulary = self.vocabulary
             if len(word) * 4 <= vocabulary.lookahead * 2:
@@ -272,7 +268,7 @@ class Encoder:
             else:
                 ids = list(transduce(vocabulary, vocabulary.symbols(word)))
             known = len(ids), " ".join(map(str, ids)), " ".join([vocabulary.tokens[i] for i in ids])
-        return self._words.put(word, known) if len(word) <= CACHED_LENGTH else known
+        return self._known.put(word, known) if len(word) <= CACHED_LENGTH else known
 
     def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
         """Encoded runs and special strings of a text, in order."""
