@@ -11,6 +11,8 @@ from tablewright.clustering.centres import assign
 from tablewright.clustering.density import dbscan
 from tablewright.functions.blocks import distances, matrix
 from tablewright.functions.vectors import as_array
+from tablewright.operators.lookup import lookup
+from tablewright.operators.ordering import with_position
 from tablewright.operators.proximity import grid_key
 from tablewright.runtime import bounded_count, cut
 
@@ -110,29 +112,22 @@ def agglomerative(df: DataFrame, id_column: str, features, n_clusters: int | Non
     return assign(rows, points, labels).withColumnRenamed("id", id_column)
 
 
-def birch(df: DataFrame, id_column: str, features, threshold: float = 0.5, n_clusters: int | None = 3,
-          summaries: int = SUMMARIES) -> DataFrame:
+def birch(df: DataFrame, id_column: str, features, threshold: float = 0.5, n_clusters: int | None = 3, seed: int = 42) -> DataFrame:
     """(id, cluster) from clustering features (count, linear sum) of small cells.
 
-    A cell's radius stays below ``threshold``; as in the original method the
-    threshold grows when there are too many features to merge. Features combine
-    on the map side, so a crowded cell costs one row per task.
+    A cell's radius stays below ``threshold``. Features combine on the map side, so a crowded
+    cell costs one row per task. The cells' centroids are clustered by weighted KMeans;
+    without ``n_clusters`` every cell is a cluster, numbered in the order of its key.
     """
     rows = df.select(F.col(id_column).alias("id"), as_array(df, features).alias("x"))
     width = len(rows.first().x)
-    side = 2 * threshold / width**0.5
-    while True:
-        cell = grid_key(F.col("x"), side, list(range(width)))
-        cells = cut(rows.groupBy(cell.alias("cell")).agg(
-            F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[j]) for j in range(width)]).alias("x")), "cells")
-        if bounded_count(cells, summaries) <= summaries:
-            break
-        side *= 2
-    found = cells.select("n", "x").toPandas()
-    centroids = matrix(found["x"], width)
+    rows = rows.withColumn("cell", grid_key(F.col("x"), 2 * threshold / width**0.5, list(range(width))))
+    cells = cut(rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[j]) for j in range(width)]).alias("x")), "cells")
     if n_clusters is None:
-        labels = np.arange(len(centroids))
+        labels = with_position(cells, ["cell"], "cluster").select("cell", "n", "cluster")
     else:
-        merges = merge_tree(centroids, np.ones(len(centroids)), "ward")
-        labels = cut_tree(len(centroids), merges, min(n_clusters, len(centroids)), None)
-    return assign(rows, centroids, labels).withColumnRenamed("id", id_column)
+        vectors = cells.select("cell", "n", array_to_vector("x").alias("features"), F.col("n").cast("double").alias("w"))
+        model = KMeans(k=n_clusters, seed=seed, maxIter=100, weightCol="w").fit(vectors)
+        labels = model.transform(vectors).select("cell", "n", F.col("prediction").cast("long").alias("cluster"))
+    return lookup(rows.select("id", "cell"), cut(labels, "labels"), "cell", "cell", "cluster").select(F.col("id").alias(id_column), "cluster")

@@ -1,4 +1,4 @@
-"""Spectral clustering, exact on few points and by landmarks on many (Chen & Cai 2011)."""
+"""Spectral clustering by landmarks (Chen & Cai 2011)."""
 
 from __future__ import annotations
 
@@ -13,58 +13,33 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.functions.blocks import distances, matrix, row_slices, smallest
 from tablewright.functions.vectors import as_array
 from tablewright.operators.lookup import lookup
-from tablewright.runtime import bounded_count, cut
+from tablewright.runtime import cut
 
-# Up to this many distinct points the whole affinity matrix is decomposed (32 MB).
-EXACT_POINTS = 2_000
+# Landmarks that describe the points, and to how many of them a point is tied.
 LANDMARKS = 256
 NEAREST = 5
 
 
-def _embed_exact(x: np.ndarray, w: np.ndarray, k: int, gamma: float, affinity: str, neighbours: int) -> np.ndarray:
-    """Leading eigenvectors; a point of weight w stands for w equal rows."""
-    d = distances(x, x)
-    if affinity == "rbf":
-        a = np.exp(-gamma * d**2)
-    else:
-        near = smallest(d, neighbours)
-        a = np.zeros_like(d)
-        np.put_along_axis(a, near, 1.0, axis=1)
-        a = (a + a.T) / 2
-    np.fill_diagonal(a, (w - 1) / w)
-    a = a * np.sqrt(w[:, None] * w[None, :])
-    scale = 1.0 / np.sqrt(np.maximum((a * np.sqrt(w)[None, :]).sum(axis=1) / np.sqrt(w), 1e-300))
-    _, vectors = np.linalg.eigh(scale[:, None] * a * scale[None, :])
-    return vectors[:, -k:]
-
-
 def spectral(df: DataFrame, id_column: str, features, n_clusters: int = 8, n_components: int | None = None, gamma: float = 1.0,
              affinity: str = "rbf", n_neighbors: int = 10, n_init: int = 10, seed: int = 42,
-             exact_points: int = EXACT_POINTS, landmarks: int = LANDMARKS) -> DataFrame:
+             landmarks: int = LANDMARKS) -> DataFrame:
     """(id, cluster) of the leading eigenvectors of the normalised affinity.
 
-    With many points each is described by its affinity to its nearest landmarks;
-    one pass sums the landmark Gram matrix, the driver decomposes that small
-    matrix, and a second pass writes the embedding.
+    At any size a point is described by its affinity to its nearest landmarks (the nearest
+    ``n_neighbors`` with ``affinity="nearest_neighbors"``); one pass sums the landmark Gram
+    matrix, the driver decomposes that small matrix, and a second pass writes the embedding.
     """
     if affinity not in ("rbf", "nearest_neighbors"):
         raise ValueError(f"unsupported affinity {affinity!r}: choose rbf or nearest_neighbors")
     k = n_components or n_clusters
     given = df.select(F.col(id_column).alias("id"), as_array(df, features).alias("x"))
     points = cut(given.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "points")
-    spark = df.sparkSession
-    if bounded_count(points, exact_points) <= exact_points:
-        rows = points.toPandas()
-        vectors = _embed_exact(matrix(rows["x"], 1), rows["w"].to_numpy(float), k, gamma, affinity, n_neighbors)
-        embedded = spark.createDataFrame(
-            [(list(map(float, x)), float(w), list(map(float, v))) for x, w, v in zip(rows["x"], rows["w"], vectors)],
-            "x array<double>, w double, v array<double>")
-    else:
-        embedded = _embed_landmarks(points, k, gamma, affinity, seed, landmarks)
+    nearest = n_neighbors if affinity == "nearest_neighbors" else NEAREST
+    embedded = _embed_landmarks(points, k, gamma, affinity, seed, landmarks, nearest)
     unit = F.transform("v", lambda t: t / F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, u: s + u * u)), F.lit(1e-300)))
     ready = cut(embedded.select("x", "w", array_to_vector(unit).alias("features")), "embedded")
     best = None
-    for i in range(max(1, min(n_init, 10))):
+    for i in range(max(1, n_init)):
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=100, weightCol="w").fit(ready)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
@@ -72,7 +47,7 @@ def spectral(df: DataFrame, id_column: str, features, n_clusters: int = 8, n_com
     return lookup(given, labels, "x", "x", "cluster").select(F.col("id").alias(id_column), "cluster")
 
 
-def _embed_landmarks(points: DataFrame, k: int, gamma: float, affinity: str, seed: int, landmarks: int) -> DataFrame:
+def _embed_landmarks(points: DataFrame, k: int, gamma: float, affinity: str, seed: int, landmarks: int, nearest: int) -> DataFrame:
     vectors = points.select(array_to_vector("x").alias("features"), F.col("w").cast("double").alias("w"))
     centres = np.array(KMeans(k=landmarks, seed=seed, maxIter=10, initSteps=1, weightCol="w").fit(vectors).clusterCenters())
     m = len(centres)
@@ -82,7 +57,7 @@ def _embed_landmarks(points: DataFrame, k: int, gamma: float, affinity: str, see
         out = np.zeros((len(x), m))
         for part in row_slices(len(x), m):
             d = distances(x[part], sent.value)
-            near = smallest(d, NEAREST)
+            near = smallest(d, nearest)
             close = np.take_along_axis(d, near, axis=1)
             # measured from the nearest landmark, so a far point keeps a usable scale
             a = np.exp(-gamma * (close**2 - close[:, :1] ** 2)) if affinity == "rbf" else np.ones_like(close)

@@ -211,8 +211,8 @@ def blobs(spark, n=900, seed=3):
 def test_summaries_and_landmarks_recover_blobs(spark):
     df, want = blobs(spark)
     assert partition(agglomerative(df, "id", "features", n_clusters=3, summaries=60)) == want
-    assert partition(birch(df, "id", "features", threshold=0.1, n_clusters=3, summaries=100)) == want
-    assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, exact_points=100, landmarks=40)) == want
+    assert partition(birch(df, "id", "features", threshold=0.1, n_clusters=3)) == want
+    assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, landmarks=40)) == want
     assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, affinity="nearest_neighbors")) == want
     assert partition(mean_shift(df, "id", "features", bandwidth=2.0)) == want
 
