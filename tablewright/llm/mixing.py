@@ -25,7 +25,7 @@ MOST_PASSES = 2
 BLOCK_WORDS = 256
 SHARDS = 64
 # Blocks of a source ranked by one window, and most such windows for a source.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 2_000
 MOST_RANGES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
