@@ -66,3 +66,14 @@ def test_words_and_windows():
     values = np.array([3, 1, 2, 1, 5, 0, 0, 9], np.uint64)
     assert arrays.sliding_argmin(values, 3).tolist() == [1, 1, 3, 5, 5, 5]
     assert arrays.sliding_argmin(values, 3, rightmost=True).tolist() == [1, 3, 3, 5, 6, 6]
+
+
+def test_components_of_small_and_large_graphs(spark):
+    from tablewright.llm.components import components
+
+    links = [(5, 3), (3, 9), (3, 3), (7, 8), (9, 5), (20, 21), (21, 22), (22, 23), (23, 24)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = [(3, 3), (5, 3), (9, 3), (7, 7), (8, 7), *[(n, 20) for n in range(20, 25)]]
+    brute.alike(components(df).collect(), want)
+    brute.alike(components(df, one_task=0).collect(), want)
+    assert components(df.where("a > 100")).count() == 0 and components(df.where("a > 100"), one_task=0).count() == 0
