@@ -1,7 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. Tokens of the templates are ordered by their frequency in the whole
-corpus, rarest first. A block that contains at least ``threshold`` of a template's tokens
+Blocks are lines and, across line breaks, runs of consecutive words sized to each template.
+Tokens of the templates are ordered by their frequency in the whole corpus, rarest first. A block that contains at least ``threshold`` of a template's tokens
 must share one of the template's first tokens in that order (prefix filter), must hold
 enough template tokens at all (length filter), and after its first shared token both sides
 must have enough tokens left (positional filter). What passes is counted in full.
@@ -12,9 +12,13 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.runtime import cut
+
 # Phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 # Well-known notices and their labels.
@@ -79,12 +83,15 @@ class TokenOrder:
     def __init__(self, templates, frequency: dict[str, int], threshold: float):
         tokens = sorted({w for _, text in templates for w in words_of(text)}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(tokens)}
-        self.templates = []
+        self.templates, self.spans = [], []
         for label, text in templates:
-            ranks = sorted({self.rank[w] for w in words_of(text)})
+            words = words_of(text)
+            ranks = sorted({self.rank[w] for w in words})
             # Tokens a block has to share; the slack keeps 0.9 * 10 at 9.
             need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
             self.templates.append((label, ranks, need))
+            # Words of a run: the template's and as many foreign ones as the threshold leaves room for.
+            self.spans.append((label, sorted(set(words)), need, math.ceil(len(words) / threshold - 1e-9)))
         self.prefix = sorted({w for w, i in self.rank.items() if any(i in ranks[: len(ranks) - need + 1] for _, ranks, need in self.templates)})
         self.least = min(need for *_, need in self.templates)
 
@@ -96,23 +103,53 @@ def token_frequency(docs: DataFrame, templates) -> dict[str, int]:
     return {r["w"]: r["count"] for r in found.collect()}
 
 
+def _held(words: Column, order: TokenOrder) -> Column:
+    return F.array_distinct(F.filter(words, lambda w: w.isin(list(order.rank))))
+
+
+def _candidates(docs: DataFrame, order: TokenOrder) -> DataFrame:
+    """Rows whose whole text holds enough tokens of a template; no block of the others can match."""
+    enough = lambda held: reduce(or_, (F.size(F.array_intersect(held, F.lit(tokens))) >= need for _, tokens, need, _ in order.spans))
+    # The one-element array has the tokens looked up once, not per template.
+    return docs.where(F.exists(F.array(_held(F.split(spaced(F.col("text")), " +"), order)), enough))
+
+
+def _runs(docs: DataFrame, order: TokenOrder) -> DataFrame:
+    """(doc_id, _k1, _k2, held, only): runs of a template's length, across lines, that hold ``need`` places of its tokens.
+
+    A run starts at a token of its template, so any run that matches is among them; other
+    templates are not looked for in it.
+    """
+    words = docs.select("doc_id", "_k1", "_k2", F.split(F.trim(spaced(F.col("text"))), " +").alias("words"))
+    words = words.select("*", _held(F.col("words"), order).alias("all"))
+    spans = docs.sparkSession.createDataFrame(order.spans, "only string, tokens array<string>, need int, span int")
+    both = words.join(F.broadcast(spans), F.size(F.array_intersect("all", "tokens")) >= F.col("need"))
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains("tokens", w), i)))
+    # Positional filter: the need-th token from here stands within the run.
+    starts = F.transform(F.array(at), lambda at: F.filter(at, lambda p, j: F.get(at, j + F.col("need") - 1) - p < F.col("span")))[0]
+    held = F.array_distinct(F.transform(starts, lambda p: F.array_sort(F.array_intersect(F.slice("words", p + 1, F.col("span")), "tokens"))))
+    return both.select("doc_id", "_k1", "_k2", F.explode(held).alias("held"), "only")
+
+
 def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, _k1, _k2, label, containment): every line that holds ``threshold`` of a template's distinct tokens."""
+    """(doc_id, _k1, _k2, label, containment): every block that holds ``threshold`` of a template's distinct tokens."""
     spark = docs.sparkSession
     order = TokenOrder(templates, token_frequency(docs, templates), threshold)
-    lines = docs.select("doc_id", *_row_keys(), F.explode(F.split("text", "\n")).alias("line"))
-    # Prefix and length filters for all templates at once leave few lines.
-    held = F.array_distinct(F.filter(F.split(spaced(F.col("line")), " +"), lambda w: w.isin(list(order.rank))))
-    lines = (lines.select("doc_id", "_k1", "_k2", held.alias("held")).where(F.size("held") >= order.least)
-             .where(F.arrays_overlap("held", F.lit(order.prefix))))
+    docs = cut(_candidates(docs.select("doc_id", *_row_keys(), "text"), order), "candidates")
+    lines = docs.select("doc_id", "_k1", "_k2", F.explode(F.split("text", "\n")).alias("line"))
+    held = _held(F.split(spaced(F.col("line")), " +"), order)
+    blocks = lines.select("doc_id", "_k1", "_k2", held.alias("held"), F.lit(None).cast("string").alias("only")).union(_runs(docs, order))
+    # Prefix and length filters for all templates at once leave few blocks.
+    blocks = blocks.where(F.size("held") >= order.least).where(F.arrays_overlap("held", F.lit(order.prefix)))
     by_rank = F.lit(sorted(order.rank, key=order.rank.get))
     ranks = F.array_sort(F.transform("held", lambda w: (F.array_position(by_rank, w) - 1).cast("int")))
-    lines = lines.select("doc_id", "_k1", "_k2", ranks.alias("ranks"))
+    blocks = blocks.select("doc_id", "_k1", "_k2", "only", ranks.alias("ranks"))
     sides = spark.createDataFrame(order.templates, "label string, t array<int>, need int")
     prefix = lambda ranks: F.slice(ranks, 1, F.greatest(F.size(ranks) - F.col("need") + 1, F.lit(0)))
     index = F.broadcast(sides.select("label", "t", "need", F.explode(prefix(F.col("t"))).alias("token")))
-    first = F.array_intersect(prefix(F.col("ranks")), prefix(F.col("t")))[0]
-    pairs = (lines.select("*", F.explode("ranks").alias("token")).join(index, "token")
+    first = F.get(F.array_intersect(prefix(F.col("ranks")), prefix(F.col("t"))), F.lit(0))
+    pairs = (blocks.select("*", F.explode("ranks").alias("token")).join(index, "token")
+             .where(F.col("only").isNull() | (F.col("only") == F.col("label")))
              .where((F.size("ranks") >= F.col("need")) & (F.col("token") == first))
              .where(1 + F.least(F.size("ranks") - F.array_position("ranks", F.col("token")), F.size("t") - F.array_position("t", F.col("token"))) >= F.col("need")))
     shared = F.size(F.array_intersect("ranks", "t"))
@@ -128,11 +165,12 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
     Phrases are found where their words stand consecutively, also across lines. Template
     labels come from ``matching_blocks``; the score is the largest containment of a template
-    in a line, 1 with a phrase, else 0.
+    in a block that matches it, 1 with a phrase, else 0.
 
     * A null or empty text, or one without words, has no words and labels and score 0.
     * Places that overlap are all counted. Repeated rows each get the same row.
-    * Long texts are scanned whole; lines of any length are blocks.
+    * Long texts are scanned whole; lines of any length are blocks, and so is every run of a
+      template's number of words over the threshold, wherever lines break.
     * Columns other than doc_id and text are not read.
     """
     hits = (matching_blocks(docs, templates, threshold).groupBy("_k1", "_k2")

@@ -167,6 +167,26 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.where("doc_id < 0")).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    def wrap(text, lead):
+        return "Some header\n" + "".join(f"{lead}{line}\n" for line in textwrap.wrap(text, 70)) + "int main() {}"
+
+    labels = [label for label, _ in licenses.TEMPLATES]
+    leads = ["", " * ", "rem "]
+    rows = [(10 * i + j, wrap(text, lead)) for i, (_, text) in enumerate(licenses.TEMPLATES) for j, lead in enumerate(leads)]
+    # One word a line; the same tokens, but too far apart for one notice; a notice between two others.
+    bsd = dict(licenses.TEMPLATES)["bsd"]
+    rows += [(900, bsd.replace(" ", "\n")), (901, ("\n" + "filler " * 4).join(bsd.split())), (902, wrap(" ".join(t for _, t in licenses.TEMPLATES[7:]), ""))]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(labels):
+        for j in range(len(leads)):
+            assert label in got[10 * i + j]["labels"].split(",") and got[10 * i + j]["score"] == 1.0, (label, leads[j])
+    assert (got[900]["labels"], got[900]["score"]) == ("bsd", 1.0) and (got[901]["labels"], got[901]["score"]) == ("", 0.0)
+    assert set(labels[7:]) <= set(got[902]["labels"].split(","))
+
+
 def test_targets():
     plans = {p.source: p for p in mixing.targets({"b": 100, "a": 10, None: 1000, "c": 0})}
     assert plans["a"].target == 20 and plans["c"].target == 0 and plans["b"].target == 200
