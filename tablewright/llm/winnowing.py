@@ -2,7 +2,8 @@
 
 Every text is hashed in rolling grams of ``gram`` code points; of each run of ``window``
 grams the smallest hash is kept, the rightmost on ties, with its position. Two texts that
-share ``gram + window - 1`` code points share at least one kept gram.
+share ``gram + window - 1`` code points share at least one kept gram. Short texts (below
+``EVERY`` code points) keep every gram, of which those of a window are a part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.llm.arrays import BLOCK_BYTES, mix64, sliding_argmin, twice
 
 GRAM = 16  # a power of two: gram hashes are built by doubling
-WINDOW = 80
+WINDOW = 8
+# Texts below this many code points keep every gram: half of a longer one is more than a window.
+EVERY = 2 * (GRAM + WINDOW - 1)
 # Code points hashed at once; the arrays of a block stay below some tens of megabytes.
 BLOCK_CHARS = 1 << 19
 _LOWEST = -(1 << 63)
@@ -47,6 +50,13 @@ def _short(points: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[at: at + 1], np.array([at], np.int64)
 
 
+def _every(points: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of a short text; itself as one gram when it is shorter than that."""
+    if len(points) <= gram:
+        return _short(points, gram)
+    return rolling(points, gram), np.arange(len(points) - gram + 1, dtype=np.int64)
+
+
 def _long(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of one text in blocks that overlap by a window, so memory stays bounded."""
     hashes, places = [], []
@@ -60,8 +70,11 @@ def _long(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes)[keep], at
 
 
-def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, positions) of every text, positions ascending. Texts are hashed together in blocks."""
+def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW, every: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions) of every text, positions ascending; texts below ``every`` code points keep all grams.
+
+    Texts are hashed together in blocks.
+    """
     out: list = [None] * len(texts)
     span = gram + window - 2
     group: list[int] = []
@@ -83,7 +96,9 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> li
             low = cut
 
     for i, text in enumerate(texts):
-        if len(text) <= span:
+        if len(text) < every:
+            out[i] = _every(code_points(text), gram)
+        elif len(text) <= span:
             out[i] = _short(code_points(text), gram)
         elif len(text) > BLOCK_CHARS:
             out[i] = _long(code_points(text), gram, window)
@@ -119,13 +134,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_table(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def fingerprint_table(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """(doc_id, n_chars, hashes array<long>, positions array<long>) per row of ``docs``; a null text is empty."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for rows in _slices(frame):
                 texts = [t if isinstance(t, str) else "" for t in rows["text"]]
-                marks = fingerprints(texts, gram, window)
+                marks = fingerprints(texts, gram, window, every)
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "n_chars": [len(t) for t in texts],
                                     "hashes": [h.view(np.int64) for h, _ in marks], "positions": [p for _, p in marks]})
 
@@ -169,7 +184,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
             .repartition(parts, "_range").sortWithinPartitions("_range", "_trailer", "_key", "text"))
 
 
-def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, every: int = EVERY) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness (``RESULT``).
 
     The edited text is the text with its last half replaced by the beginning of the next
@@ -178,13 +193,13 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     * A null text is empty: no fingerprint; two empty fingerprints are alike (1.0).
     * Null doc_ids come first; rows with equal doc_id follow each other in text order, and
       each of them yields a row. A single row is its own successor. No rows: no result.
-    * A text shorter than a gram is one gram; one shorter than a window keeps its smallest gram.
+    * A text shorter than a gram is one gram; one below ``every`` code points keeps all its grams.
     * Other columns of ``docs`` are not read.
     """
     def finish(rows: list[tuple]) -> pd.DataFrame:
         ids, texts, following, mine, theirs = zip(*rows)
         changed = [edited(a, b) for a, b in zip(texts, following)]
-        marks = fingerprints(list(changed), gram, window)
+        marks = fingerprints(list(changed), gram, window, every)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
@@ -197,7 +212,7 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
         for frame in frames:
             for part in _slices(frame):
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                marks, done = fingerprints(texts, gram, window), []
+                marks, done = fingerprints(texts, gram, window, every), []
                 for low, space, trailer, text, mark in zip(part["_key"], part["_range"], part["_trailer"], texts, marks):
                     if held is not None and held[1] == space:
                         done.append((held[0], held[2], text, held[3], mark))

@@ -41,6 +41,15 @@ def test_winnowing_guarantee():
     assert set(a[0].tolist()) & set(b[0].tolist())
 
 
+def test_half_of_a_short_text_is_found(spark):
+    rng = random.Random(7)
+    rows = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in list(range(31, 130)) + [200, 390]]
+    out = winnowing.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(r["near_edited"] > 0 for r in out)
+    few = {r["n_chars"]: len(r["fingerprint"]) // 24 for r in out}
+    assert few[31] == 16 and few[390] < 150
+
+
 def test_edited_texts(spark):
     rows = brute.order(brute.corpus())
     texts = [r[1] or "" for r in rows]
