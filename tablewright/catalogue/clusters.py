@@ -101,6 +101,11 @@ def _(spark, sf):
     return named(mean_shift(blobs(spark, sf), "id", XY, bandwidth=2.0))
 
 
+@query("mean_shift_estimated", _TRUE)
+def _(spark, sf):
+    return named(mean_shift(blobs(spark, sf), "id", XY))
+
+
 @query("spectral", _TRUE)
 def _(spark, sf):
     return named(spectral(blobs(spark, sf), "id", XY, n_clusters=3, n_init=3))

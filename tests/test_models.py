@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.clustering.density import dbscan
 from tablewright.clustering.hierarchy import agglomerative, birch, merge_tree
-from tablewright.clustering.modes import mean_shift
+from tablewright.clustering.modes import estimate_bandwidth, mean_shift
 from tablewright.clustering.spectral import spectral
 from tablewright.learners.base import load_model, save_model
 from tablewright.learners.catalogue import train
@@ -225,6 +225,17 @@ def test_mean_shift_outliers(spark):
     assert partition(mean_shift(df, "id", "features")) is not None
 
 
+@pytest.mark.parametrize("repeats", [1, 600])
+def test_bandwidth_counts_every_row(spark, repeats):
+    x = np.random.default_rng(8).normal(size=(1200, 2))
+    weights = [repeats] + [1] * 1199
+    rows = np.repeat(x, weights, axis=0)
+    d = np.sort(np.linalg.norm(rows[:, None] - rows[None], axis=2), axis=1)
+    points = spark.createDataFrame([(r.tolist(), w) for r, w in zip(x, weights)], "x array<double>, w long")
+    want = d[:, int(0.3 * len(rows)) - 1].mean()
+    assert estimate_bandwidth(points, chunk_points=500) == pytest.approx(want, rel=1e-9)
+
+
 def test_cluster_trainers_report(spark):
     df, _ = blobs(spark, 300)
     ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.select(F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))).select("features")
