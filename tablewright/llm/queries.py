@@ -123,3 +123,12 @@ def _(spark, sf_dir):
     from tablewright.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_n")
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    from tablewright.llm.periodic_runs import detect_runs, runs_text
+
+    found = detect_runs(table(spark, sf_dir, "documents"), looping=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(runs_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
