@@ -132,3 +132,51 @@ def _(spark, sf_dir):
     found = detect_runs(table(spark, sf_dir, "documents"), looping=True)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(runs_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+_CONVERSATIONS_SQL = r"""
+with recursive crc(i, k, v) as (
+  select i::bigint, 0, i::bigint from range(256) r(i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from crc where k < 8),
+codes as (select list(v order by i) as codes from crc where k = 8),
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as bytes from conversations),
+faulty as (select g.*, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda x, y: xor(x >> 8, codes[(xor(x, y) & 255) + 1])), 4294967295) % 20 as f from given g, codes),
+damaged as (select conv_id, turn, case when f = 4 then 'user' else role end as role,
+  case f when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from faulty, lateral (select unnest(range(case f when 0 then 0 when 3 then 2 else 1 end))) c(copy)),
+r as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed from damaged),
+e as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+  lag(role[1]) over (partition by conv_id order by i) as before from r),
+k as (select *, case when trimmed = '' then 'blank' when again then 'duplicate' when right(trimmed, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from e),
+counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (i > 1 and before || role[1] not in ('su', 'ua', 'au') or i > 1 and (before = '' or role = '')) as illegal, max(i) as n from k group by conv_id),
+-- 0 nothing yet, 1 after the system row, 2 after a user row, 3 after an assistant row
+inserts(q, q2, c, a, t) as (values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'),
+  (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+kept(q, initial, q2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+made(q, role, q2) as (values (0, 'user', 2), (1, 'user', 2), (3, 'user', 2), (2, 'assistant', 3)),
+edits as (
+  select conv_id, i, q, q as q2, 2 as c, 'D' as a, '' as t from k, (values (0), (1), (2), (3)) v(q)
+  union all select conv_id, i, q, q2, case fault when 'truncated' then 5 else 0 end, 'K', chr(10) || role || ':' || text from k, kept where role[1] = initial and fault not in ('blank', 'duplicate')
+  union all select conv_id, i, q, q2, 1 + case fault when 'truncated' then 5 else 0 end, 'R', chr(10) || m.role || ':' || text from k, made m where fault not in ('blank', 'duplicate')),
+steps as (select e.conv_id, e.i, s.q, e.q2, s.c + e.c as c, s.a || e.a as a, s.t || e.t as t from edits e join inserts s on s.q2 = e.q),
+least as (
+  select conv_id, 0::bigint as i, 0 as q, {'c': 0, 'a': '', 't': ''} as best from counted
+  union all select l.conv_id, l.i + 1, s.q2, min({'c': l.best.c + s.c, 'a': l.best.a || s.a, 't': l.best.t || s.t})
+  from least l join steps s on s.conv_id is not distinct from l.conv_id and s.i = l.i + 1 and s.q = l.q group by l.conv_id, l.i, s.q2),
+ended as (select l.conv_id, min({'c': l.best.c + s.c, 'a': l.best.a || s.a, 't': l.best.t || s.t}) as best
+  from least l join counted n on n.conv_id is not distinct from l.conv_id and n.n = l.i join inserts s on s.q = l.q and s.q2 in (0, 3) group by l.conv_id)
+select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(best.t[2:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) d left join counted n on n.conv_id is not distinct from d.conv_id left join ended e on e.conv_id is not distinct from d.conv_id"""
+
+
+@query("op12_conversation_repair", _CONVERSATIONS_SQL)
+def _(spark, sf_dir):
+    from tablewright.llm.conversations import damage_and_repair
+
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
