@@ -110,7 +110,34 @@ def _(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-@query("op1_substring_dedup")
+_WORDS_SQL = r"""select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') as w from documents"""
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _near_sql(shingle: int, percent: int, more: str = "") -> str:
+    """Sets of shingles, pairs by shared shingles, and everything that is reachable."""
+    return f"""
+with recursive d as ({_WORDS_SQL.format(text=_LOWER_SQL)}),
+s as (select distinct doc_id, array_to_string(w[i: i + {shingle - 1}], ' ') as g from d, unnest(generate_series(1, greatest(len(w) - {shingle - 1}, 1))) u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+r as (select doc_id as node, doc_id as seen from documents union select r.node, l.b from r join l on l.a = r.seen)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id{more}
+from d left join n using (doc_id) join (select node as doc_id, min(seen) as component_id from r group by node) c using (doc_id)"""
+
+
+_SUBSTRINGS_SQL = f"""
+with d as ({_WORDS_SQL.format(text="coalesce(text, '')")}),
+v as (select doc_id, i, array_to_string(w[i: i + 19], ' ') as v from d, unnest(generate_series(1, len(w) - 19)) u(i)),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by v order by doc_id, i) as c from v) where c > 1),
+gone as (select distinct doc_id, i + j as i from again, range(20) x(j)),
+k as (select d.doc_id, i, w[i] as w, gone.i is not null as removed from (select doc_id, w, unnest(generate_series(1, len(w))) as i from d) d left join gone using (doc_id, i))
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join (select doc_id, count(*) filter (removed) as n, string_agg(w, ' ' order by i) filter (not removed) as kept from k group by doc_id) using (doc_id)"""
+
+
+@query("op1_substring_dedup", _SUBSTRINGS_SQL)
 def _(spark, sf_dir):
     from tablewright.llm.substring_dedup import dedup_substrings
 
@@ -118,7 +145,7 @@ def _(spark, sf_dir):
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op4_circulant_minhash")
+@query("op4_circulant_minhash", _near_sql(5, 75, ", c.component_id = d.doc_id as kept"))
 def _(spark, sf_dir):
     from tablewright.llm.minhash import near_duplicates
 
@@ -180,3 +207,10 @@ def _(spark, sf_dir):
     from tablewright.llm.conversations import damage_and_repair
 
     return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_count_tree_join", _near_sql(3, 90))
+def _(spark, sf_dir):
+    from tablewright.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
