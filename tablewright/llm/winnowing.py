@@ -2,8 +2,9 @@
 
 Every text is hashed in rolling grams of ``gram`` code points; of each run of ``window``
 grams the smallest hash is kept, the rightmost on ties, with its position. Two texts that
-share ``gram + window - 1`` code points share at least one kept gram. Short texts (below
-``EVERY`` code points) keep every gram, of which those of a window are a part.
+share ``gram + window - 1`` code points share at least one kept gram. A text with less than
+a window of grams keeps its smallest one, and one shorter than a gram is a gram itself; so
+all lengths follow one rule.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.arrays import BLOCK_BYTES, mix64, sliding_argmin, twice
 
-GRAM = 16  # a power of two: gram hashes are built by doubling
-WINDOW = 8
-# Texts below this many code points keep every gram: half of a longer one is more than a window.
-EVERY = 2 * (GRAM + WINDOW - 1)
+GRAM = 8  # a power of two: gram hashes are built by doubling
+WINDOW = 16
+# Digits of a fingerprint's text, six bits each, and how many of them write a hash.
+DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
+HASH_DIGITS = 10
 # Code points hashed at once; the arrays of a block stay below some tens of megabytes.
 BLOCK_CHARS = 1 << 19
 _LOWEST = -(1 << 63)
@@ -32,11 +34,11 @@ def code_points(text: str) -> np.ndarray:
 
 
 def rolling(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hashes of all grams of a code point array."""
+    """Hashes, of as many bits as ``HASH_DIGITS`` write, of all grams of a code point array."""
     out, n = mix64(points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)), 1
     while n < gram:
         out, n = twice(out, n), 2 * n
-    return mix64(out)
+    return mix64(out) >> np.uint64(64 - 6 * HASH_DIGITS)
 
 
 def _short(points: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +52,6 @@ def _short(points: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[at: at + 1], np.array([at], np.int64)
 
 
-def _every(points: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of a short text; itself as one gram when it is shorter than that."""
-    if len(points) <= gram:
-        return _short(points, gram)
-    return rolling(points, gram), np.arange(len(points) - gram + 1, dtype=np.int64)
-
-
 def _long(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of one text in blocks that overlap by a window, so memory stays bounded."""
     hashes, places = [], []
@@ -70,11 +65,8 @@ def _long(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes)[keep], at
 
 
-def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW, every: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, positions) of every text, positions ascending; texts below ``every`` code points keep all grams.
-
-    Texts are hashed together in blocks.
-    """
+def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions) of every text, positions ascending. Texts are hashed together in blocks."""
     out: list = [None] * len(texts)
     span = gram + window - 2
     group: list[int] = []
@@ -96,9 +88,7 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW, every
             low = cut
 
     for i, text in enumerate(texts):
-        if len(text) < every:
-            out[i] = _every(code_points(text), gram)
-        elif len(text) <= span:
+        if len(text) <= span:
             out[i] = _short(code_points(text), gram)
         elif len(text) > BLOCK_CHARS:
             out[i] = _long(code_points(text), gram, window)
@@ -113,11 +103,39 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW, every
     return out
 
 
-def as_text(fingerprint: tuple[np.ndarray, np.ndarray]) -> str:
-    """Hex digits: per kept gram 16 of its hash and 8 of its position."""
-    rows = np.empty(len(fingerprint[0]), [("hash", ">u8"), ("at", ">u4")])
-    rows["hash"], rows["at"] = fingerprint
-    return rows.tobytes().hex()
+def as_text(fingerprint: tuple[np.ndarray, np.ndarray], window: int = WINDOW) -> str:
+    """Per kept gram ``HASH_DIGITS`` of its hash and the digits of its distance from the kept gram before.
+
+    No two kept grams are further apart than a window, so one digit is enough for windows
+    of up to 64 grams; a first distance is counted from -1.
+    """
+    hashes, at = fingerprint
+    gaps = np.diff(at, prepend=-1) - 1
+    wide = gap_digits(window)
+    out = np.empty((len(hashes), HASH_DIGITS + wide), np.uint8)
+    for j in range(HASH_DIGITS):
+        out[:, j] = DIGITS[(hashes >> np.uint64(6 * (HASH_DIGITS - 1 - j)) & np.uint64(63)).astype(np.int64)]
+    for j in range(wide):
+        out[:, HASH_DIGITS + j] = DIGITS[gaps >> 6 * (wide - 1 - j) & 63]
+    return out.tobytes().decode("ascii")
+
+
+def gap_digits(window: int) -> int:
+    return max(1, -(-(max(1, window - 1)).bit_length() // 6))
+
+
+def from_text(text: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a fingerprint's text."""
+    value = np.zeros(128, np.int64)
+    value[DIGITS] = np.arange(64)
+    wide = gap_digits(window)
+    rows = value[np.frombuffer(text.encode("ascii"), np.uint8)].reshape(-1, HASH_DIGITS + wide)
+    hashes, gaps = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.int64)
+    for j in range(HASH_DIGITS):
+        hashes = hashes << np.uint64(6) | rows[:, j].astype(np.uint64)
+    for j in range(wide):
+        gaps = gaps << 6 | rows[:, HASH_DIGITS + j]
+    return hashes, np.cumsum(gaps + 1) - 1
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -134,13 +152,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_table(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, every: int = EVERY) -> DataFrame:
+def fingerprint_table(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_chars, hashes array<long>, positions array<long>) per row of ``docs``; a null text is empty."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for rows in _slices(frame):
                 texts = [t if isinstance(t, str) else "" for t in rows["text"]]
-                marks = fingerprints(texts, gram, window, every)
+                marks = fingerprints(texts, gram, window)
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "n_chars": [len(t) for t in texts],
                                     "hashes": [h.view(np.int64) for h, _ in marks], "positions": [p for _, p in marks]})
 
@@ -184,7 +202,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
             .repartition(parts, "_range").sortWithinPartitions("_range", "_trailer", "_key", "text"))
 
 
-def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, every: int = EVERY) -> DataFrame:
+def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness (``RESULT``).
 
     The edited text is the text with its last half replaced by the beginning of the next
@@ -193,17 +211,19 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
     * A null text is empty: no fingerprint; two empty fingerprints are alike (1.0).
     * Null doc_ids come first; rows with equal doc_id follow each other in text order, and
       each of them yields a row. A single row is its own successor. No rows: no result.
-    * A text shorter than a gram is one gram; one below ``every`` code points keeps all its grams.
+    * A text shorter than a gram is one gram; one with less than a window of grams keeps one.
+    * Every text is read whole, and so is its edited text. Rows are handed on by ``BLOCK_BYTES``
+      characters, and a fingerprint's text is about 1.3 characters for one of its text.
     * Other columns of ``docs`` are not read.
     """
     def finish(rows: list[tuple]) -> pd.DataFrame:
         ids, texts, following, mine, theirs = zip(*rows)
         changed = [edited(a, b) for a, b in zip(texts, following)]
-        marks = fingerprints(list(changed), gram, window, every)
+        marks = fingerprints(list(changed), gram, window)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
-            "fingerprint": [as_text(m) for m in mine], "edited_fingerprint": [as_text(m) for m in marks],
+            "fingerprint": [as_text(m, window) for m in mine], "edited_fingerprint": [as_text(m, window) for m in marks],
             "near_edited": [likeness(m, e) for m, e in zip(mine, marks)], "near_next": [likeness(m, t) for m, t in zip(mine, theirs)],
         })
 
@@ -212,7 +232,7 @@ def compare_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
         for frame in frames:
             for part in _slices(frame):
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                marks, done = fingerprints(texts, gram, window, every), []
+                marks, done = fingerprints(texts, gram, window), []
                 for low, space, trailer, text, mark in zip(part["_key"], part["_range"], part["_trailer"], texts, marks):
                     if held is not None and held[1] == space:
                         done.append((held[0], held[2], text, held[3], mark))
