@@ -12,14 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.llm.arrays import BLOCK_BYTES
+
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 256
-# Most labelled rows per language that training reads, about, and the characters of each.
+# Most labelled rows per language that training reads, about, and the pieces drawn from the whole of each text.
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 2048
+SAMPLE_PIECES = 8
 MOST_LANGUAGES = 1000
 STEPS = 700
 BATCH = 64
@@ -161,12 +165,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _pieces() -> Column:
+    """Pieces of ``WINDOW`` characters from places anywhere in the text, drawn by hash."""
+    places = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / WINDOW).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i")))), 1, SAMPLE_PIECES)
+    return F.transform(drawn, lambda d: F.substring("text", d["i"] * WINDOW + 1, F.lit(WINDOW)))
+
+
 def fit(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> Model:
     """Train on a bounded sample of labelled documents that are not held out.
 
     Counts per language give the share of rows to keep by hash, so about
-    ``rows_per_language`` beginnings of texts reach the driver for each; at most
-    ``MOST_LANGUAGES`` languages are told apart.
+    ``rows_per_language`` texts of each are sampled. Of ``SAMPLE_PIECES`` places of such a
+    text, drawn by hash from all of it, ``WINDOW`` characters reach the driver. At most
+    ``MOST_LANGUAGES`` languages are told apart; more are an error.
     """
     usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
@@ -177,8 +189,8 @@ def fit(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> Model:
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, rows_per_language / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = (usable.where(place < share[F.col("lang")]).orderBy(place, "doc_id").limit(2 * rows_per_language * len(counts))
-              .select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").collect())
-    kept = [(r["text"], r["lang"]) for r in sample if any(map(str.isalpha, r["text"]))]
+              .select(_pieces().alias("pieces"), "lang").collect())
+    kept = [(piece, r["lang"]) for r in sample for piece in r["pieces"] if any(map(str.isalpha, piece))]
     return train([t for t, _ in kept], [label for _, label in kept])
 
 
@@ -201,6 +213,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     * Whole texts are read in windows; a text of any length needs the memory of its own bytes.
     * A null doc_id is not held out. Repeated rows get equal predictions.
     * lang, source and doc_id are no input of a prediction; further columns are not read.
+    * More than ``MOST_LANGUAGES`` labelled languages are an error.
     """
     model = model or fit(docs)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), prediction(model)("text").alias("_p")).select(
@@ -210,10 +223,32 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` with a language: texts that are null or have no letter go.
 
+    Rows pass through as Arrow batches and are filtered there, so no column is held twice.
     Where nothing can be learnt, for want of labelled rows, every text with a letter stays.
+    Repeated rows stay or go together; all columns are kept, whatever their names. No rows:
+    no result.
     """
     model = model or fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = docs.select(F.struct("*").alias("row"), prediction(model)("text").alias("judged"))
-    return judged.where(F.col("judged.lang_pred") != UNKNOWN).select("row.*")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for part in _parts(batch, at):
+                named = scorer.predict(part.column(at).to_pylist())["lang_pred"]
+                yield part.filter(pa.array((named != UNKNOWN).to_numpy(bool)))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``BLOCK_BYTES`` of text each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
