@@ -15,7 +15,7 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 from operator import itemgetter
 
 import numpy as np
@@ -74,12 +74,12 @@ class Vocabulary:
         self.inner = {t: i for t, i in self.ids.items() if not self.end or not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end): i for t, i in self.ids.items() if t.endswith(self.end)} if self.end else self.ids
 
-    def symbols(self, word: str) -> list[str]:
+    def symbols(self, word: str) -> Iterator[str]:
         """First symbols of a word: one per byte, the last with the word end."""
-        out = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        if out:
-            out[-1] += self.end
-        return out
+        raw = word.encode("utf-8", "replace")
+        yield from map(self.letters.__getitem__, raw[:-1])
+        if raw:
+            yield self.letters[raw[-1]] + self.end
 
     def merge(self, symbols: Iterable[str]) -> list[str]:
         """Merge until no listed pair is left: always the lowest rank, leftmost first."""
@@ -242,8 +242,8 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self._known = Recent(CACHED)
 
-    def run(self, run: str) -> tuple[int, str, str]:
-        """(number of tokens, decimal ids joined by spaces, tokens joined by spaces) of a run in normal form."""
+    def run(self, run: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a short run in normal form, and the same in decimal joined by spaces."""
         known = self._known.new.get(run)
         if known is not None:
             return known
@@ -251,42 +251,54 @@ class Encoder:
         if run.isalpha():
             return self.word(run)
         if run[-1] in ".," and run[:-1].isalpha():
-            (n, ids, tokens), (m, more_ids, more) = self.word(run[:-1]), self.word(run[-1])
-            return n + m, f"{ids} {more_ids}", f"{tokens} {more}"
+            (ids, decimal), (more, more_decimal) = self.word(run[:-1]), self.word(run[-1])
+            return ids + more, f"{decimal} {more_decimal}"
         words = [self.word(w) for w in self.vocabulary.word.findall(run)]
-        return sum(w[0] for w in words), " ".join([w[1] for w in words]), " ".join([w[2] for w in words])
+        return tuple(i for w in words for i in w[0]), " ".join([w[1] for w in words])
 
-    def word(self, word: str) -> tuple[int, str, str]:
+    def word(self, word: str) -> tuple[tuple[int, ...], str]:
         known = self._known.new.get(word)
         if known is not None:
             return known
         known = self._known.old.get(word)
         if known is None:
-            vocabulary = self.vocabulary
-            if len(word) * 4 <= vocabulary.lookahead * 2:
-                ids = short_word(vocabulary, "".join([vocabulary.letters[b] for b in word.encode("utf-8", "replace")]))
-            else:
-                ids = list(transduce(vocabulary, vocabulary.symbols(word)))
-            known = len(ids), " ".join(map(str, ids)), " ".join([vocabulary.tokens[i] for i in ids])
+            ids = tuple(self._stream(word))
+            known = ids, " ".join(map(str, ids))
         return self._known.put(word, known) if len(word) <= CACHED_LENGTH else known
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """Encoded runs and special strings of a text, in order."""
+    def _stream(self, word: str) -> Iterator[int]:
+        """Ids of a word of any length, each as soon as it is stable."""
+        vocabulary = self.vocabulary
+        if len(word) * 4 <= vocabulary.lookahead * 2:
+            return iter(short_word(vocabulary, "".join([vocabulary.letters[b] for b in word.encode("utf-8", "replace")])))
+        return transduce(vocabulary, vocabulary.symbols(word))
+
+    def pieces(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
+        """Ids of a text in order, some at a time, and the same in decimal."""
         low = 0
         for hit in self.vocabulary.special_at.finditer(text) if self.vocabulary.special else ():
             yield from self._plain(text[low: hit.start()])
-            yield 1, str(self.vocabulary.special[hit[0]]), hit[0]
+            own = self.vocabulary.special[hit[0]]
+            yield (own,), str(own)
             low = hit.end()
         yield from self._plain(text[low:])
 
-    def _plain(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def _plain(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
         for part in chunks(text):
             part = normalise(part)
             runs = filter(None, _WHITE.split(part)) if _ODD_WHITE.search(part) else part.split()
-            yield from filter(_tokens, map(self.run, runs))
+            if len(part) <= 2 * CHUNK:
+                yield from filter(_tokens, map(self.run, runs))
+                continue
+            # A very long run: its ids are passed on as the transducer emits them.
+            for run in runs:
+                words = (w[0] for w in self.vocabulary.word.finditer(run))
+                ids = (i for word in words for i in self._stream(word))
+                while some := tuple(islice(ids, 1 << 12)):
+                    yield some, " ".join(map(str, some))
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(" ") if i]
+        return [i for ids, _ in self.pieces(text) for i in ids]
 
 
 class Decoder:
@@ -302,6 +314,16 @@ class Decoder:
         self._bytes = {letter: b for b, letter in enumerate(vocabulary.letters)}
         self._need, self._low, self._high, self._held = 0, 0x80, 0xBF, b""
 
+    def feed(self, ids: Iterable[int]) -> str:
+        """Text of some more ids; as many calls of ``push``, but that a plain file's tokens are looked up at once."""
+        if not self.plain:
+            return "".join(map(self.push, ids))
+        out = " ".join(map(self.vocabulary.tokens.__getitem__, ids))
+        if not out or self._first:
+            self._first = self._first and not out
+            return out
+        return " " + out
+
     def push(self, token_id: int) -> str:
         token = self.vocabulary.tokens[token_id]
         if self.plain:
@@ -344,7 +366,7 @@ class Decoder:
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int], plain: bool = True) -> str:
     decoder = Decoder(vocabulary, plain)
-    return "".join(map(decoder.push, ids)) + decoder.finish()
+    return decoder.feed(ids) + decoder.finish()
 
 
 @lru_cache(4)
@@ -359,28 +381,31 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     ``path`` is a tokenizer file that every executor has. Each row is encoded by itself, so
     there is no shuffle and a lost task is simply run again. Repeated rows yield repeated
     results. A null or empty text, or one of white space alone, has no tokens and the digest
-    of nothing. Very long texts are taken in chunks; the digests are updated chunk by chunk.
+    of nothing. Very long texts are taken in chunks, and a run without white space that is
+    longer than a chunk as a stream of symbols; the digests follow the ids as they come, that
+    of the decoded text through ``Decoder``.
     Other columns of ``docs`` are not read.
     """
     columns = [c.split(" ")[0] for c in RESULT.split(", ")] + ["ids"] * with_ids
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = encoder(path).pieces
+        own = encoder(path)
         for frame in batches(frames, 512):
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 count, kept = 0, [np.empty(0, np.int32)]
-                ids, decoded = hashlib.sha256(), hashlib.sha256()
-                joint = b""
-                parts = pieces(text if isinstance(text, str) else "")
-                while block := list(islice(parts, 1 << 14)):
-                    count += sum(p[0] for p in block)
-                    as_ids = " ".join([p[1] for p in block])
-                    ids.update(joint + as_ids.encode())
-                    decoded.update(joint + " ".join([p[2] for p in block]).encode())
-                    joint = b" "
+                ids, decoded, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(own.vocabulary)
+                joint = ""
+                parts = own.pieces(text if isinstance(text, str) else "")
+                while block := list(islice(parts, 1 << 12)):
+                    some = list(chain.from_iterable(map(_tokens, block)))
+                    count += len(some)
+                    ids.update((joint + " ".join([p[1] for p in block])).encode())
+                    decoded.update(decoder.feed(some).encode("utf-8", "replace"))
+                    joint = " "
                     if with_ids:
-                        kept.append(np.array(as_ids.split(" "), np.int32))
+                        kept.append(np.array(some, np.int32))
+                decoded.update(decoder.finish().encode())
                 out.append((doc_id, count, ids.hexdigest(), decoded.hexdigest(), *([np.concatenate(kept)] if with_ids else [])))
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.llm.tables import packed, unpacked
-from tablewright.runtime import cut
+from tablewright.runtime import cut, new_folder
 
 # The weights of sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -27,6 +27,11 @@ SHARDS = 64
 # Blocks of a source ranked by one window, and most such windows for a source.
 RANKED_TOGETHER = 2_000
 MOST_RANGES = 1 << 16
+# Blocks, and whole documents, of a shard in one task, about.
+SHARD_ROWS = 100_000
+SHARD_DOCUMENTS = 5_000
+# Populations that numpy draws from.
+_NUMPY_ITEMS = 1_000_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,17 +65,32 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` items are good; beyond numpy's range by the normal limit of the law."""
+    """How many of ``drawn`` items are good; beyond numpy's range by inversion of the same law."""
     if drawn == 0 or good == 0:
         return 0
     if bad == 0:
         return drawn
-    if good + bad < 1_000_000_000:
+    if good + bad < _NUMPY_ITEMS:
         return int(rng.hypergeometric(good, bad, drawn))
+    return _inverted(rng.random(), good, bad, drawn)
+
+
+def _inverted(u: float, good: int, bad: int, drawn: int) -> int:
+    """The hypergeometric count with cumulated probability ``u``.
+
+    Neighbouring probabilities have a rational ratio, so all of them follow from that of the
+    mode. Counts more than 12 standard deviations from the mean have less than 1e-30 of the
+    probability together, which a double cannot tell from nothing.
+    """
     total = good + bad
     mean = drawn * good / total
     spread = (mean * (bad / total) * ((total - drawn) / (total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), drawn - bad, 0), good, drawn))
+    low, high = max(0, drawn - bad, int(mean - 12 * spread) - 12), min(good, drawn, int(mean + 12 * spread) + 12)
+    k = np.arange(low, high, dtype=float)
+    steps = np.log((good - k) * (drawn - k)) - np.log((k + 1) * (float(bad - drawn) + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    share = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(share, u * share[-1], "right"))
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int = 0) -> np.ndarray:
@@ -103,9 +123,13 @@ def row_keys() -> list[Column]:
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, _k1, _k2, _copy): one narrow row per document; equal rows are numbered."""
+    """(doc_id, source, size, _k1, _k2, _copy): one narrow row per document.
+
+    Equal rows are counted, which combines before the shuffle, and numbered from 1 after it.
+    """
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row_keys())
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("size")))
+    equal = rows.groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("n"))
+    return equal.select("doc_id", "source", "size", "_k1", "_k2", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy"))
 
 
 def draw(rows: DataFrame, block_words: int | None = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> tuple[DataFrame, list[SourcePlan]]:
@@ -168,13 +192,36 @@ def draw(rows: DataFrame, block_words: int | None = BLOCK_WORDS, shards: int = S
                         F.xxhash64(F.lit(seed + 1), "_k1", "_k2", "_copy", "_block", "_pass").alias("_order")), plans
 
 
-def shuffled(taken: DataFrame) -> DataFrame:
-    """The mix in reading order: every shard in one partition, shuffled locally."""
-    return taken.repartition("shard").sortWithinPartitions("shard", "_order", "_k1", "_k2", "_copy", "first_word")
+def _part_bits(taken: DataFrame, shards: int, rows: int) -> int:
+    """Bits of ``_order`` that name a part, so that a part has at most about ``rows`` rows."""
+    return int(taken.count() // (shards * rows)).bit_length()
+
+
+def _part(bits: int) -> Column:
+    return F.shiftrightunsigned("_order", 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def write_shards(taken: DataFrame, shards: int = SHARDS, rows: int = SHARD_ROWS) -> DataFrame:
+    """The mix as written shards, read back: (the columns of ``draw``, part).
+
+    A shard is a folder. It is shuffled by ``_order``, a hash; ranges of that are its parts,
+    so that a large shard is written by many tasks, and its parts in order and their rows in
+    order are the shard.
+    """
+    spark = taken.sparkSession
+    taken = cut(taken, "taken")
+    bits = _part_bits(taken, shards, rows)
+    dealt = taken.withColumn("part", _part(bits)).repartition(shards << bits, "shard", "part")
+    path = new_folder(spark, "shards")
+    dealt.sortWithinPartitions("shard", "part", "_order", "_k1", "_k2", "_copy", "first_word").write.partitionBy("shard").parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def mix_report(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row of ``docs``.
+    """(doc_id, size, source_size, target, taken, pieces, shards) per row of ``docs``.
+
+    The drawn blocks are written as shards; taken, pieces and shards are the words, the
+    blocks and the shards that were read from there.
 
     * A null text has size 0 and is never taken; a null source is a source of its own, last.
     * Equal rows are separate documents; null doc_ids are allowed. No rows: no result.
@@ -184,20 +231,26 @@ def mix_report(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shards: i
     """
     rows = cut(sized_rows(docs), "sizes")
     taken, plans = draw(rows, block_words, shards, seed)
-    per_row = taken.groupBy("_k1", "_k2", "_copy").agg(F.sum("words").alias("taken"))
+    per_shard = write_shards(taken, shards).groupBy("_k1", "_k2", "_copy", "shard").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("pieces"))
+    per_row = per_shard.groupBy("_k1", "_k2", "_copy").agg(F.sum("taken").alias("taken"), F.sum("pieces").alias("pieces"), F.count(F.lit(1)).alias("shards"))
     plan = docs.sparkSession.createDataFrame([(p.source, p.size, p.target) for p in plans], "source string, source_size long, target double")
     return (rows.join(per_row, ["_k1", "_k2", "_copy"], "left").alias("r")
             .join(F.broadcast(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+            .select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "pieces", "shards")]))
 
 
 def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """The mix as documents: whole rows of ``docs``, each as often as it was taken, shuffled within shards.
+    """The mix as documents: whole rows of ``docs``, each as often as it was taken, by shard and shuffled within it.
 
     Documents are drawn whole, so a source's words miss its target by half a document at
-    most. Documents without words are not taken.
+    most. Documents without words, null texts among them, are not taken. Repeated rows are
+    documents of their own; a null source is a source, the last one. All columns are kept,
+    whatever their names. No rows: no result.
     """
-    counts = draw(cut(sized_rows(docs), "sizes"), None, shards, seed)[0].select("_k1", "_k2", "_copy", "shard", "_order")
+    taken = cut(draw(cut(sized_rows(docs), "sizes"), None, shards, seed)[0], "taken")
+    bits = _part_bits(taken, shards, SHARD_DOCUMENTS)
+    counts = taken.select("_k1", "_k2", "_copy", "shard", _part(bits).alias("part"), "_order")
     rows = packed(docs, "doc_id", "source", "text").select("*", *row_keys())
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")))
-    return unpacked(rows.join(counts, ["_k1", "_k2", "_copy"]).sortWithinPartitions("shard", "_order"), docs.columns, "doc_id", "source", "text")
+    mixed = rows.join(counts, ["_k1", "_k2", "_copy"]).repartition(shards << bits, "shard", "part").sortWithinPartitions("shard", "part", "_order")
+    return unpacked(mixed, docs.columns, "doc_id", "source", "text")

@@ -36,8 +36,14 @@ def numbered(docs: DataFrame, name: str = "_n") -> DataFrame:
 
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """The columns ``own``, and all others in one struct, so that no name of theirs gets in the way."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    return docs.select(*own, F.struct(F.lit(0).alias("_"), *rest).alias("others"))
+    rest = [c for c in docs.columns if c not in own]
+    filling = "_" * (1 + max((len(c) for c in rest), default=0))  # a struct needs a field; no column has this name
+    return docs.select(*own, F.struct(F.lit(0).alias(filling), *[quoted(c).alias(c) for c in rest]).alias("others"))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def unpacked(docs: DataFrame, columns: list[str], *plain: str, **own: Column) -> DataFrame:

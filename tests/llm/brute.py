@@ -6,7 +6,7 @@ import random
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _n string, runs string, shard string, "
-          "label string, others string, size string, _copy string, n_words string")
+          "label string, others string, size string, _copy string, n_words string, _ string, `a``b.c` string")
 
 
 def corpus(seed: int = 1) -> list[tuple]:
@@ -25,7 +25,7 @@ def corpus(seed: int = 1) -> list[tuple]:
     langs, sources = ["en", "fr", None], ["a", "b", "ö", None]
     rows = [(7 * i % 101, t, langs[i % 3], sources[i % 4], None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[12], rows[12], (None, passage, "en", None, 0), (None, None, None, None, None), (rows[13][0], text(25), "fr", "a", 1)]
-    return [r + ("x",) * 8 for r in rows]
+    return [r + ("x",) * 10 for r in rows]
 
 
 def documents(spark, seed: int = 1):

@@ -14,10 +14,13 @@ from tablewright.llm.queries import ORACLES, TOKENIZERS
 PATH = f"{TOKENIZERS}/{bpe.VOCABULARY}"
 
 
-def plain_winnow(text, gram, window):
+def plain_winnow(text, gram=winnowing.GRAM, window=winnowing.WINDOW):
     if not text:
         return []
-    hashes = [int(winnowing._short(winnowing.code_points(text[i: i + gram]), gram)[0][0]) for i in range(max(1, len(text) - gram + 1))]
+    points = winnowing.code_points(text)
+    if len(text) < gram:
+        points = np.concatenate([points, np.full(gram - len(text), 0x110000, np.uint32)])
+    hashes = [int(winnowing.rolling(points[i: i + gram], gram)[0]) for i in range(len(points) - gram + 1)]
     kept = set()
     for i in range(max(1, len(hashes) - window + 1)):
         run = hashes[i: i + window]
@@ -25,6 +28,16 @@ def plain_winnow(text, gram, window):
     return [(hashes[i], i) for i in sorted(kept)]
 
 
+def plain_text(text):
+    marks = plain_winnow(text)
+    return winnowing.as_text((np.array([h for h, _ in marks], np.uint64), np.array([i for _, i in marks], np.int64)))
+
+
+def plain_likeness(a, b):
+    x, y = {h for h, _ in plain_winnow(a)}, {h for h, _ in plain_winnow(b)}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 @pytest.mark.parametrize("block", [1 << 19, 150])
 def test_winnowing_is_exact(monkeypatch, block):
     monkeypatch.setattr(winnowing, "BLOCK_CHARS", block)
@@ -41,13 +54,29 @@ def test_winnowing_guarantee():
     assert set(a[0].tolist()) & set(b[0].tolist())
 
 
-def test_half_of_a_short_text_is_found(spark):
+def test_half_of_a_text_is_found(spark):
     rng = random.Random(7)
-    rows = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in list(range(31, 130)) + [200, 390]]
+    rows = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in list(range(46, 130)) + [200, 390]]
     out = winnowing.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and all(r["near_edited"] > 0 for r in out)
-    few = {r["n_chars"]: len(r["fingerprint"]) // 24 for r in out}
-    assert few[31] == 16 and few[390] < 150
+
+
+def test_one_rule_at_every_length():
+    """Texts that differ in a character at their end stay alike, whatever their length."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh") for _ in range(200))
+    for n in range(30, 199):
+        a, b = winnowing.fingerprints([text[:n], text[: n + 1]])
+        assert winnowing.likeness(a, b) >= 0.5
+
+
+@pytest.mark.parametrize("window", [1, 2, 16, 64, 65, 5000])
+def test_fingerprints_as_text(window):
+    rng = random.Random(window)
+    texts = ["", "a", "ab" * 40] + ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 20_000))) for _ in range(5)]
+    for mark in winnowing.fingerprints(texts, 8, window):
+        hashes, places = winnowing.from_text(winnowing.as_text(mark, window), window)
+        assert hashes.tolist() == mark[0].tolist() and places.tolist() == mark[1].tolist()
 
 
 def test_edited_texts(spark):
@@ -62,6 +91,17 @@ def test_edited_texts(spark):
     got = out.collect()
     # Rows of one doc_id may stand in any order where their texts are equal.
     brute.alike([tuple(r)[:3] for r in got], want)
+    full = []
+    for i, (row, text) in enumerate(zip(rows, texts)):
+        following, half = texts[(i + 1) % len(rows)], len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        if len(text) < 5000:
+            full.append((row[0], len(text), plain_text(text),
+                         plain_likeness(text, changed), plain_likeness(text, following) if len(following) < 5000 else None))
+    long = {f[:3] for f in full if f[4] is None}
+    near = [(r["doc_id"], r["n_chars"], r["fingerprint"], r["near_edited"], None if (r["doc_id"], r["n_chars"], r["fingerprint"]) in long else r["near_next"])
+            for r in got if r["n_chars"] < 5000]
+    brute.alike(near, full)
     by_text = {}
     for r in out.join(brute.documents(spark).select("doc_id", "text"), "doc_id").where("n_chars = length(text)").collect():
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
@@ -93,12 +133,29 @@ def test_tokens_equal_the_library(spark):
     assert bpe.encode_documents(brute.documents(spark).where("doc_id > 1000"), PATH).count() == 0
 
 
+def test_long_runs_are_streamed(monkeypatch):
+    """A run without white space that is longer than a chunk, and decoding in lots, against the library."""
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    library, own = Tokenizer.from_file(PATH), bpe.Encoder(PATH)
+    rng = random.Random(8)
+    for text in ("".join(rng.choice("thearnding'.,12é") for _ in range(3000)), "a" * 20_000, "x" * 130 + " tail"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert own.ids(text) == want
+        decoder, at, out = bpe.Decoder(own.vocabulary), 0, ""
+        while at < len(want):
+            step = rng.randint(0, 40)
+            out, at = out + decoder.feed(want[at: at + step]), at + step
+        assert out + decoder.finish() == library.decode(want, skip_special_tokens=False)
+    decoder = bpe.Decoder(own.vocabulary, plain=False)
+    assert decoder.feed(own.ids("naïve 日本")) + decoder.finish() == bpe.decode(own.vocabulary, own.ids("naïve 日本"), plain=False)
+
+
 def test_merges_agree_with_the_transducer():
     vocabulary = bpe.Vocabulary(PATH)
     rng = random.Random(6)
     for n in (1, 2, 9, 40, 300):
         word = "".join(rng.choice("thearnding") for _ in range(n))
-        symbols = vocabulary.symbols(word)
+        symbols = list(vocabulary.symbols(word))
         parts, texts = list(symbols), vocabulary.tokens
         while True:
             pairs = [(vocabulary.ranks.get((vocabulary.ids[a], vocabulary.ids[b]), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
@@ -139,6 +196,32 @@ def test_language(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """Every filter at every place of every window, one by one, and windows weighed by their bytes."""
+    texts = ["le chat et la souris, " * 40, "the cat", "ünd die Katze " * 25 + "x", "a" * langid.WINDOW, "b" * (langid.WINDOW + 1)]
+    model = langid.train(texts[:3] * 2, ["fr", "en", "de"] * 2, steps=20)
+    scores = langid.Scorer(model).predict(texts)
+    for text, name, score in zip(texts, scores["lang_pred"], scores["score"]):
+        raw = text.encode()
+        total = np.zeros(3)
+        for low in range(0, len(raw), langid.WINDOW):
+            window = raw[low: low + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            peaks = [max(sum(table[j][window[i + j]][f] for j in range(len(table))) for i in range(langid.WINDOW - len(table) + 1))
+                     for table in model.tables for f in range(langid.FILTERS)]
+            hidden = np.maximum(np.array(peaks) + model.bias, 0)
+            total += (hidden @ model.weights + model.offsets) * min(langid.WINDOW, len(raw) - low) / len(raw)
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        assert name == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_training_reads_all_of_a_text(spark):
+    """Letters that stand in the last part of long texts alone are learnt."""
+    rows = [(i, "0 " * 4000 + ("aab " if i % 2 else "zzy ") * 4000, "ab" if i % 2 else "zy") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=20)
+    assert langid.Scorer(model).predict(["aab aab aab", "zzy zzy"])["lang_pred"].tolist() == ["ab", "zy"]
+
+
 def test_network_gradient():
     rng = np.random.default_rng(1)
     model = langid.train(["abc abc"] * 4 + ["xyz xyz"] * 4, ["a"] * 4 + ["b"] * 4, steps=60)
@@ -230,6 +313,44 @@ def test_mix(spark, block):
     assert mixing.mix_report(docs.where("doc_id > 1000")).count() == 0
 
 
+def test_mix_takes_the_first_of_each_order(spark):
+    """Words taken per document against walking the hash order of each source in plain Python."""
+    from pyspark.sql import functions as F
+    from tablewright.runtime import cut
+
+    sized = cut(mixing.sized_rows(brute.documents(spark)))
+    blocks = sized.where("size > 0").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / 4))))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(7), "_k1", "_k2", "_copy", "b")).collect()
+    wanted = {}
+    for source in {r["source"] for r in blocks}:
+        own = sorted((r for r in blocks if r["source"] == source), key=lambda r: (r["h"] % (1 << 64), r["h"], r["_k1"], r["_k2"], r["_copy"], r["b"]))
+        sizes = {s: sum(r["size"] for r in sized.collect() if r["source"] == s) for s in {r["source"] for r in sized.collect()}}
+        left = round(next(p.target for p in mixing.targets(sizes) if p.source == source))
+        while left > 0:
+            for r in own:
+                words = min(4, r["size"] - 4 * r["b"], left)
+                key = (r["_k1"], r["_k2"], r["_copy"])
+                wanted[key] = wanted.get(key, 0) + words
+                left -= words
+                if not left:
+                    break
+    want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], wanted.get((r["_k1"], r["_k2"], r["_copy"]), 0)) for r in sized.collect())
+    out = mixing.mix_report(brute.documents(spark), block_words=4, shards=5).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["taken"]) for r in out) == want
+    assert all((r["pieces"] > 0) == (r["taken"] > 0) and r["shards"] <= min(5, r["pieces"]) for r in out)
+
+
+def test_draws_beyond_numpy_follow_the_same_law():
+    rng = np.random.default_rng(1)
+    own = np.array([mixing._inverted(u, 300, 500, 200) for u in rng.random(20_000)])
+    theirs = rng.hypergeometric(300, 500, 200, 20_000)
+    assert abs(own.mean() - theirs.mean()) < 0.15 and abs(own.std() - theirs.std()) < 0.15
+    assert {mixing._inverted(u, 3, 2, 4) for u in (0.0, 0.3, 0.61, 0.9999)} == {2, 3}
+    large = [mixing._inverted(u, 4 * 10**11, 6 * 10**11, 10**10) for u in (0.001, 0.5, 0.999)]
+    spread = (10**10 * 0.4 * 0.6 * 0.99) ** 0.5
+    assert abs(large[1] - 4 * 10**9) < spread / 100 and abs((large[2] - large[0]) / spread - 2 * 3.0902) < 0.01
+
+
 def test_mix_shards_and_documents(spark):
     docs = brute.documents(spark)
     from tablewright.runtime import cut
@@ -238,6 +359,8 @@ def test_mix_shards_and_documents(spark):
     sizes = [r["n"] for r in taken.groupBy("shard").count().withColumnRenamed("count", "n").collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
     assert taken.groupBy("_k1", "_k2", "_copy", "first_word", "pass").count().where("count > 1").count() == 0
-    assert mixing.shuffled(taken).count() == sum(sizes)
+    written = mixing.write_shards(taken, 5, rows=20)
+    assert sorted(map(str, written.select(taken.columns).collect())) == sorted(map(str, taken.collect()))
+    assert written.select("shard", "part").distinct().count() > 5
     mixed = mixing.mix_documents(docs, shards=3)
     assert mixed.columns == docs.columns and mixed.subtract(docs).count() == 0
