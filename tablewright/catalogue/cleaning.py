@@ -8,6 +8,7 @@ from tablewright.catalogue.inputs import DIRTY_SQL, dirty_orders, table
 from tablewright.functions import casts
 from tablewright.operators import charts, cleaning, profile, statistics
 from tablewright.plans.clean import clean
+from tablewright.runtime import new_folder
 from tablewright.sources import tables
 from tablewright.spec import DatasetSpec
 
@@ -342,6 +343,13 @@ def _(spark, sf):
     return tables.round_trip_csv(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query("csv_one_file", "select doc_id, text, lang, source, n_chars from documents")
+def _(spark, sf):
+    """One file whose cells hold line breaks, read by as many tasks as it has byte ranges."""
+    path = tables.write_csv(table(spark, sf, "documents").coalesce(1), new_folder(spark, "one") + ".csv")
+    return tables.read_csv(spark, path)
+
+
 @query("handle_nulls_unfilled_types", f"{D} select o_orderkey, coalesce(price, 0.0) as price, odate::varchar as odate from d where odate is not null")
 def _(spark, sf):
     spec = DatasetSpec(types={"o_orderkey": "int", "price": "float", "odate": "date"}, fill_empty_rows_using="custom_value")

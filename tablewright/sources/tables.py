@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.functions.casts import null_tokens
 from tablewright.operators.profile import infer_types
 from tablewright.runtime import new_folder
+from tablewright.sources.records import csv_records
 from tablewright.spec import DatasetSpec
 
 # Formats a dataset may arrive in.
@@ -19,21 +20,24 @@ FORMATS = ("csv", "parquet")
 def read_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, infer: bool = True, line_breaks: bool = True) -> DataFrame:
     """CSV with a header; the usual texts for a missing cell become null.
 
-    Cells may hold line breaks, so a file is read by one task; ``line_breaks=False`` promises
-    that none does and lets large files be split. A column without a header is called
+    Cells may hold line breaks, and large files are split all the same (``csv_records``);
+    ``line_breaks=False`` promises that no cell does and saves a pass. Records end at a line
+    feed, or a carriage return and one. A column without a header is called
     ``Unnamed: <position>``.
 
     With declared types the cells stay text for ``enforce_types`` to convert.
     Otherwise one pass finds each column's type.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+    options = {"escape": '"', "multiLine": line_breaks, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw = spark.read.options(header=True, **options).csv(path)
     names = raw.columns
     if any(c == f"_c{i}" for i, c in enumerate(names)):  # perhaps named so by the reader
-        head = spark.read.option("multiLine", line_breaks).option("escape", '"').csv(path).first()
+        head = spark.read.options(**options).csv(path).first()
         names = [f"Unnamed: {i}" if not head[i] else c for i, c in enumerate(names)]
+    if names and names[-1].endswith("\r"):  # of the line's end
+        names[-1] = names[-1].removesuffix("\r") or f"Unnamed: {len(names) - 1}"
+    if line_breaks and names:
+        raw = _parsed(csv_records(spark, path).where("start > 0 or n > 0"), len(names), options)
     texts = raw.select(*[null_tokens(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names)])
     if spec is not None and spec.types or not infer:
         return texts
@@ -41,6 +45,14 @@ def read_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, in
     return texts.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) for c in texts.columns])
 
 
+def _parsed(records: DataFrame, width: int, options: dict) -> DataFrame:
+    """Cells of ``csv_records``, all text."""
+    columns = [f"c{i}" for i in range(width)]
+    text = F.regexp_replace("text", "\r$", "")
+    cells = F.from_csv(text, ", ".join(f"{c} string" for c in columns), {k: str(v).lower() for k, v in options.items()})
+    return records.select(cells.alias("r")).select(*[F.col(f"r.{c}") for c in columns])
+
+
 def read_dataset(spark: SparkSession, path: str, spec: DatasetSpec | None = None) -> DataFrame:
     """Read a dataset by extension; any other format is refused."""
     kind = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()

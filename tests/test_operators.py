@@ -401,3 +401,67 @@ def test_metrics_and_depths_are_checked(spark):
         train("knn_classifier", df, metric="hamming")
     with pytest.raises(ValueError):
         train("decision_tree", df, max_depth=45)
+
+
+# ---- csv records over byte ranges ------------------------------------------
+
+CSV_OPTIONS = {"multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def random_csv(folder, rng, end):
+    import csv
+    import io
+
+    rows = []
+    for f in range(2):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end)
+        writer.writerow(["id", 'a,"b', "text\nx", "d"])
+        cell = lambda: "".join(rng.choice(["a", "b", ",", '"', "\n", " ", "é", '""', "x\ny"]) for _ in range(rng.randint(1, 12)))
+        for i in range(70):
+            if rng.random() < 0.1:
+                out.write(end)  # an empty line
+            elif rng.random() < 0.2:
+                out.write(f'{f * 1000 + i},5" pipe,a"b"c,x{end}')  # quotes inside cells without quotes
+                rows.append((str(f * 1000 + i), '5" pipe', 'a"b"c', "x"))
+            else:
+                row = (str(f * 1000 + i), cell(), "\n" * rng.randint(1, 90) if rng.random() < 0.1 else cell(), cell())
+                writer.writerow(row)
+                rows.append(row)
+        (folder / f"{f}.csv").write_text(out.getvalue(), newline="")
+    return rows
+
+
+@pytest.mark.parametrize("size", ["150", "3000"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_over_ranges(spark, tmp_path, size, end):
+    import random
+
+    wanted = random_csv(tmp_path, random.Random(size), end)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = tables.csv_records(spark, str(tmp_path))
+        ranges = records.select("file", "start").distinct().count()
+        got = sorted(tuple(r) for r in tables._parsed(records.where("start > 0 or n > 0"), 4, CSV_OPTIONS).collect())
+        typed = tables.read_csv(spark, str(tmp_path))
+        assert typed.columns == ["id", 'a,"b', "text\nx", "d"] and typed.count() == len(wanted)
+        if end == "\n":
+            multi = spark.read.options(header=True, **CSV_OPTIONS).csv(str(tmp_path))
+            assert got == sorted(tuple(r) for r in multi.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(wanted)
+    assert ranges > 20 if size == "150" else ranges >= 2
+
+
+def test_csv_odd_files(spark, tmp_path):
+    """An open quote at the end, a header alone, nothing at all."""
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\ny\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "open.csv"), infer=False).collect()] == [("1", "x\ny")]
+    (tmp_path / "head.csv").write_text("a,b\n")
+    assert tables.read_csv(spark, str(tmp_path / "head.csv"), infer=False).count() == 0
+    (tmp_path / "none.csv").write_text("")
+    assert tables.read_csv(spark, str(tmp_path / "none.csv"), infer=False).count() == 0
