@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tablewright.catalogue.inputs import BLOBS_SQL, blobs, table
+from tablewright.catalogue.inputs import BLOBS_SQL, RINGS_SQL, blobs, rings, table
 from tablewright.clustering.centres import kmeans, minibatch_kmeans
 from tablewright.clustering.density import dbscan
 from tablewright.clustering.hierarchy import agglomerative, birch
@@ -109,3 +109,8 @@ def _(spark, sf):
 @query("spectral", _TRUE)
 def _(spark, sf):
     return named(spectral(blobs(spark, sf), "id", XY, n_clusters=3, n_init=3))
+
+
+@query("spectral_rings", f"select id, min(id) over (partition by truth) as cluster from ({RINGS_SQL})")
+def _(spark, sf):
+    return named(spectral(rings(spark, sf), "id", ["x", "y", "z"], n_clusters=2, n_init=1, affinity="nearest_neighbors", n_neighbors=8))

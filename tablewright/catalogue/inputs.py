@@ -72,3 +72,18 @@ BLOBS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in _BLOBS.items()) + "
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {n}" for n, e in _BLOBS.items()])
+
+
+# Two rings in space, each through the middle of the other.
+_RINGS = {
+    "id": "o_orderkey",
+    "x": "case when o_orderkey % 2 = 0 then 0.0e0 else 1.0e0 end + cos((o_orderkey * 7919 % 1000003) / 1000003.0e0 * 6.283185307179586)",
+    "y": "case when o_orderkey % 2 = 0 then sin((o_orderkey * 7919 % 1000003) / 1000003.0e0 * 6.283185307179586) else 0.0e0 end",
+    "z": "case when o_orderkey % 2 = 0 then 0.0e0 else sin((o_orderkey * 7919 % 1000003) / 1000003.0e0 * 6.283185307179586) end",
+    "truth": "cast(o_orderkey % 2 as int)",
+}
+RINGS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in _RINGS.items()) + " from orders"
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {n}" for n, e in _RINGS.items()])

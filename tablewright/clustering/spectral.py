@@ -1,117 +1,211 @@
-"""Spectral clustering, exact on few points and by landmarks on many (Chen & Cai 2011)."""
+"""Spectral clustering on the graph of nearest neighbours, from coarse graphs to fine ones.
 
-from __future__ import annotations
+The affinity is an edge table. Its nodes are drawn together along strong edges, level by
+level, until a small graph is left whose leading eigenvectors the driver computes. On the
+way back every level takes over the vectors of the level above and improves them by block
+iteration: edges are joined to the vectors, summed per node, and made orthonormal again
+through their small Gram matrix. A graph that is small from the start has one level.
+"""
 
-from typing import Iterator
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.blocks import distances, matrix, row_slices, smallest
+from tablewright.functions.blocks import distances, matrix
 from tablewright.functions.vectors import as_array
 from tablewright.operators.lookup import lookup
-from tablewright.runtime import bounded_count, cut
-
-# Up to this many distinct points the whole affinity matrix is decomposed (32 MB).
-EXACT_POINTS = 2_000
-LANDMARKS = 256
-NEAREST = 5
-
-
-def _embed_exact(x: np.ndarray, w: np.ndarray, k: int, gamma: float, affinity: str, neighbours: int) -> np.ndarray:
-    """Leading eigenvectors; a point of weight w stands for w equal rows."""
-    d = distances(x, x)
-    if affinity == "rbf":
-        a = np.exp(-gamma * d**2)
-    else:
-        near = smallest(d, neighbours)
-        a = np.zeros_like(d)
-        np.put_along_axis(a, near, 1.0, axis=1)
-        a = (a + a.T) / 2
-    np.fill_diagonal(a, (w - 1) / w)
-    a = a * np.sqrt(w[:, None] * w[None, :])
-    scale = 1.0 / np.sqrt(np.maximum((a * np.sqrt(w)[None, :]).sum(axis=1) / np.sqrt(w), 1e-300))
+from tablewright.operators.neighbour_graph import neighbour_edges
+from tablewright.operators.ordering import with_position
+from tablewright.runtime import cut
+
+# Nodes of the graph whose matrix is decomposed (32 MB).
+COARSE = 2_000
+# One node in so many becomes the centre of a coarser one.
+CENTRES = 4
+# An edge is strong enough to be drawn together from this share of its node's strongest one.
+STRONG = 0.25
+# Block iterations on every finer level.
+STEPS = 2
+# Weight of edges that only keep a graph connected, relative to its usual ones.
+FAINT = 1e-6
+
+
+def affinity_graph(points: DataFrame, affinity: str, gamma: float, n_neighbors: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, loop, degree, w, x) and edges (u, v, a), both ways, of ``points(pid, x, w)``.
+
+    ``n_neighbors`` counts the point itself. A point of weight w stands for w equal rows; the
+    affinities among those are its loop. ``rbf`` edges weigh exp(-gamma d^2), the others 1,
+    or half if only one end counts the other among its neighbours.
+    """
+    found = neighbour_edges(points, max(1, n_neighbors - 1))
+    weight = F.greatest(F.exp(-gamma * F.col("d") * F.col("d")), F.lit(1e-12)) if affinity == "rbf" else F.lit(0.5)
+    ways = found.select("u", "v", weight.alias("a")).union(found.select(F.col("v").alias("u"), F.col("u").alias("v"), weight.alias("a")))
+    total = F.max("a") if affinity == "rbf" else F.sum("a")
+    masses = points.select(F.col("pid").alias("u"), F.col("w").cast("double").alias("w"))
+    both = ways.groupBy("u", "v").agg(total.alias("a")).join(masses, "u").join(masses.select(F.col("u").alias("v"), F.col("w").alias("w2")), "v")
+    edges = cut(both.select("u", "v", (F.col("a") * F.col("w") * F.col("w2")).alias("a")), "edges")
+    nodes = points.select(F.col("pid").alias("id"), (F.col("w") * (F.col("w") - 1)).cast("double").alias("loop"), F.col("w").cast("double").alias("w"), "x")
+    return _with_degrees(nodes, edges), edges
+
+
+def _with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    sums = edges.groupBy("u").agg(F.sum("a").alias("_sum"))
+    out = nodes.join(sums, F.col("id") == F.col("u"), "left").withColumn("degree", F.col("loop") + F.coalesce("_sum", F.lit(0.0)))
+    return cut(out.select("id", "loop", F.greatest("degree", F.lit(1e-300)).alias("degree"), "w", "x"), "nodes")
+
+
+def _mean(width: int) -> Column:
+    return F.array(*[F.sum(F.col("x")[j] * F.col("w")) / F.sum("w") for j in range(width)])
+
+
+def coarsen(nodes: DataFrame, edges: DataFrame, level: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parents (id, parent), nodes, edges) of the next coarser graph.
+
+    Some nodes, chosen by hash, are centres. Every other node goes to the centre it has its
+    strongest edge to, if that edge is strong for it; otherwise it stays by itself.
+    """
+    centre = lambda c: F.pmod(F.xxhash64(F.lit(level), F.col(c)), F.lit(CENTRES)) == 0
+    best = edges.where(~centre("u")).groupBy("u").agg(
+        F.max("a").alias("most"), F.max(F.when(centre("v"), F.struct("a", F.xxhash64("v").alias("h"), "v"))).alias("to"))
+    best = best.where(F.col("to.a") >= STRONG * F.col("most")).select(F.col("u").alias("id"), F.col("to.v").alias("parent"))
+    parents = cut(nodes.select("id").join(best, "id", "left").select("id", F.coalesce("parent", "id").alias("parent")), "parents")
+    up = parents.select(F.col("id").alias("u"), F.col("parent").alias("pu"))
+    joint = edges.join(up, "u").join(up.withColumnsRenamed({"u": "v", "pu": "pv"}), "v").groupBy("pu", "pv").agg(F.sum("a").alias("a"))
+    joint = cut(joint, "joint")
+    inner = joint.where("pu = pv").select(F.col("pu").alias("parent"), F.col("a").alias("inner"))
+    merged = nodes.join(parents, "id").groupBy("parent").agg(F.sum("loop").alias("loop"), _mean(width).alias("x"), F.sum("w").alias("w"))
+    merged = merged.join(inner, "parent", "left").select(
+        F.col("parent").alias("id"), (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop"), "w", "x")
+    edges = joint.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"), "a")
+    return parents, _with_degrees(merged, edges), edges
+
+
+def _relinked(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """More edges, faint ones, between nodes and those nearest to them, where no edges are left to draw together along."""
+    near = neighbour_edges(nodes.select(F.col("id").alias("pid"), "x"), k)
+    first = near.groupBy("u").agg(F.min("d").alias("d0"))
+    faint = near.join(first, "u").join(nodes.select(F.col("id").alias("u"), "degree"), "u").select(
+        "u", "v", (FAINT * F.col("degree") * F.pow(F.try_divide(F.col("d0"), F.col("d")), F.lit(2))).alias("a"))
+    faint = faint.union(faint.select(F.col("v").alias("u"), F.col("u").alias("v"), "a"))
+    return cut(edges.union(faint).groupBy("u", "v").agg(F.sum("a").alias("a")), "edges")
+
+
+def _bridges(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Faint affinities along the shortest lines that make a small graph connected."""
+    above = np.arange(len(a))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return int(i)
+
+    for i, j in zip(*np.nonzero(np.triu(a))):
+        above[top(i)] = top(j)
+    label = np.array([top(i) for i in range(len(a))])
+    out = np.zeros_like(a)
+    if len(set(label.tolist())) > 1:
+        d = distances(x, x)
+        i, j = np.nonzero(np.triu(label[:, None] != label[None, :]))
+        order = np.argsort(d[i, j], kind="stable")
+        least, usual = None, np.median(a[a > 0]) if (a > 0).any() else 1.0
+        for u, v in zip(i[order].tolist(), j[order].tolist()):
+            if top(u) != top(v):
+                above[top(u)] = top(v)
+                least = least or max(d[u, v], 1e-300)
+                out[u, v] = out[v, u] = FAINT * usual * (least / max(d[u, v], 1e-300)) ** 2
+    return out
+
+
+def _leading(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(id, v): the leading eigenvectors of a small graph."""
+    rows = nodes.orderBy("id").toPandas()
+    at = {int(i): n for n, i in enumerate(rows["id"])}
+    a = np.zeros((len(rows), len(rows)))
+    for r in edges.collect():  # at most COARSE squared
+        a[at[r.u], at[r.v]] = r.a
+    a = (a + a.T) / 2
+    a += _bridges(a, matrix(rows["x"], 1))
+    a[np.diag_indices_from(a)] = rows["loop"]
+    scale = 1.0 / np.sqrt(np.maximum(a.sum(axis=1), 1e-300))
     _, vectors = np.linalg.eigh(scale[:, None] * a * scale[None, :])
-    return vectors[:, -k:]
+    schema = "id long, v array<double>"
+    return nodes.sparkSession.createDataFrame([(int(i), [float(t) for t in v]) for i, v in zip(rows["id"], vectors[:, -k:])], schema)
+
+
+def _orthonormal(vectors: DataFrame, k: int) -> DataFrame:
+    """(id, v) with columns of length one at right angles, by the inverse root of the Gram matrix."""
+    v = F.col("v")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = vectors.agg(*[F.sum(v[i] * v[j]) for i, j in pairs]).first()
+    gram = np.zeros((k, k))
+    for (i, j), s in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = s or 0.0
+    values, basis = np.linalg.eigh(gram)
+    root = basis / np.sqrt(np.maximum(values, max(values.max(), 1e-300) * 1e-14))
+    turned = [sum((v[i] * float(root[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]
+    return vectors.select("id", F.array(*turned).alias("v"))
+
+
+def _improved(vectors: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, steps: int) -> DataFrame:
+    """Some block iterations with half the normalised affinity plus half the identity, whose spectrum is not negative."""
+    for _ in range(steps):
+        scaled = vectors.join(nodes.select("id", "loop", "degree"), "id")
+        sent = scaled.select(F.col("id").alias("v_"), F.transform("v", lambda t: t / F.sqrt("degree")).alias("t"))
+        got = edges.join(sent, F.col("v") == F.col("v_")).groupBy("u").agg(F.array(*[F.sum(F.col("a") * F.col("t")[j]) for j in range(k)]).alias("s"))
+        moved = scaled.join(got, F.col("id") == F.col("u"), "left")
+        each = [(F.col("v")[j] * (1 + F.col("loop") / F.col("degree")) + F.coalesce(F.col("s")[j], F.lit(0.0)) / F.sqrt("degree")) / 2 for j in range(k)]
+        vectors = _orthonormal(cut(moved.select("id", F.array(*each).alias("v")), "vectors"), k)
+    return cut(vectors, "vectors")
+
+
+def embedding(points: DataFrame, k: int, gamma: float, affinity: str, n_neighbors: int, coarse: int = COARSE) -> DataFrame:
+    """(id, v): leading eigenvectors of the normalised affinity of ``points(pid, x, w)``."""
+    width = len(points.first().x)
+    nodes, edges = affinity_graph(points, affinity, gamma, n_neighbors)
+    levels, n, tries = [], nodes.count(), 0
+    while n > coarse:
+        tries += 1
+        parents, above, joint = coarsen(nodes, edges, tries, width)
+        m = above.count()
+        if m > 0.9 * n:  # nodes without edges: each that has one goes to a centre with a chance of 1 in CENTRES
+            edges = _relinked(nodes, edges, n_neighbors)
+            nodes = _with_degrees(nodes.drop("degree"), edges)
+            continue
+        levels.append((parents, nodes, edges))
+        nodes, edges, n = above, joint, m
+    vectors = _leading(nodes, edges, k)
+    for parents, finer, edges in reversed(levels):
+        up = vectors.join(nodes.select("id", "degree"), "id").select(F.col("id").alias("parent"), F.transform("v", lambda t: t / F.sqrt("degree")).alias("v"))
+        down = finer.join(parents, "id").join(up, "parent").select("id", F.transform("v", lambda t: t * F.sqrt("degree")).alias("v"))
+        vectors = _improved(cut(down, "vectors"), finer, edges, k, STEPS)
+        nodes = finer
+    return vectors
 
 
 def spectral(df: DataFrame, id_column: str, features, n_clusters: int = 8, n_components: int | None = None, gamma: float = 1.0,
-             affinity: str = "rbf", n_neighbors: int = 10, n_init: int = 10, seed: int = 42,
-             exact_points: int = EXACT_POINTS, landmarks: int = LANDMARKS) -> DataFrame:
-    """(id, cluster) of the leading eigenvectors of the normalised affinity.
+             affinity: str = "rbf", n_neighbors: int = 10, n_init: int = 10, seed: int = 42, coarse: int = COARSE) -> DataFrame:
+    """(id, cluster) by KMeans on the leading eigenvectors of the normalised affinity of nearest neighbours.
 
-    With many points each is described by its affinity to its nearest landmarks;
-    one pass sums the landmark Gram matrix, the driver decomposes that small
-    matrix, and a second pass writes the embedding.
+    ``n_neighbors`` are kept of every point, itself counted, for either affinity. Graphs of
+    more than ``coarse`` nodes go through coarser ones; parts without edges between them are
+    told apart by how far they lie from each other.
     """
     if affinity not in ("rbf", "nearest_neighbors"):
         raise ValueError(f"unsupported affinity {affinity!r}: choose rbf or nearest_neighbors")
-    k = n_components or n_clusters
     given = df.select(F.col(id_column).alias("id"), as_array(df, features).alias("x"))
-    points = cut(given.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "points")
-    spark = df.sparkSession
-    if bounded_count(points, exact_points) <= exact_points:
-        rows = points.toPandas()
-        vectors = _embed_exact(matrix(rows["x"], 1), rows["w"].to_numpy(float), k, gamma, affinity, n_neighbors)
-        embedded = spark.createDataFrame(
-            [(list(map(float, x)), float(w), list(map(float, v))) for x, w, v in zip(rows["x"], rows["w"], vectors)],
-            "x array<double>, w double, v array<double>")
-    else:
-        embedded = _embed_landmarks(points, k, gamma, affinity, seed, landmarks)
+    distinct = cut(given.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "distinct")
+    points = cut(with_position(distinct, ["x"], "pid"), "points")
+    vectors = embedding(points, n_components or n_clusters, gamma, affinity, n_neighbors, coarse)
     unit = F.transform("v", lambda t: t / F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, u: s + u * u)), F.lit(1e-300)))
-    ready = cut(embedded.select("x", "w", array_to_vector(unit).alias("features")), "embedded")
+    ready = points.join(vectors, F.col("pid") == F.col("id")).select("x", F.col("w").cast("double").alias("w"), array_to_vector(unit).alias("features"))
+    ready = cut(ready, "embedded")
     best = None
-    for i in range(max(1, min(n_init, 10))):
+    for i in range(max(1, n_init)):
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=100, weightCol="w").fit(ready)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     labels = best.transform(ready).select("x", F.col("w").alias("n"), F.col("prediction").cast("long").alias("cluster"))
     return lookup(given, labels, "x", "x", "cluster").select(F.col("id").alias(id_column), "cluster")
-
-
-def _embed_landmarks(points: DataFrame, k: int, gamma: float, affinity: str, seed: int, landmarks: int) -> DataFrame:
-    vectors = points.select(array_to_vector("x").alias("features"), F.col("w").cast("double").alias("w"))
-    centres = np.array(KMeans(k=landmarks, seed=seed, maxIter=10, initSteps=1, weightCol="w").fit(vectors).clusterCenters())
-    m = len(centres)
-    sent = points.sparkSession.sparkContext.broadcast(centres)
-
-    def describe(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), m))
-        for part in row_slices(len(x), m):
-            d = distances(x[part], sent.value)
-            near = smallest(d, NEAREST)
-            close = np.take_along_axis(d, near, axis=1)
-            # measured from the nearest landmark, so a far point keeps a usable scale
-            a = np.exp(-gamma * (close**2 - close[:, :1] ** 2)) if affinity == "rbf" else np.ones_like(close)
-            np.put_along_axis(out[part], near, a / a.sum(axis=1, keepdims=True), axis=1)
-        return out
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, degree = np.zeros((m, m)), np.zeros(m)
-        for pdf in batches:
-            z = describe(matrix(pdf["x"], 1))
-            weighted = z * pdf["w"].to_numpy()[:, None]
-            total += z.T @ weighted
-            degree += weighted.sum(axis=0)
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
-        yield pd.DataFrame({"i": np.arange(m), "j": -1, "v": degree})
-
-    full, degree = np.zeros((m, m)), np.zeros(m)
-    for r in points.select("x", "w").mapInPandas(gram, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        if r.j < 0:  # at most landmarks squared rows
-            degree[r.i] = r.v
-        else:
-            full[r.i, r.j] = r.v
-    scale = 1.0 / np.sqrt(np.maximum(degree, 1e-300))
-    values, directions = np.linalg.eigh(scale[:, None] * full * scale[None, :])
-    basis = scale[:, None] * directions[:, -k:] / np.sqrt(np.maximum(values[-k:], 1e-12))
-
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"x": pdf["x"], "w": pdf["w"], "v": list(describe(matrix(pdf["x"], 1)) @ basis)})
-
-    return points.select("x", "w").mapInPandas(embed, "x array<double>, w double, v array<double>")

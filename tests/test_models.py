@@ -212,11 +212,43 @@ def test_summaries_and_landmarks_recover_blobs(spark):
     df, want = blobs(spark)
     assert partition(agglomerative(df, "id", "features", n_clusters=3, summaries=60)) == want
     assert partition(birch(df, "id", "features", threshold=0.1, n_clusters=3)) == want
-    assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, exact_points=100, landmarks=40)) == want
+    assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, coarse=100)) == want
     assert partition(spectral(df, "id", "features", n_clusters=3, n_init=2, affinity="nearest_neighbors")) == want
     assert partition(mean_shift(df, "id", "features", bandwidth=2.0)) == want
 
 
+def ring_points(n, seed, width=0.05):
+    rng = np.random.default_rng(seed)
+    t, wide = rng.uniform(0, 2 * np.pi, n), rng.normal(0, width, (n, 3))
+    first = np.arange(n) % 2 == 0
+    x = np.where(first[:, None], np.stack([np.cos(t), np.sin(t), 0 * t], axis=1), np.stack([1 + np.cos(t), 0 * t, np.sin(t)], axis=1))
+    return x + wide
+
+
+@pytest.mark.parametrize("coarse", [2_000, 150])
+def test_spectral_rings_over_levels(spark, coarse):
+    """A graph of one level and of several tells the same rings apart; equal rows act as one point."""
+    x = ring_points(1_500, 4)
+    x[:100] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    want = {frozenset([*range(100), *range(100, 1500, 2)]), frozenset(range(101, 1500, 2))}
+    assert partition(spectral(df, "id", "features", n_clusters=2, n_init=1, affinity="nearest_neighbors", coarse=coarse)) == want
+
+
+def test_spectral_splits_what_hangs_together(spark):
+    """Two clumps joined by a thin line fall apart in its middle; more parts than clusters go with the nearest."""
+    rng = np.random.default_rng(7)
+    line = np.stack([np.linspace(0.5, 3.5, 12), np.zeros(12)], axis=1)
+    x = np.concatenate([rng.normal(0, 0.3, (300, 2)), rng.normal((4, 0), 0.3, (300, 2)), line])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    groups = partition(spectral(df, "id", "features", n_clusters=2, n_init=2, affinity="nearest_neighbors", n_neighbors=6, coarse=80))
+    assert sorted(len(g & set(range(300))) for g in groups) == [0, 300] and sorted(len(g & set(range(300, 600))) for g in groups) == [0, 300]
+    four = np.concatenate([rng.normal(c, 0.1, (60, 2)) for c in ((0, 0), (1, 0), (20, 0), (21, 0))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(four)], "id long, features array<double>")
+    for coarse in (2_000, 50):
+        assert partition(spectral(df, "id", "features", n_clusters=2, n_init=2, n_neighbors=5, coarse=coarse)) == {frozenset(range(120)), frozenset(range(120, 240))}
+
+
 def test_mean_shift_outliers(spark):
     df, _ = blobs(spark, 300)
     far = df.union(spark.createDataFrame([(999, [50.0, 50.0])], df.schema))
