@@ -114,3 +114,8 @@ def _(spark, sf):
 @query("spectral_rings", f"select id, min(id) over (partition by truth) as cluster from ({RINGS_SQL})")
 def _(spark, sf):
     return named(spectral(rings(spark, sf), "id", ["x", "y", "z"], n_clusters=2, n_init=1, affinity="nearest_neighbors", n_neighbors=8))
+
+
+@query("agglomerative_single_rings", f"select id, min(id) over (partition by truth) as cluster from ({RINGS_SQL})")
+def _(spark, sf):
+    return named(agglomerative(rings(spark, sf), "id", ["x", "y", "z"], n_clusters=2, linkage="single"))

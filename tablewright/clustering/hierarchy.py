@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.clustering.centres import assign
 from tablewright.clustering.density import dbscan
+from tablewright.clustering.linkage import single_linkage
 from tablewright.functions.blocks import distances, matrix
 from tablewright.functions.vectors import as_array
 from tablewright.operators.lookup import lookup
@@ -95,11 +96,12 @@ def _summaries(points: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.
 def agglomerative(df: DataFrame, id_column: str, features, n_clusters: int | None = 2, linkage: str = "ward",
                   metric: str = "euclidean", distance_threshold: float | None = None,
                   summaries: int = SUMMARIES, seed: int = 42) -> DataFrame:
-    """(id, cluster). Exact while there are at most ``summaries`` distinct points.
+    """(id, cluster). Single linkage is exact at any size, the others up to ``summaries`` distinct points.
 
-    Beyond that rows are first summarised by weighted centroids. Single linkage
-    with a threshold is exact at any size: it is the components of the graph of
-    points closer than the threshold.
+    Single linkage with a threshold is the components of the graph of points closer than
+    that, with a number of clusters a minimum spanning tree without its longest edges. For
+    ward, average and complete linkage more points than ``summaries`` are first summarised by
+    weighted centroids.
     """
     if linkage == "single" and distance_threshold is not None:
         below = float(np.nextafter(distance_threshold, 0.0))
@@ -107,6 +109,10 @@ def agglomerative(df: DataFrame, id_column: str, features, n_clusters: int | Non
     p = {"euclidean": 2.0, "l2": 2.0, "manhattan": 1.0, "l1": 1.0}[metric]
     rows = df.select(F.col(id_column).alias("id"), as_array(df, features).alias("x"))
     distinct = cut(rows.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "distinct")
+    if linkage == "single":
+        placed = cut(with_position(distinct, ["x"], "pid"), "placed")
+        labels = placed.join(single_linkage(placed.select("pid", "x"), n_clusters, p), "pid").select("x", F.col("w").alias("n"), "cluster")
+        return lookup(rows, cut(labels, "labels"), "x", "x", "cluster").select(F.col("id").alias(id_column), "cluster")
     points, sizes = _summaries(distinct, summaries, seed)
     labels = cut_tree(len(points), merge_tree(points, sizes, linkage, p), n_clusters, distance_threshold)
     return assign(rows, points, labels).withColumnRenamed("id", id_column)

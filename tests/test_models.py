@@ -8,7 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tablewright.clustering.density import dbscan
-from tablewright.clustering.hierarchy import agglomerative, birch, merge_tree
+from tablewright.clustering.hierarchy import agglomerative, birch, cut_tree, merge_tree
+from tablewright.clustering.linkage import spanning_tree
 from tablewright.clustering.modes import estimate_bandwidth, mean_shift
 from tablewright.clustering.spectral import spectral
 from tablewright.learners.base import load_model, save_model
@@ -201,6 +202,43 @@ def test_single_linkage_by_threshold(spark):
     assert len(got) == 60 - sum(1 for m in merges if m[0] < 0.6)
 
 
+def points_frame(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "pid long, x array<double>").repartition(4)
+
+
+def plain_tree(x):
+    """Lengths of a minimum spanning tree, by adding the nearest point again and again."""
+    near, out = np.linalg.norm(x - x[0], axis=1), []
+    inside = np.zeros(len(x), bool)
+    inside[0] = True
+    for _ in range(len(x) - 1):
+        i = int(np.where(inside, np.inf, near).argmin())
+        out.append(near[i])
+        inside[i] = True
+        near = np.minimum(near, np.linalg.norm(x - x[i], axis=1))
+    return np.sort(out)
+
+
+@pytest.mark.parametrize("kind, boxed", [("uniform", 1_000), ("clumps", 1_000), ("clumps", 0), ("grid", 1_000)])
+def test_spanning_tree(spark, kind, boxed):
+    """The tree is as short as a plain one, whether lists of neighbours or boxes find its long edges."""
+    rng = np.random.default_rng(11)
+    x = {"uniform": rng.random((400, 3)), "grid": np.stack(np.meshgrid(np.arange(12.0), np.arange(12.0)), axis=2).reshape(-1, 2),
+         "clumps": np.concatenate([rng.normal(c, 0.2, (60, 2)) for c in ((0, 0), (9, 1), (4, 7), (20, 20), (20, 24))])}[kind]
+    tree = spanning_tree(points_frame(spark, x), neighbours=4, boxed_parts=boxed).toPandas()
+    assert len(tree) == len(x) - 1
+    assert np.sort(tree["d"]) == pytest.approx(plain_tree(x), abs=1e-9)
+
+
+def test_single_linkage_of_a_thousand_points(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.5, (250, 2)) for c in ((0, 0), (6, 0), (0, 9), (30, 30))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    labels = cut_tree(len(x), merge_tree(x, np.ones(len(x)), "single"), 7, None)
+    want = {frozenset(np.flatnonzero(labels == k).tolist()) for k in range(7)}
+    assert partition(agglomerative(df, "id", "features", n_clusters=7, linkage="single")) == want
+
+
 def blobs(spark, n=900, seed=3):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 0.4, (n // 3, 2)) for c in ((0, 0), (6, 6), (0, 8))])
