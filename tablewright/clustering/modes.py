@@ -2,54 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.blocks import distances, matrix, row_slices
+from tablewright.clustering.bandwidth import estimate_bandwidth
 from tablewright.functions.vectors import as_array, squared_distance
 from tablewright.operators.neighbours import nearest_neighbours
 from tablewright.operators.proximity import widest, within
 from tablewright.runtime import cut
 
-# Points whose neighbours one group looks for.
-CHUNK_POINTS = 4_096
-
-
-def estimate_bandwidth(points: DataFrame, quantile: float = 0.3, chunk_points: int = CHUNK_POINTS) -> float:
-    """Mean distance of every row to its neighbour at the given quantile of all rows, itself counted.
-
-    ``points`` are (x, w), a point of weight w being w rows. Every chunk of points meets all
-    points in a group of its own: no pair rows, but work is quadratic in distinct points, and a
-    task holds them all.
-    """
-    n, rows = points.agg(F.count(F.lit(1)), F.sum("w")).first()
-    k = max(1, int(rows * quantile))
-    m = math.ceil(n / chunk_points)
-    mine = points.withColumn("_chunk", F.pmod(F.xxhash64("x"), F.lit(m)).cast("int"))
-    every = points.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def reach(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        if len(queries):
-            x, y, w = matrix(queries["x"], 1), matrix(refs["x"], 1), refs["w"].to_numpy()
-            for part in row_slices(len(x), len(y)):
-                block = distances(x[part], y)
-                if (w == 1).all():
-                    far = np.partition(block, k - 1, axis=1)[:, k - 1]
-                else:
-                    order = np.argsort(block, axis=1)
-                    at = (np.cumsum(w[order], axis=1) >= k).argmax(axis=1)
-                    far = np.take_along_axis(block, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
-                total += float(far @ queries["w"].to_numpy()[part])
-        return pd.DataFrame({"total": [total]})
-
-    sums = mine.groupBy("_chunk").cogroup(every.groupBy("_chunk")).applyInPandas(reach, "total double")
-    return sums.agg(F.sum("total")).first()[0] / rows
-
-
 def mean_shift(df: DataFrame, id_column: str, features, bandwidth: float | None = None, min_bin_freq: int = 1,
                cluster_all: bool = True, max_iter: int = 300) -> DataFrame:
     """(id, cluster): seeds start at occupied bins and move to the mean of the points within the bandwidth.
