@@ -1,10 +1,11 @@
 """Exact k nearest neighbours between two tables.
 
 A side of checked size goes to every task: the references, or else a few queries,
-for which every task keeps its own k nearest. Two large sides are joined by pivots (Lu et al. 2012): each query belongs to the cell of its nearest pivot, the
-triangle inequality bounds how far a neighbour of that cell can lie from the
-pivot, and a reference row is sent only to the cells it can matter to. Crowded
-cells are cut into chunks on both sides, so no task's work depends on skew.
+for which every task keeps its own k nearest. Two large sides are joined by a tree of
+pivots whose cells keep their size as the references grow: every point belongs to the cell
+of its nearest pivot, a query is first compared with its own cell, and then sent to those
+cells only that the ball of its k nearest so far can reach. Crowded cells are cut into
+chunks on both sides, so no task's work depends on skew.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablewright.functions.blocks import distances, matrix, row_slices, smallest
-from tablewright.runtime import BROADCAST_ROWS, bounded_count, cut, fits_broadcast
+from tablewright.operators.pivots import PivotTree
+from tablewright.runtime import BROADCAST_CELLS, BROADCAST_ROWS, bounded_count, cut, fits_broadcast
 
 CHUNK_ROWS = 8_192
 # Up to this many queries are sent to the references instead.
 QUERY_ROWS = 4_096
-MAX_PIVOTS = 1_024
+# References in a cell, about; their pivots are sent to every task, so beyond 100,000 of them cells grow.
+CELL_ROWS = 1_000
 
 
 def _top(query_ids, queries, refs: pd.DataFrame, points: np.ndarray, k: int, p: float, qid: str) -> Iterator[pd.DataFrame]:
@@ -95,74 +98,53 @@ def _few_queries(queries, references, k, p, width, schema, names):
     return _nearest_of(references.select(*names, "x").mapInPandas(search, schema), k)
 
 
+def _lowest(references: DataFrame, k: int) -> DataFrame:
+    """Of equal points the k lowest ids, which alone can be neighbours; a point's copies are thinned out where they are read."""
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            order = pdf["rid"].argsort(kind="stable")
+            copy = pdf["x"].map(lambda v: np.asarray(v, float).tobytes()).iloc[order]
+            yield pdf.iloc[order][(copy.groupby(copy.to_numpy(), sort=False).cumcount() < k).to_numpy()]
+
+    thinned = references.mapInPandas(thin, references.schema)
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("rid"))
+    return thinned.withColumn("_copy", rank).where(F.col("_copy") <= k).drop("_copy")
+
+
+def _chunked(left: DataFrame, right: DataFrame, cells: dict[int, tuple[int, int]], chunk_rows: int, search, names: list[str], schema) -> DataFrame:
+    """Meet the queries and the references of every cell, in chunks of both."""
+    plan = [(i, max(1, math.ceil(n / chunk_rows)), max(1, math.ceil(m / chunk_rows))) for i, (n, m) in cells.items()]
+    chunks = F.broadcast(left.sparkSession.createDataFrame(plan, "_cell long, _nq int, _nr int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    left = left.join(chunks, "_cell").select("qid", "x", "_cell", own("qid", "_nq").alias("_a"), each("_nr").alias("_b"))
+    right = right.join(chunks, "_cell").select(*names, "x", "_cell", own("rid", "_nr").alias("_b"), each("_nq").alias("_a"))
+    keys = ["_cell", "_a", "_b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+
+
 def _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_rows):
+    """Search every query's own cell first; its k-th distance there says which other cells it has to visit."""
     spark = queries.sparkSession
-    # Of equal points only the k lowest ids can be neighbours.
-    lowest = F.row_number().over(Window.partitionBy("x").orderBy("rid"))
-    refs = cut(references.withColumn("_copy", lowest).where(F.col("_copy") <= k).drop("_copy"), "references")
+    refs = cut(_lowest(references, k), "references")
     n = refs.count()
-    m = pivots or min(MAX_PIVOTS, max(8, int(math.sqrt(n))))
+    most = min(BROADCAST_ROWS, BROADCAST_CELLS // max(1, width))
+    m = pivots or min(most, max(8, math.ceil(n / CELL_ROWS)))
     picked = refs.orderBy(F.xxhash64("rid")).limit(m).select("x").toPandas()
-    centres = np.unique(matrix(picked["x"], width), axis=0)
-    m = len(centres)
-    between = distances(centres, centres, p)
-    sent = spark.sparkContext.broadcast((centres, between))
+    tree = PivotTree(matrix(picked["x"], width), p)
+    plain = spark.sparkContext.broadcast(tree)
+    place = [T.StructField("_cell", T.LongType()), T.StructField("_d", T.DoubleType())]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            block = distances(matrix(pdf["x"], width), sent.value[0], p)
-            cell = block.argmin(axis=1)
-            yield pdf.assign(_cell=cell.astype("int32"), _d=block[np.arange(len(pdf)), cell])
-
-    placed = cut(queries.mapInPandas(
-        assign, T.StructType([*queries.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_d", T.DoubleType())])
-    ), "placed")
-
-    def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.empty((0, m))
-        for pdf in batches:
-            block = distances(matrix(pdf["x"], width), sent.value[0], p)
-            best = np.sort(np.concatenate([best, block]), axis=0)[:k]
-        yield pd.DataFrame({"cell": np.tile(np.arange(m), len(best)), "d": best.ravel()})
-
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
-    kth = {r.cell: r.d for r in refs.select("x").mapInPandas(closest, "cell int, d double")
-           .withColumn("r", rank).where(F.col("r") <= k).groupBy("cell").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") == k).collect()}  # one row per pivot
-    cells = {r._cell: (r.far, r.n) for r in placed.groupBy("_cell").agg(F.max("_d").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
-    # A query in cell i is at most far_i from pivot i and its k-th neighbour at most far_i + kth_i away.
-    reach = np.full(m, -1.0)
-    bound = np.full(m, np.inf)
-    for i, (far, _) in cells.items():
-        bound[i] = far + kth.get(i, np.inf)
-        reach[i] = (far + bound[i]) * (1 + 1e-9)
+            cell, d = plain.value.assign(matrix(pdf["x"], width))
+            yield pdf.assign(_cell=cell, _d=d)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots_, gaps = sent.value
-        for pdf in batches:
-            block = distances(matrix(pdf["x"], width), pivots_, p)
-            needed = block <= reach[None, :]
-            if p == 2:
-                own = block.argmin(axis=1)
-                mine = block[np.arange(len(pdf)), own]
-                gap = gaps[own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap > 0, (block**2 - mine[:, None] ** 2) / (2 * gap), 0.0)
-                needed &= plane <= bound[None, :] * (1 + 1e-9) + 1e-12
-            row, cell = np.nonzero(needed)
-            yield pdf.iloc[row].reset_index(drop=True).assign(_cell=cell.astype("int32"))
-
-    routed = cut(refs.mapInPandas(
-        route, T.StructType([*refs.schema.fields, T.StructField("_cell", T.IntegerType())])
-    ), "routed")
-    loads = {r._cell: r["count"] for r in routed.groupBy("_cell").count().collect()}
-    plan = [(i, max(1, math.ceil(n / chunk_rows)), max(1, math.ceil(loads.get(i, 0) / chunk_rows)))
-            for i, (_, n) in cells.items()]
-    chunks = F.broadcast(spark.createDataFrame(plan, "_cell int, _nq int, _nr int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
-    left = placed.join(chunks, "_cell").select("qid", "x", "_cell", own("qid", "_nq").alias("_a"), each("_nr").alias("_b"))
-    right = routed.join(chunks, "_cell").select(*names, "x", "_cell", own("rid", "_nr").alias("_b"), each("_nq").alias("_a"))
+    placed = cut(queries.mapInPandas(assign, T.StructType([*queries.schema.fields, *place])), "placed")
+    stored = cut(refs.mapInPandas(assign, T.StructType([*refs.schema.fields, *place])), "stored")
+    # One row per pivot reaches the driver.
+    members = {r._cell: (r.far, r.n) for r in stored.groupBy("_cell").agg(F.max("_d").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    measured = spark.sparkContext.broadcast(tree.measured({i: far for i, (far, _) in members.items()}, {i: c for i, (_, c) in members.items()}))
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
@@ -170,6 +152,21 @@ def _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_ro
         r = r.sort_values("rid", kind="stable").reset_index(drop=True)
         return pd.concat(_top(q["qid"].to_numpy(), matrix(q["x"], width), r[names], matrix(r["x"], width), k, p, "qid"))
 
-    keys = ["_cell", "_a", "_b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
-    return _nearest_of(found, k)
+    def met(left: DataFrame) -> DataFrame:
+        loads = {r._cell: r["count"] for r in left.groupBy("_cell").count().collect()}
+        return _chunked(left, stored, {i: (c, members.get(i, (0, 0))[1]) for i, c in loads.items() if i in members}, chunk_rows, search, names, schema)
+
+    at_home = cut(_nearest_of(met(placed), k), "at_home")
+    ball = at_home.groupBy("qid").agg(F.max("distance").alias("_ball"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == min(k, n)).drop("_n")
+    asking = placed.join(ball, "qid", "left").select("qid", "x", "_cell", "_d", F.coalesce("_ball", F.lit(math.inf)).alias("_ball"))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, ball = matrix(pdf["x"], width), pdf["_ball"].to_numpy(float).copy()
+            few = np.flatnonzero(np.isinf(ball))  # of which the own cell has less than k
+            ball[few] = measured.value.bound(x[few], k)
+            row, cell = measured.value.reached(x, ball, pdf["_cell"].to_numpy(), pdf["_d"].to_numpy())
+            yield pdf.iloc[row][["qid", "x"]].reset_index(drop=True).assign(_cell=cell)
+
+    routed = cut(asking.mapInPandas(route, T.StructType([queries.schema["qid"], queries.schema["x"], place[0]])), "routed")
+    return _nearest_of(at_home.union(met(routed)), k)

@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import casts
+from tablewright.functions.blocks import distances
 from tablewright.functions.text import json_object, strip_fence
 from tablewright.operators import charts, cleaning, features, metrics, profile, statistics
 from tablewright.operators.components import connected_components
 from tablewright.operators.lookup import lookup
 from tablewright.operators.neighbours import nearest_neighbours
 from tablewright.operators.ordering import with_position
+from tablewright.operators.pivots import PivotTree
 from tablewright.operators.proximity import widest, within
 from tablewright.operators.silhouette import silhouette
 from tablewright.operators.split import exact_split
@@ -266,6 +268,25 @@ def test_nearest_neighbours(spark, p, broadcast_rows, query_rows):
         assert [d[j] for j in got[i]] == [d[j] for j in want] and len(set(got[i])) == 4
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0, math.inf])
+def test_pivot_tree(p):
+    """Points are put into the cell of their nearest pivot, and no member within reach is missed."""
+    x = random_points(2_000, 3, 8, copies=300)
+    tree = PivotTree(x[::15], p)
+    leaf, d = tree.assign(x)
+    assert d == pytest.approx(distances(x, tree.leaves, p).min(axis=1))
+    tree.measured({i: d[leaf == i].max() for i in np.unique(leaf)})
+    asked = x[:200] + 0.01
+    own, home = tree.assign(asked)
+    row, cell = tree.reached(asked, np.full(200, 0.4), own, home)
+    near = distances(asked, x, p) <= 0.4
+    visited = np.zeros((200, len(tree.leaves)), bool)
+    visited[row, cell] = True
+    visited[np.arange(200), own] = True
+    assert visited[np.nonzero(near)[0], leaf[np.nonzero(near)[1]]].all()
+    assert visited.mean() < 0.5
+
+
 def brute_silhouette(x, c):
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     s = []
