@@ -247,10 +247,13 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataF
     documents of their own; a null source is a source, the last one. All columns are kept,
     whatever their names. No rows: no result.
     """
-    taken = cut(draw(cut(sized_rows(docs), "sizes"), None, shards, seed)[0], "taken")
+    sized = cut(sized_rows(docs), "sizes")
+    taken = cut(draw(sized, None, shards, seed)[0], "taken")
     bits = _part_bits(taken, shards, SHARD_DOCUMENTS)
     counts = taken.select("_k1", "_k2", "_copy", "shard", _part(bits).alias("part"), "_order")
     rows = packed(docs, "doc_id", "source", "text").select("*", *row_keys())
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")))
+    # Only where rows repeat do their texts have to meet before the join.
+    repeated = not sized.where("_copy > 1").isEmpty()
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id")) if repeated else F.lit(1))
     mixed = rows.join(counts, ["_k1", "_k2", "_copy"]).repartition(shards << bits, "shard", "part").sortWithinPartitions("shard", "part", "_order")
     return unpacked(mixed, docs.columns, "doc_id", "source", "text")
