@@ -27,8 +27,8 @@ from tablewright.llm.arrays import batches
 
 VOCABULARY = "word_bpe_49k.json"
 # Distinct words kept with their tokens by one worker, about, borders kept, and the longest such word.
-CACHED = 300_000
-CACHED_BORDERS = 1 << 19
+CACHED = 150_000
+CACHED_BORDERS = 1 << 18
 CACHED_LENGTH = 64
 # Characters of a text cut into runs at once.
 CHUNK = 1 << 16
