@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tablewright.operators import cleaning
+from tablewright.operators.profile import is_empty
 from tablewright.runtime import cut
 from tablewright.spec import DatasetSpec
 
@@ -31,10 +32,13 @@ def clean(df: DataFrame, spec: DatasetSpec, keep_typed: bool = False) -> DataFra
 
 
 def clean_all(datasets: dict[str, tuple[DataFrame, DatasetSpec]], write) -> dict[str, str]:
-    """Clean each dataset and hand it to ``write``; one failure does not stop the others."""
+    """Clean each dataset and hand it to ``write``; an empty one is left out, and one failure does not stop the others."""
     outcome = {}
     for name, (df, spec) in datasets.items():
         try:
+            if is_empty(df):
+                outcome[name] = "empty"
+                continue
             write(name, clean(df, spec))
             outcome[name] = "done"
         except Exception as error:  # noqa: BLE001 - reported, the dataset stays queued

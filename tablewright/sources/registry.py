@@ -11,18 +11,20 @@ from tablewright.operators.lookup import lookup
 
 REGISTRY_SCHEMA = (
     "model_id string, dataset_id string, model_name string, train_time double, metrics map<string,double>, "
-    "progress array<double>, path string, ts timestamp"
+    "progress array<double>, path string, ts timestamp, labels string"
 )
 
 
 def append_model(spark: SparkSession, base: str, dataset_id: str, trained, model_id: str) -> str:
-    """Save a trained model under its own path and append its registry row."""
-    path = f"{base}/models/{model_id}"
+    """Save a trained model, or the labels of a clustering without one, under its own path and append its registry row."""
+    path, labels = f"{base}/models/{model_id}", f"{base}/labels/{model_id}"
     if trained.model is not None:
         save_model(trained.model, path)
+    if trained.labels is not None:
+        trained.labels.write.mode("overwrite").parquet(labels)
     scores = {k: float(v) for k, v in trained.metrics.items() if v is not None}
     row = (model_id, dataset_id, trained.name, float(trained.train_time), scores, [float(v) for v in trained.progress],
-           path if trained.model is not None else None, None)
+           path if trained.model is not None else None, None, labels if trained.labels is not None else None)
     rows = spark.createDataFrame([row], REGISTRY_SCHEMA).withColumn("ts", F.timestamp_micros(F.lit(time.time_ns() // 1000)))
     rows.coalesce(1).write.mode("append").parquet(f"{base}/registry")
     return model_id
@@ -32,6 +34,14 @@ def read_registry(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/registry")
 
 
+def read_labels(spark: SparkSession, base: str, model_id: str) -> DataFrame:
+    """The rows a clustering was fitted on with their ``cluster``, as its registry row names them."""
+    found = read_registry(spark, base).where(F.col("model_id") == model_id).select("labels").first()
+    if found is None or found.labels is None:
+        raise ValueError(f"no labels are stored for {model_id!r}")
+    return spark.read.parquet(found.labels)
+
+
 def model_metrics(registry: DataFrame, dataset_id: str | None = None) -> DataFrame:
     """Scores of a dataset's models: rates default to 0, errors stay null."""
     rows = registry if dataset_id is None else registry.where(F.col("dataset_id") == dataset_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.functions.casts import null_tokens
 from tablewright.operators.profile import infer_types
@@ -53,6 +53,11 @@ def _parsed(records: DataFrame, width: int, options: dict) -> DataFrame:
     return records.select(cells.alias("r")).select(*[F.col(f"r.{c}") for c in columns])
 
 
+def accepted(path: str) -> Column:
+    """Does a column of paths end in the extension of a format that datasets may arrive in?"""
+    return F.regexp_extract(F.lower(F.rtrim(F.col(path), F.lit("/"))), r"\.([^./]+)$", 1).isin(*FORMATS)
+
+
 def read_dataset(spark: SparkSession, path: str, spec: DatasetSpec | None = None) -> DataFrame:
     """Read a dataset by extension; any other format is refused."""
     kind = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
