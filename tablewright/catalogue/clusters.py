@@ -76,6 +76,22 @@ def _(spark, sf):
         F.count_if(F.col("cluster") == -1).alias("noise"))
 
 
+_NEAR_VECTORS = ("with c as (select vec_id as id, embedding::double[] as x from embeddings), "
+                 "p as (select a.id, b.id as o from c a join c b on list_distance(a.x, b.x) <= 1.18), "
+                 "k as (select id from p group by id having count(*) >= 5), ")
+
+
+@query("dbscan_vectors", _NEAR_VECTORS + "b as (select distinct p.id from p join k on p.o = k.id where p.id not in (select id from k)) "
+       "select (select count(*) from k) as core, (select count(*) from b) as border, (select count(*) from c) - (select count(*) from k) - (select count(*) from b) as noise")
+def _(spark, sf):
+    """Points of many columns, for which cells are those of pivots."""
+    vectors = table(spark, sf, "embeddings").selectExpr("vec_id as id", "cast(embedding as array<double>) as x")
+    labels = dbscan(vectors, "id", "x", eps=1.18, min_samples=5)
+    return labels.agg(
+        F.count_if("core").alias("core"), F.count_if(~F.col("core") & (F.col("cluster") >= 0)).alias("border"),
+        F.count_if(F.col("cluster") == -1).alias("noise"))
+
+
 @query("agglomerative", _TRUE)
 def _(spark, sf):
     return named(agglomerative(blobs(spark, sf), "id", XY, n_clusters=3))

@@ -12,11 +12,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewright.clustering.wide_density import label_points
 from tablewright.functions.vectors import as_array, dot, minkowski
 from tablewright.operators.components import connected_components
 from tablewright.operators.lookup import lookup
 from tablewright.operators.ordering import with_position
-from tablewright.operators.proximity import around, widest
+from tablewright.operators.proximity import GRID_DIMENSIONS, around, widest
 from tablewright.runtime import cut
 
 POWERS = {"euclidean": 2.0, "l2": 2.0, "manhattan": 1.0, "l1": 1.0, "cityblock": 1.0, "chebyshev": math.inf}
@@ -60,6 +61,8 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
         point, power, eps = F.transform(point, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0))), 2.0, math.sqrt(2 * eps)
     given = df.select(F.col(id_column).alias("id"), point.alias("x"))
     width = len(given.first().x)
+    if width > GRID_DIMENSIONS:
+        return _wide(given, id_column, eps, min_samples, power)
     side = eps * (1 - 1e-12) / (1.0 if math.isinf(power) else width ** (1.0 / power))
 
     # Equal points act as one point with a weight; the grouping combines on the map side.
@@ -112,6 +115,15 @@ def dbscan(df: DataFrame, id_column: str, features, eps: float = 0.5, min_sample
     return found.select(F.col("id").alias(id_column), "outcome.cluster", "outcome.core")
 
 
+def _wide(given: DataFrame, id_column: str, eps: float, min_samples: int, power: float) -> DataFrame:
+    """``dbscan`` of ``given(id, x)`` in many columns, where a grid does not help."""
+    distinct = cut(given.groupBy("x").agg(F.min("id").cast("long").alias("pid"), F.count(F.lit(1)).alias("w")), "distinct")
+    labels = distinct.join(label_points(distinct, eps, min_samples, power), "pid")
+    outcome = cut(labels.select("x", F.col("w").alias("n"), F.struct("cluster", "core").alias("outcome")), "outcome")
+    found = lookup(given, outcome, "x", "x", "outcome")
+    return found.select(F.col("id").alias(id_column), "outcome.cluster", "outcome.core")
+
+
 def _near_cells(cells: DataFrame, width: int, side: float, eps: float, p: float) -> DataFrame:
     """(a, b, far) for cells whose boxes come within eps; far is the largest distance between them."""
     steps = math.ceil(eps / side - 1e-9)

@@ -111,8 +111,11 @@ def _lowest(references: DataFrame, k: int) -> DataFrame:
     return thinned.withColumn("_copy", rank).where(F.col("_copy") <= k).drop("_copy")
 
 
-def _chunked(left: DataFrame, right: DataFrame, cells: dict[int, tuple[int, int]], chunk_rows: int, search, names: list[str], schema) -> DataFrame:
-    """Meet the queries and the references of every cell, in chunks of both."""
+def meet_in_chunks(left: DataFrame, right: DataFrame, cells: dict[int, tuple[int, int]], chunk_rows: int, search, names: list[str], schema) -> DataFrame:
+    """``search(queries, references)`` for the ``left(qid, x, _cell)`` and ``right(names, x, _cell)`` of every cell, in chunks of both.
+
+    ``cells`` has how many of either a cell holds.
+    """
     plan = [(i, max(1, math.ceil(n / chunk_rows)), max(1, math.ceil(m / chunk_rows))) for i, (n, m) in cells.items()]
     chunks = F.broadcast(left.sparkSession.createDataFrame(plan, "_cell long, _nq int, _nr int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -154,7 +157,7 @@ def _by_pivots(queries, references, k, p, width, schema, names, pivots, chunk_ro
 
     def met(left: DataFrame) -> DataFrame:
         loads = {r._cell: r["count"] for r in left.groupBy("_cell").count().collect()}
-        return _chunked(left, stored, {i: (c, members.get(i, (0, 0))[1]) for i, c in loads.items() if i in members}, chunk_rows, search, names, schema)
+        return meet_in_chunks(left, stored, {i: (c, members.get(i, (0, 0))[1]) for i, c in loads.items() if i in members}, chunk_rows, search, names, schema)
 
     at_home = cut(_nearest_of(met(placed), k), "at_home")
     ball = at_home.groupBy("qid").agg(F.max("distance").alias("_ball"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == min(k, n)).drop("_n")

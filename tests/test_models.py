@@ -13,6 +13,7 @@ from tablewright.clustering.linkage import spanning_tree
 from tablewright.clustering.bandwidth import estimate_bandwidth
 from tablewright.clustering.modes import mean_shift
 from tablewright.clustering.spectral import spectral
+from tablewright.clustering.wide_density import label_points
 from tablewright.learners.base import load_model, save_model
 from tablewright.learners.catalogue import train
 from tablewright.plans.train import train_job, train_model
@@ -163,6 +164,21 @@ def test_dbscan_matches_brute_force(spark, d, eps, m, metric):
     assert [rows[i].cluster for i in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("chunk_rows, p", [(8_192, 2.0), (25, 1.0)])
+def test_dbscan_of_many_columns(spark, chunk_rows, p):
+    """Cells of pivots, whole or in chunks, one of them with a third of all points."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.3, (200, 12)), rng.normal(1.2, 0.25, (120, 12)), rng.uniform(-2, 3, (60, 12))])
+    w = rng.integers(1, 3, len(x))
+    eps = 1.1 if p == 2 else 3.2
+    points = spark.createDataFrame([(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(x, w))], "pid long, x array<double>, w long")
+    want, core = brute_dbscan(np.repeat(x, w, axis=0), eps, 5, p)
+    first = np.concatenate([[0], np.cumsum(w)[:-1]])
+    rows = {r.pid: r for r in label_points(points, eps, 5, p, pivots=14, chunk_rows=chunk_rows).collect()}
+    assert [rows[i].core for i in range(len(x))] == core[first].tolist() and core.any() and not core.all()
+    assert [rows[i].cluster for i in range(len(x))] == want[first].tolist()
+
+
 def brute_linkage(x, linkage, k):
     groups = [[i] for i in range(len(x))]
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
