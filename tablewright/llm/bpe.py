@@ -15,8 +15,7 @@ import unicodedata
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
-from operator import itemgetter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from tablewright.llm.arrays import batches
 
 VOCABULARY = "word_bpe_49k.json"
 # Distinct words kept with their tokens by one worker, about, borders kept, and the longest such word.
-CACHED = 150_000
+CACHED = 400_000
 CACHED_BORDERS = 1 << 18
 CACHED_LENGTH = 64
 # Characters of a text cut into runs at once.
@@ -55,6 +54,7 @@ class Vocabulary:
         self.letters = _byte_letters()
         self.special = {t["content"]: t["id"] for t in stated["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
+        self.by_decimal = {str(i): t for i, t in self.tokens.items()}
         pattern = next(p["pattern"]["Regex"] for p in stated["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern)
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
@@ -195,7 +195,6 @@ def transduce(vocabulary: Vocabulary, symbols: Iterable[str]) -> Iterator[int]:
 # White space of the pattern; str.split also splits at four control characters that are none.
 _WHITE = regex.compile(r"[^\S\x1c-\x1f]+")
 _ODD_WHITE = regex.compile(r"[\x1c-\x1f]")
-_tokens = itemgetter(0)
 
 
 def normalise(text: str) -> str:
@@ -242,8 +241,8 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self._known = Recent(CACHED)
 
-    def run(self, run: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a short run in normal form, and the same in decimal joined by spaces."""
+    def run(self, run: str) -> str:
+        """Ids of a short run in normal form, in decimal, joined by spaces."""
         known = self._known.new.get(run)
         if known is not None:
             return known
@@ -251,54 +250,50 @@ class Encoder:
         if run.isalpha():
             return self.word(run)
         if run[-1] in ".," and run[:-1].isalpha():
-            (ids, decimal), (more, more_decimal) = self.word(run[:-1]), self.word(run[-1])
-            return ids + more, f"{decimal} {more_decimal}"
-        words = [self.word(w) for w in self.vocabulary.word.findall(run)]
-        return tuple(i for w in words for i in w[0]), " ".join([w[1] for w in words])
+            return f"{self.word(run[:-1])} {self.word(run[-1])}"
+        return " ".join(map(self.word, self.vocabulary.word.findall(run)))
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+    def word(self, word: str) -> str:
         known = self._known.new.get(word)
         if known is not None:
             return known
         known = self._known.old.get(word)
         if known is None:
-            ids = tuple(self._stream(word))
-            known = ids, " ".join(map(str, ids))
+            known = " ".join(map(str, self._stream(word)))
         return self._known.put(word, known) if len(word) <= CACHED_LENGTH else known
 
-    def _stream(self, word: str) -> Iterator[int]:
+    def _stream(self, word: str) -> Iterable[int]:
         """Ids of a word of any length, each as soon as it is stable."""
         vocabulary = self.vocabulary
         if len(word) * 4 <= vocabulary.lookahead * 2:
-            return iter(short_word(vocabulary, "".join([vocabulary.letters[b] for b in word.encode("utf-8", "replace")])))
+            return short_word(vocabulary, "".join([vocabulary.letters[b] for b in word.encode("utf-8", "replace")]))
         return transduce(vocabulary, vocabulary.symbols(word))
 
-    def pieces(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        """Ids of a text in order, some at a time, and the same in decimal."""
+    def pieces(self, text: str) -> Iterator[str]:
+        """Ids of a text in order, in decimal, some at a time joined by spaces."""
         low = 0
         for hit in self.vocabulary.special_at.finditer(text) if self.vocabulary.special else ():
             yield from self._plain(text[low: hit.start()])
-            own = self.vocabulary.special[hit[0]]
-            yield (own,), str(own)
+            yield str(self.vocabulary.special[hit[0]])
             low = hit.end()
         yield from self._plain(text[low:])
 
-    def _plain(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
+    def _plain(self, text: str) -> Iterator[str]:
         for part in chunks(text):
             part = normalise(part)
             runs = filter(None, _WHITE.split(part)) if _ODD_WHITE.search(part) else part.split()
             if len(part) <= 2 * CHUNK:
-                yield from filter(_tokens, map(self.run, runs))
+                yield from filter(None, map(self.run, runs))
                 continue
             # A very long run: its ids are passed on as the transducer emits them.
             for run in runs:
                 words = (w[0] for w in self.vocabulary.word.finditer(run))
                 ids = (i for word in words for i in self._stream(word))
-                while some := tuple(islice(ids, 1 << 12)):
-                    yield some, " ".join(map(str, some))
+                while some := list(islice(ids, 1 << 12)):
+                    yield " ".join(map(str, some))
 
     def ids(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return [int(i) for piece in self.pieces(text) for i in piece.split(" ")]
 
 
 class Decoder:
@@ -314,13 +309,13 @@ class Decoder:
         self._bytes = {letter: b for b, letter in enumerate(vocabulary.letters)}
         self._need, self._low, self._high, self._held = 0, 0x80, 0xBF, b""
 
-    def feed(self, ids: Iterable[int]) -> str:
-        """Text of some more ids; as many calls of ``push``, but that a plain file's tokens are looked up at once."""
+    def feed(self, ids: list[str]) -> str:
+        """Text of some more ids in decimal; as many calls of ``push``, but that a plain file's tokens are looked up at once."""
         if not self.plain:
-            return "".join(map(self.push, ids))
-        out = " ".join(map(self.vocabulary.tokens.__getitem__, ids))
-        if not out or self._first:
-            self._first = self._first and not out
+            return "".join(map(self.push, map(int, ids)))
+        out = " ".join(map(self.vocabulary.by_decimal.__getitem__, ids))
+        if not ids or self._first:
+            self._first = self._first and not ids
             return out
         return " " + out
 
@@ -366,7 +361,7 @@ class Decoder:
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int], plain: bool = True) -> str:
     decoder = Decoder(vocabulary, plain)
-    return decoder.feed(ids) + decoder.finish()
+    return decoder.feed(list(map(str, ids))) + decoder.finish()
 
 
 @lru_cache(4)
@@ -398,13 +393,14 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 joint = ""
                 parts = own.pieces(text if isinstance(text, str) else "")
                 while block := list(islice(parts, 1 << 12)):
-                    some = list(chain.from_iterable(map(_tokens, block)))
+                    as_ids = " ".join(block)
+                    some = as_ids.split(" ")
                     count += len(some)
-                    ids.update((joint + " ".join([p[1] for p in block])).encode())
+                    ids.update((joint + as_ids).encode())
                     decoded.update(decoder.feed(some).encode("utf-8", "replace"))
                     joint = " "
                     if with_ids:
-                        kept.append(np.array(some, np.int32))
+                        kept.append(np.fromiter(map(int, some), np.int32, len(some)))
                 decoded.update(decoder.finish().encode())
                 out.append((doc_id, count, ids.hexdigest(), decoded.hexdigest(), *([np.concatenate(kept)] if with_ids else [])))
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
