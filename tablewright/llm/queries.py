@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES, ORACLES = {}, {}
-# Folder of the public tokenizer files; every executor has it.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are; every executor has them."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def query(name: str, sql: str | None = None):
@@ -34,7 +39,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from tablewright.llm.bpe import VOCABULARY, encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}")
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
 
 
 @query("op9_warc_bundles", """

@@ -9,9 +9,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from tablewright.llm import bpe, langid, licenses, mixing, winnowing
-from tablewright.llm.queries import ORACLES, TOKENIZERS
+from tablewright.llm.queries import ORACLES, tokenizer_path
 
-PATH = f"{TOKENIZERS}/{bpe.VOCABULARY}"
+PATH = tokenizer_path(bpe.VOCABULARY)
 
 
 def plain_winnow(text, gram=winnowing.GRAM, window=winnowing.WINDOW):
