@@ -8,7 +8,7 @@ from tablewright.llm.bpe import VOCABULARY, encode_documents
 from tablewright.llm.langid import keep_identified
 from tablewright.llm.minhash import keep_one_of_each
 from tablewright.llm.mixing import mix_documents
-from tablewright.llm.queries import TOKENIZERS
+from tablewright.llm.queries import tokenizer_path
 from tablewright.llm.substring_dedup import dedup_substrings
 from tablewright.runtime import new_folder, owned_tables
 
@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the decoded text."""
-    return encode_documents(docs, f"{TOKENIZERS}/{VOCABULARY}", with_ids=True)
+    return encode_documents(docs, tokenizer_path(VOCABULARY), with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("bpe", bpe)]
