@@ -8,6 +8,7 @@ the file. The index maps every record to its bundle, frame and offset inside the
 from __future__ import annotations
 
 import hashlib
+import math
 import posixpath
 import struct
 import uuid
@@ -26,6 +27,8 @@ SHARED_BYTES = 1000
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
 LEVEL = 3
+# Compressed frames that one task reads back, about.
+READ_BYTES = 8 << 20
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEK_TABLE = 0x8F92EAB1
@@ -190,7 +193,10 @@ def read_archives(index: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    return index.repartition("path", "frame").sortWithinPartitions("path", "frame", "record_at").mapInPandas(run, RESULT)
+    # The index is narrow, but each of its rows makes a task read a frame: tasks follow the bytes of those.
+    frames = index.groupBy("path", "frame").agg(F.max("frame_bytes").alias("n"))
+    tasks = max(1, math.ceil((frames.agg(F.sum("n")).first()[0] or 0) / READ_BYTES))
+    return index.repartition(tasks, "path", "frame").sortWithinPartitions("path", "frame", "record_at").mapInPandas(run, RESULT)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

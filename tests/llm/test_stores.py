@@ -48,6 +48,16 @@ def test_frames_stand_alone(spark, tmp_path):
     assert len(whole) == sum(r["record_bytes"] for r in index if r["path"] == index[0]["path"])
 
 
+def test_reading_tasks_follow_the_frames(spark, tmp_path, monkeypatch):
+    rows = [(i, "http://a.org/", "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(3000))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.write_archives(df.coalesce(1), str(tmp_path / "out"), frame_bytes=8000, bundle_bytes=60_000)
+    size = sum(r["n"] for r in index.groupBy("path", "frame").agg({"frame_bytes": "max"}).toDF("path", "frame", "n").collect())
+    monkeypatch.setattr(warc, "READ_BYTES", size // 6)
+    read = warc.read_archives(index)
+    assert read.rdd.getNumPartitions() in (6, 7) and sorted(r["page_id"] for r in read.collect()) == list(range(40))
+
+
 def test_url_parts_and_rules(spark):
     cases = [("HTTP://WWW.Org/a?x#y", "www.org", "/a", "org/", "allow"), ("http://orgs/", "orgs", "/", None, "allow"), (None, "", "", None, "allow"), ("no host", "", "", None, "allow"),
              ("x://Example.ORG/es/1", "example.org", "/es/1", "example.org/es/", "block"), ("http://example.org/en/17", "example.org", "/en/17", "example.org/en/1", "block"),
