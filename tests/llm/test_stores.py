@@ -99,6 +99,14 @@ def test_propagation(spark):
     assert {r["verdict"] for r in out.values()} == {"allow", "block"}
 
 
+def test_far_hosts_are_reached_whatever_the_number_of_seeds(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(4)], "src string, dst string, n long")
+    marked = spark.createDataFrame([("h0", 1, 0), ("large", 5_000_000, 0), ("h4", 0, 1)], "host string, trusted long, blocked long")
+    scores = {r["host"]: r for r in url_graph.propagate(edges, marked, tolerance=0.5).collect()}
+    assert all(scores[f"h{i}"]["trust"] > 0 and scores[f"h{i}"]["distrust"] > 0 for i in range(5))
+    assert scores["h3"]["trust"] == pytest.approx(0.85 * scores["h2"]["trust"])
+
+
 def vectors(spark, n=2000, d=24):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(n, d)) * rng.uniform(0.5, 2, (n, 1))
