@@ -13,29 +13,43 @@ from tablewright.llm.substring_dedup import dedup_substrings
 from tablewright.runtime import new_folder, owned_tables
 
 
+# Rows of a batch between Spark and its Python workers. Texts are long and are passed on
+# whole, and the workers of several stages live in one executor.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and texts without a letter."""
+    _small_batches(spark)
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    _small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that also stand earlier go; so do documents of which nothing is left."""
+    _small_batches(spark)
     cut_down = dedup_substrings(docs).where("n_words = 0 or n_removed < n_words")
     return cut_down.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn, some of them twice, until every source meets its target."""
+    _small_batches(spark)
     return mix_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the decoded text."""
+    _small_batches(spark)
     return encode_documents(docs, tokenizer_path(VOCABULARY), with_ids=True)
 
 
