@@ -255,6 +255,5 @@ def _(spark, sf):
     """The name of the slot that a wide category sets in the feature vector."""
     df = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("string").alias("cust"))
     model = features.fit_features(df, DatasetSpec(types={"price": "float", "cust": "category"}), wide_categories=10)
-    slots = model.transform(df).select("o_orderkey", F.posexplode(F.slice(vector_to_array("features"), 2, 1 << 30)).alias("position", "value"))
-    set_ = slots.where("value = 1").select("o_orderkey", (F.col("position") + 1).cast("long").alias("position"))
-    return set_.join(model.name_table(spark), "position").select("o_orderkey", "name")
+    slots = model.set_slots(model.transform(df), "o_orderkey").where("position > 0 and value = 1")
+    return slots.join(model.name_table(spark), "position").select("o_orderkey", "name")

@@ -13,6 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     OneHotEncoder, PCA, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler, VectorSlicer,
 )
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablewright.functions.casts import DATE_FORMATS, to_timestamp
@@ -215,6 +216,15 @@ def _sql_double(value: float) -> str:
     return f"({float(value)!r}D)"
 
 
+@F.udf(T.ArrayType(T.StructType([T.StructField("position", T.LongType()), T.StructField("value", T.DoubleType())])))
+def _set_slots(vector):
+    if vector is None:
+        return []
+    if isinstance(vector, SparseVector):
+        return [(int(i), float(v)) for i, v in zip(vector.indices, vector.values) if v != 0]
+    return [(i, float(v)) for i, v in enumerate(vector.values) if v != 0]
+
+
 @dataclass
 class FeatureModel:
     """Fitted transformer: a pipeline, plus a code table for very wide categories.
@@ -245,6 +255,14 @@ class FeatureModel:
             out = out.union(spelled)
         return out
 
+    @staticmethod
+    def set_slots(df: DataFrame, *kept: str, features: str = "features") -> DataFrame:
+        """(kept..., position, value): one row per slot of a feature vector that is not 0.
+
+        Only these are gone through, so a row costs what it holds and not the width of its vector.
+        """
+        return df.select(*kept, F.inline(_set_slots(features)))
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self.wide:
             copies = df.withColumns({f"{c}__code": F.col(f"`{c}`") for c in self.wide})

@@ -368,6 +368,16 @@ def test_features_save_load_unseen_and_wide(spark, tmp_path):
     assert feature_rows(features.FeatureModel.load(spark, str(tmp_path / "w")), df) == rows
 
 
+def test_set_slots_of_a_very_wide_vector(spark):
+    """A vector of ten million slots is listed by what it holds; made dense, these rows would need 8 GB."""
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    wide = [(i, SparseVector(10_000_000, [0, 5 + i, 9_999_999], [2.0, 1.0, 0.0])) for i in range(100)]
+    df = spark.createDataFrame([*wide, (100, Vectors.dense([0.0, 3.0]))], ["id", "features"])
+    got = sorted(tuple(r) for r in features.FeatureModel.set_slots(df, "id").collect())
+    assert got == sorted([(i, p, v) for i in range(100) for p, v in ((0, 2.0), (5 + i, 1.0))] + [(100, 1, 3.0)])
+
+
 def test_pca_is_centred(spark):
     df = frame(spark, [(float(i), 2.0 * i + (i % 3), float(i % 2), i) for i in range(60)], "a double, b double, c double, id long")
     spec = DatasetSpec(types={"a": "float", "b": "float", "c": "float"}, dimensionality_reduction=True, row_key=("id",))
