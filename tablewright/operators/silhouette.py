@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.blocks import distances, matrix, row_slices
+from tablewright.functions.blocks import matrix, product_distances, row_slices
 from tablewright.functions.vectors import as_array, constant, dot
 from tablewright.runtime import BROADCAST_ROWS, cut, fits_broadcast
 
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 32_768
 
 
 def _points(df: DataFrame, features, label: str) -> DataFrame:
@@ -49,7 +49,7 @@ def silhouette(df: DataFrame, features, label: str, broadcast_rows: int = BROADC
             for pdf in batches:
                 for part in row_slices(len(pdf), len(others)):
                     rows_, mine = pdf.iloc[part], np.searchsorted(names, pdf["c"].to_numpy()[part])
-                    sums = distances(matrix(rows_["x"], width), others) @ weights
+                    sums = product_distances(matrix(rows_["x"], width), others) @ weights
                     at = np.arange(len(rows_))
                     own = sums[at, mine] / np.maximum(size[mine] - 1, 1)
                     means = sums / size
@@ -63,43 +63,40 @@ def silhouette(df: DataFrame, features, label: str, broadcast_rows: int = BROADC
 
     # Random blocks of equal size: every pair of blocks meets once, in its own task.
     blocks = math.ceil(n / block_rows)
-    tagged = points.withColumn("i", F.xxhash64("x", "c")).withColumn("b", F.pmod("i", F.lit(blocks)).cast("int"))
+    numbered = cut(points.withColumn("i", F.monotonically_increasing_id()), "numbered")
+    tagged = numbered.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = tagged.select("x", "c", F.col("b").alias("a"), every.alias("b"))
+    left = tagged.select("i", "x", F.col("b").alias("a"), every.alias("b"))
     right = tagged.select("x", "c", "w", "b", every.alias("a"))
 
     def sums_of(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         codes, labels = pd.factorize(r["c"], sort=True)
         weight = np.zeros((len(r), len(labels)))
         weight[np.arange(len(r)), codes] = r["w"]
-        points_ = matrix(r["x"], width)
+        points_, asking, names = matrix(r["x"], width), matrix(q["x"], width), q["i"].to_numpy()
         out = []
         for part in row_slices(len(q), max(1, len(r))):
-            rows_ = q.iloc[part]
-            sums = distances(matrix(rows_["x"], width), points_) @ weight
-            out.append(pd.DataFrame({
-                "x": np.repeat(rows_["x"].to_numpy(), len(labels)), "c": np.repeat(rows_["c"].to_numpy(), len(labels)),
-                "o": np.tile(labels.to_numpy(), len(rows_)), "t": sums.ravel(),
-            }))
-        return pd.concat(out) if out else pd.DataFrame({"x": [], "c": [], "o": [], "t": []})
+            sums = product_distances(asking[part], points_) @ weight
+            out.append(pd.DataFrame({"i": np.repeat(names[part], len(labels)), "o": np.tile(np.asarray(labels), len(sums)), "t": sums.ravel()}))
+        return pd.concat(out) if len(q) and len(r) else pd.DataFrame({"i": [], "o": [], "t": []})
 
-    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
-        sums_of, "x array<double>, c long, o long, t double")
-    totals = sums.groupBy("x", "c", "o").agg(F.sum("t").alias("t"))
-    size_table = spark.createDataFrame(list(sizes.items()), "o long, n long")
-    return _mean_score(totals.join(size_table, "o"), points)
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums_of, "i long, o long, t double")
+    totals = sums.groupBy("i", "o").agg(F.sum("t").alias("t"))
+    size_table = F.broadcast(spark.createDataFrame(list(sizes.items()), "o long, n long"))
+    return _mean_score(totals.join(size_table, "o"), numbered.select("i", "c", "w"))
 
 
 def _mean_score(totals: DataFrame, points: DataFrame) -> float:
-    """From (x, c, o, t, n): distance sums t of each point to each cluster o of size n."""
+    """From (i, o, t, n): distance sums t of each point to each cluster o of size n; and ``points(i, c, w)``."""
     own = F.col("o") == F.col("c")
-    per = totals.groupBy("x", "c").agg(
+    per = totals.join(points, "i").groupBy("i").agg(
+        F.first("w").alias("w"),
         F.max(F.when(own, F.col("t") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
         F.max(F.when(own, F.col("n"))).alias("own"),
         F.min(F.when(~own, F.col("t") / F.col("n"))).alias("b"),
     )
     s = F.when(F.col("own") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(F.lit(0.0))
-    return per.join(points, ["x", "c"]).agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
+    return per.agg(F.sum(s * F.col("w")) / F.sum("w")).first()[0]
 
 
 def silhouette_squared(df: DataFrame, features, label: str) -> DataFrame:
