@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import casts
-from tablewright.functions.blocks import distances
+from tablewright.functions.blocks import Screen, distances, product_distances, smallest
 from tablewright.functions.text import json_object, strip_fence
 from tablewright.operators import charts, cleaning, features, metrics, profile, statistics
 from tablewright.operators.components import connected_components
@@ -287,6 +287,38 @@ def test_pivot_tree(p):
     assert visited.mean() < 0.5
 
 
+@pytest.mark.parametrize("far", [0.0, 1e4])
+def test_screen_is_exact(far):
+    """Estimates by a matrix product decide nothing: nearest and links are those of all distances, to the last bit and with ties."""
+    b, a = random_points(3_000, 12, 21, copies=40) + far, random_points(200, 12, 22) + far
+    a[:20] = b[30:50]
+    fast = Screen(b)
+    d = distances(a, b)
+    best, near = fast.nearest(a, 7)
+    assert (best == smallest(d, 7)).all() and (near == np.take_along_axis(d, best, axis=1)).all()
+    eps = float(np.sort(d[3])[50])
+    i, j = fast.within(a, eps)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(v.tolist() for v in np.nonzero(d <= eps))))
+    assert product_distances(a, b) == pytest.approx(d, rel=1e-9, abs=0)
+
+
+def test_wide_neighbours_meet_in_few_blocks(spark, monkeypatch):
+    """Where every ball reaches every cell, queries are not sent to one cell after the other."""
+    import tablewright.operators.neighbours as module
+
+    refs, queries = random_points(400, 16, 23), random_points(120, 16, 24)
+    r = frame(spark, [(i, v.tolist()) for i, v in enumerate(refs)], "rid long, x array<double>")
+    q = frame(spark, [(i, v.tolist()) for i, v in enumerate(queries)], "qid long, x array<double>")
+    met = []
+    inner = module.meet_in_chunks
+    monkeypatch.setattr(module, "meet_in_chunks", lambda left, right, cells, *a: met.append((left.count(), len(cells))) or inner(left, right, cells, *a))
+    got = {}
+    for row in nearest_neighbours(q, r, 4, broadcast_rows=10, query_rows=10, pivots=40).orderBy("qid", "distance", "rid").collect():
+        got.setdefault(row.qid, []).append(row.rid)
+    assert got == {i: v.tolist() for i, v in enumerate(smallest(distances(queries, refs), 4))}
+    assert met == [(120, 1)]
+
+
 def brute_silhouette(x, c):
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     s = []
@@ -310,6 +342,14 @@ def test_silhouette(spark, broadcast_rows):
     assert got == pytest.approx(brute_silhouette(x, c), abs=1e-9)
 
 
+def test_wide_silhouette(spark):
+    x = random_points(150, 20, 25, copies=30)
+    c = np.arange(150) % 5
+    df = frame(spark, [(p.tolist(), int(k)) for p, k in zip(x, c)], "features array<double>, c long")
+    for broadcast_rows in (100_000, 10):
+        assert silhouette(df, "features", "c", broadcast_rows=broadcast_rows, block_rows=40) == pytest.approx(brute_silhouette(x, c), abs=1e-9)
+
+
 def test_silhouette_needs_two_clusters(spark):
     df = frame(spark, [([1.0], 0), ([2.0], 0)], "features array<double>, c long")
     assert silhouette(df, "features", "c") is None
