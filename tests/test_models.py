@@ -179,6 +179,22 @@ def test_dbscan_of_many_columns(spark, chunk_rows, p):
     assert [rows[i].cluster for i in range(len(x))] == want[first].tolist()
 
 
+@pytest.mark.parametrize("block_rows", [32_768, 50])
+def test_dbscan_of_many_columns_by_blocks(spark, monkeypatch, block_rows):
+    """Where every ball reaches most cells, no point is sent to one cell after the other."""
+    import tablewright.clustering.wide_density as module
+
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(0, 0.3, (200, 12)), rng.normal(0.9, 0.25, (120, 12)), rng.uniform(-2, 3, (60, 12))])
+    points = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "pid long, x array<double>, w long")
+    monkeypatch.setattr(module._Cells.__init__, "__defaults__", (block_rows,))
+    assert module._Cells(points, 1.1, 2.0, 40, 8_192).asking.count() == len(x)
+    want, core = brute_dbscan(x, 1.1, 5, 2.0)
+    rows = {r.pid: r for r in label_points(points, 1.1, 5, 2.0, pivots=40).collect()}
+    assert [rows[i].core for i in range(len(x))] == core.tolist() and core.any() and not core.all()
+    assert [rows[i].cluster for i in range(len(x))] == want.tolist()
+
+
 def brute_linkage(x, linkage, k):
     groups = [[i] for i in range(len(x))]
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
