@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tablewright.catalogue.inputs import DIRTY_SQL, dirty_orders, table
@@ -13,6 +15,8 @@ from tablewright.sources import tables
 from tablewright.spec import DatasetSpec
 
 QUERIES, ORACLES = {}, {}
+# Bytes of text that one task writes into one CSV file, about: several of the byte ranges by which it is read.
+FILE_BYTES = 512 << 20
 
 
 def query(name, sql=None):
@@ -345,8 +349,13 @@ def _(spark, sf):
 
 @query("csv_one_file", "select doc_id, text, lang, source, n_chars from documents")
 def _(spark, sf):
-    """One file whose cells hold line breaks, read by as many tasks as it has byte ranges."""
-    path = tables.write_csv(table(spark, sf, "documents").coalesce(1), new_folder(spark, "one") + ".csv")
+    """One file whose cells hold line breaks, read by as many tasks as it has byte ranges.
+
+    A file has one writer, so there is another file for every ``FILE_BYTES`` of text.
+    """
+    documents = table(spark, sf, "documents")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    path = tables.write_csv(documents.coalesce(max(1, math.ceil(size / FILE_BYTES))), new_folder(spark, "one") + ".csv")
     return tables.read_csv(spark, path)
 
 

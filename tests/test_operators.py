@@ -536,3 +536,23 @@ def test_csv_odd_files(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "head.csv"), infer=False).count() == 0
     (tmp_path / "none.csv").write_text("")
     assert tables.read_csv(spark, str(tmp_path / "none.csv"), infer=False).count() == 0
+
+
+def test_csv_one_file_has_bounded_writers(spark, sf, tmp_path, monkeypatch):
+    """The writers of large files grow in number with the bytes, and every row is read back."""
+    from tablewright.catalogue import cleaning as catalogue
+
+    wanted = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(catalogue, "FILE_BYTES", wanted.agg(F.sum(F.octet_length("text"))).first()[0] // 3)
+    wanted.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    paths = []
+    inner = catalogue.tables.write_csv
+    monkeypatch.setattr(catalogue.tables, "write_csv", lambda df, path: paths.append(path) or inner(df, path))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # one task for each of the 8 parts
+    try:
+        got = catalogue.QUERIES["csv_one_file"](spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(spark.read.text(paths[0]).inputFiles()) >= 3
+    assert sorted(got.select("doc_id").toPandas()["doc_id"]) == sorted(wanted.select("doc_id").toPandas()["doc_id"])
