@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.clustering.density import dbscan
 from tablewright.clustering.hierarchy import agglomerative, birch, cut_tree, merge_tree
-from tablewright.clustering.linkage import spanning_tree
+from tablewright.clustering.linkage import separate_parts, single_linkage, spanning_tree
 from tablewright.clustering.bandwidth import estimate_bandwidth
 from tablewright.clustering.modes import mean_shift
 from tablewright.clustering.spectral import spectral
@@ -272,6 +272,29 @@ def test_single_linkage_of_a_thousand_points(spark):
     assert partition(agglomerative(df, "id", "features", n_clusters=7, linkage="single")) == want
 
 
+def test_separate_parts(spark, p=2.0):
+    """Parts that two grids agree on are those of single linkage; no tree is grown inside them."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.uniform(0, 1, (250, 2)) + c for c in ((0, 0), (9, 0), (0, 12), (90, 90), (90, 102))])
+    pts = points_frame(spark, x)
+    for k, want in ((2, 2), (3, 5), (5, 5)):
+        found = separate_parts(pts, k, p).toPandas()
+        assert found["c"].nunique() == want and (found["c"] == found["pid"] // 250 // (3 if want == 2 else 1) * (750 if want == 2 else 250)).all()
+    labels = cut_tree(len(x), merge_tree(x, np.ones(len(x)), "single", p), 3, None)
+    got = single_linkage(pts, 3, p).toPandas().groupby("cluster")["pid"].agg(frozenset)
+    assert set(got) == {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(3)}
+    even = np.stack(np.meshgrid(np.arange(12.0), np.arange(12.0)), axis=2).reshape(-1, 2)
+    assert separate_parts(points_frame(spark, even), 2, p, 20) is None
+
+
+def test_single_linkage_of_rings_grows_no_tree(spark, monkeypatch):
+    """All points of one ring are equally far from a point of the other, so boxes cannot settle the edge between them."""
+    monkeypatch.setattr("tablewright.clustering.linkage.spanning_tree", None)
+    x = ring_points(6_000, 4, 0.0)
+    found = single_linkage(points_frame(spark, x), 2).toPandas().sort_values("pid")
+    assert (found["cluster"] == found["pid"] % 2).all()
+
+
 def blobs(spark, n=900, seed=3):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 0.4, (n // 3, 2)) for c in ((0, 0), (6, 6), (0, 8))])
