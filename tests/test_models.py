@@ -1,6 +1,7 @@
 """Trainers against closed forms and brute force; clusterers against small exact answers."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tablewright.clustering.density import dbscan
 from tablewright.clustering.hierarchy import agglomerative, birch, cut_tree, merge_tree
 from tablewright.clustering.linkage import separate_parts, single_linkage, spanning_tree
+from tablewright.clustering import bandwidth
 from tablewright.clustering.bandwidth import estimate_bandwidth
+from tablewright.functions.blocks import distances
 from tablewright.clustering.modes import mean_shift
 from tablewright.clustering.spectral import spectral
 from tablewright.clustering.wide_density import label_points
@@ -351,6 +354,23 @@ def test_mean_shift_outliers(spark):
     assert partition(mean_shift(df, "id", "features")) is not None
 
 
+def test_bandwidth_measures_shells_only(monkeypatch):
+    """A block against itself: the k-th distances are exact, and few of all distances are measured for them."""
+    x = np.random.default_rng(21).uniform(0, 1, (4_096, 2))
+    x, k, seen = x[bandwidth._grouped(x)], 1_200, []
+    guess, width = bandwidth._guesses(x, x, np.ones(len(x)), k)
+    row = SimpleNamespace(x=x.tobytes(), w=np.ones(len(x)).tobytes(), r0=np.maximum(guess - width, 0), r1=guess + width, below=np.full(len(x), np.nan),
+                          within=0.0, a=0, lo=None, hi=None, weight=0.0)
+    own = bandwidth._Own(row, k, 64)
+    monkeypatch.setattr(bandwidth, "distances", lambda a, b: seen.append(len(a) * len(b)) or distances(a, b))
+    own.meet(bandwidth._Leaves(x, np.ones(len(x))))
+    out = own.done()
+    settled = out["r0"][0] == out["r1"][0]
+    want = np.sort(distances(x, x), axis=1)[:, k - 1]
+    assert settled.mean() > 0.9 and out["r0"][0][settled] == pytest.approx(want[settled], rel=1e-12)
+    assert sum(seen) < 0.4 * len(x) ** 2
+
+
 @pytest.mark.parametrize("repeats", [1, 600])
 def test_bandwidth_counts_every_row(spark, repeats):
     x = np.random.default_rng(8).normal(size=(1200, 2))
