@@ -110,11 +110,11 @@ def _loss_pass(rows: DataFrame, width: int, weights: np.ndarray, bias: float, ep
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loss, grad = 0.0, np.zeros(width + 1)
         for pdf in batches:
-            x = matrix(pdf["x"], width)
+            x, w = matrix(pdf["x"], width), pdf["w"].to_numpy()
             r = x @ weights + bias - pdf["y"].to_numpy()
             over = np.maximum(np.abs(r) - epsilon, 0.0)
-            loss += np.where(over < soft, over**2 / (2 * soft), over - soft / 2).sum()
-            slope = np.sign(r) * np.minimum(over / soft, 1.0)
+            loss += (w * np.where(over < soft, over**2 / (2 * soft), over - soft / 2)).sum()
+            slope = w * np.sign(r) * np.minimum(over / soft, 1.0)
             grad += np.append(x.T @ slope, slope.sum())
         yield pd.DataFrame({"loss": [loss], "g": [grad]})
 
@@ -127,15 +127,17 @@ def regress(df: DataFrame, hyper: dict):
     """Epsilon-insensitive regression: half squared norm + C times the loss, by L-BFGS.
 
     The loss is smoothed over ``soft`` and re-solved with a smaller one; every
-    step is one pass over the rows, and only the weights live on the driver.
+    step is one pass over the rows, of which equal ones act as one with a weight, and only
+    the weights live on the driver.
     """
     kernel = _kernel_map(df, hyper, "rbf")
     c, epsilon = float(hyper.pop("C", 1.0)), float(hyper.pop("epsilon", 0.1))
     tol, steps = float(hyper.pop("tol", 1e-3)), int(hyper.pop("max_iter", -1))
     steps = UNLIMITED if steps < 0 else steps
-    mapped = kernel.transform(df)
-    rows = mapped.select(as_array(mapped, "features").alias("x"), F.col("label").cast("double").alias("y")).persist()
-    facts = rows.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), F.count("y").alias("n")).first()
+    facts = df.agg(F.avg(F.col("label").cast("double")).alias("m"), F.stddev_pop(F.col("label").cast("double")).alias("s"), F.count("label").alias("n")).first()
+    given = df.select(as_array(df, "features").alias("features"), F.col("label").cast("double").alias("y"))
+    mapped = kernel.transform(given.groupBy("features", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    rows = mapped.select(as_array(mapped, "features").alias("x"), "y", "w").persist()
     width = len(rows.first().x)
     theta, history = np.append(np.zeros(width), facts.m), []
     for soft in (max(facts.s or 1.0, 1e-6) * 0.1, max(facts.s or 1.0, 1e-6) * 0.01):
