@@ -87,10 +87,10 @@ _FITTED = (", m as (select avg(qty) as mx, avg(y) as my, covar_pop(qty, y) / var
 _APART = "case when qty > 25 then qty + 1000 else qty end"
 
 
-def _sides(spark, sf, label: str, feature: str = "qty"):
+def _sides(spark, sf, label: str, feature: str = "qty", keep: tuple = ("k",)):
     df = lines(spark, sf).selectExpr("k", f"cast({feature} as double) as qty", f"cast({label} as double) as label")
     ready = VectorAssembler(inputCols=["qty"], outputCol="features").transform(df)
-    marked = cut(ready.select("k", "features", "label", is_test("k").alias("test")), "sides")
+    marked = cut(ready.select(*keep, "features", "label", is_test("k").alias("test")), "sides")
     return marked.where("not test").drop("test"), marked.where("test").drop("test")
 
 
@@ -120,9 +120,9 @@ def _(spark, sf):
        "union all select 'pca', 'explained_variance', 1.0 union all select 'decision_tree', 'accuracy', 1.0 union all select 'perceptron', 'refused', 1.0")
 def _(spark, sf):
     """Models by the name a request states, with its settings; an unknown name is refused."""
-    left, right = _sides(spark, sf, "y")
-    apart, _ = _sides(spark, sf, "y", _APART)
-    classes, held = _sides(spark, sf, "case when qty > 25 then 1 else 0 end", "case when qty > 25 then 1000 else 0 end")
+    left, right = _sides(spark, sf, "y", keep=())
+    apart, _ = _sides(spark, sf, "y", _APART, ())
+    classes, held = _sides(spark, sf, "case when qty > 25 then 1 else 0 end", "case when qty > 25 then 1000 else 0 end", ())
     rows = []
     for name, metric, digits, a, b, settings in (("linear_regression", "mse", 3, left, right, {}), ("kmeans", "inertia", 0, apart, None, {"n_clusters": 2}),
                                                  ("pca", "explained_variance", 6, left, None, {"n_components": 1}), ("decision_tree", "accuracy", 6, classes, held, {})):
