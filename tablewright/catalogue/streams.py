@@ -26,6 +26,13 @@ def query(name, sql=None):
     return keep
 
 
+def _micros(df, column: str):
+    """Microseconds of a time as it is written; a time without a zone does not pass through that of the session."""
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def _landed(spark, sf, df=None):
     """Events landed as a few files, and a stream reading one file per batch."""
     df = table(spark, sf, "events") if df is None else df
@@ -58,9 +65,10 @@ def _(spark, sf):
        "select distinct user_id, event_type, round(coalesce(value, (select avg(value) from e)), 6) as value from e")
 def _(spark, sf):
     """A column that is empty in the first file, means of the whole history, and duplicates across files."""
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    late = F.unix_micros("ts") >= low + (high - low) * 3 // 10
+    events = table(spark, sf, "events")
+    micros = _micros(events, "ts")
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    late = micros >= low + (high - low) * 3 // 10
     df = events.select("ts", "user_id", "event_type", F.when(late, F.col("value")).alias("value"))
     spec = DatasetSpec(types={"user_id": "int", "event_type": "str", "value": "float"})
     model = fit_cleaning(df.drop("ts"), spec)

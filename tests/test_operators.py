@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -556,3 +557,20 @@ def test_csv_one_file_has_bounded_writers(spark, sf, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert len(spark.read.text(paths[0]).inputFiles()) >= 3
     assert sorted(got.select("doc_id").toPandas()["doc_id"]) == sorted(wanted.select("doc_id").toPandas()["doc_id"])
+
+
+def test_stream_clean_mean_in_a_zone_with_summer_time(spark, tmp_path):
+    """Events across a change of the clocks: which of them are late must not depend on the session's zone."""
+    from compare import differences
+    from __spark_entry__ import oracle_sql, queries
+
+    rows = spark.range(2_000).selectExpr("id as event_id", "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, id) as ts",
+                                         "id % 500 as user_id", "'view' as event_type", "id * 1.25e0 as value", "'' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert differences(db, queries()["stream_clean_mean"](spark, str(tmp_path)), oracle_sql()["stream_clean_mean"]) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
