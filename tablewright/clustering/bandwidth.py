@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.blocks import distances, matrix
 from tablewright.operators.ordering import with_position
-from tablewright.operators.proximity import widest
+from tablewright.operators.proximity import curve
 from tablewright.runtime import cut
 
 BLOCK_POINTS = 4_096
@@ -37,7 +37,6 @@ KEPT = 2_000_000
 PARTS = 1_024
 # A bracket this narrow, as a share of the widest distance, is a number.
 NARROW = 1e-12
-_BITS = 20
 
 
 def _grouped(x: np.ndarray) -> np.ndarray:
@@ -58,21 +57,7 @@ def _grouped(x: np.ndarray) -> np.ndarray:
 def _blocks(points: DataFrame, size: int) -> DataFrame:
     """(b, x, w): blocks of ``size`` points that lie near each other, as bytes."""
     width = len(points.first().x)
-    dims = widest(points, "x", width)
-    ends = points.agg(*[f for j in dims for f in (F.min(F.col("x")[j]), F.max(F.col("x")[j]))]).first()
-    low = np.array(ends[0::2])
-    scale = ((1 << _BITS) - 1) / np.maximum(np.array(ends[1::2]) - low, 1e-300)
-
-    @F.pandas_udf("long")
-    def along(x: pd.Series) -> pd.Series:
-        cells = ((matrix(x, width)[:, dims] - low) * scale).astype(np.int64)
-        out = np.zeros(len(cells), np.int64)
-        for bit in range(_BITS):
-            for j in range(len(dims)):
-                out |= (cells[:, j] >> bit & 1) << (bit * len(dims) + j)
-        return pd.Series(out)
-
-    placed = with_position(points.select("x", "w", along("x").alias("curve")), ["curve", "x"], "place")
+    placed = with_position(points.select("x", "w", curve(points, width)("x").alias("curve")), ["curve", "x"], "place")
     packed = placed.groupBy(F.floor(F.col("place") / size).alias("b")).agg(F.collect_list(F.col("x")).alias("x"), F.collect_list(F.col("w").cast("double")).alias("w"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,4 @@
-"""Silhouette coefficients, exact, over plain or squared Euclidean distance."""
+"""Silhouette coefficients of all rows over plain or squared Euclidean distance."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.blocks import matrix, product_distances, row_slices
 from tablewright.functions.vectors import as_array, constant, dot
+from tablewright.operators.distance_sums import mean_score
 from tablewright.runtime import BROADCAST_ROWS, cut, fits_broadcast
 
 BLOCK_ROWS = 32_768
+# Up to so many columns and clusters, far points of many are summed by grids.
+GRID_COLUMNS, GRID_CLUSTERS = 3, 1_000
 
 
 def _points(df: DataFrame, features, label: str) -> DataFrame:
@@ -26,9 +29,11 @@ def silhouette(df: DataFrame, features, label: str, broadcast_rows: int = BROADC
                block_rows: int = BLOCK_ROWS) -> float | None:
     """Mean silhouette over all rows, or None with fewer than two labels.
 
-    Plain Euclidean distance sums cannot be taken apart by cluster, so the work is
-    quadratic in the number of distinct points; ``silhouette_squared`` is linear.
-    Distance sums per cluster are formed inside blocks: pairs are never rows.
+    Plain Euclidean distance sums cannot be taken apart by cluster. In more than
+    ``GRID_COLUMNS`` columns the work is quadratic in the number of distinct points
+    (``silhouette_squared`` is linear): distance sums per cluster are formed inside
+    blocks, and pairs are never rows. In fewer, far points act by grids, which keeps
+    nine digits of the sums.
     """
     points = cut(_points(df, features, label), "points")
     sizes = {r.c: r.n for r in points.groupBy("c").agg(F.sum("w").alias("n")).collect()}
@@ -61,6 +66,9 @@ def silhouette(df: DataFrame, features, label: str, broadcast_rows: int = BROADC
         scored = points.mapInPandas(score, "s double, w long")
         return scored.agg(F.sum(F.col("s") * F.col("w")) / F.sum("w")).first()[0]
 
+    if width <= GRID_COLUMNS and len(sizes) <= GRID_CLUSTERS:
+        return mean_score(points, sizes, n, width)
+
     # Random blocks of equal size: every pair of blocks meets once, in its own task.
     blocks = math.ceil(n / block_rows)
     numbered = cut(points.withColumn("i", F.monotonically_increasing_id()), "numbered")

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,6 +352,60 @@ def test_wide_silhouette(spark):
         assert silhouette(df, "features", "c", broadcast_rows=broadcast_rows, block_rows=40) == pytest.approx(brute_silhouette(x, c), abs=1e-9)
 
 
+@pytest.mark.parametrize("width,clusters", [(1, 3), (2, 3), (2, 40), (3, 2)])
+def test_silhouette_of_many_narrow_points(spark, monkeypatch, width, clusters):
+    """Far points act by grids; no step compares all points with all."""
+    import tablewright.operators.distance_sums as sums
+    import tablewright.operators.silhouette as module
+
+    def refused(a, b):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(module, "product_distances", refused)
+    monkeypatch.setattr(module, "mean_score", lambda *a: sums.mean_score(*a, block_points=1_500, leaf_points=300))
+    rng = np.random.default_rng(11)
+    x = rng.random((4_000, width)) + 3 * rng.integers(0, 2, (4_000, 1))
+    x[:500] = x[500:1_000]
+    x[-1] = 1e4
+    c = rng.integers(0, clusters, 4_000) if clusters > 3 else (4 * x[:, 0]).astype(int) % clusters
+    c[7] = 99
+    df = frame(spark, [(p.tolist(), int(k)) for p, k in zip(x, c)], "features array<double>, c long")
+    d = np.sqrt(sum((x[:, j, None] - x[None, :, j]) ** 2 for j in range(width)))
+    names, code = np.unique(c, return_inverse=True)
+    size, total = np.bincount(code), d @ np.eye(len(names))[code]
+    at = np.arange(len(x))
+    own, means = total[at, code] / np.maximum(size[code] - 1, 1), total / size
+    means[at, code] = np.inf
+    other = means.min(axis=1)
+    expected = np.where(size[code] > 1, (other - own) / np.maximum(own, other), 0.0).mean()
+    assert module.silhouette(df, "features", "c", broadcast_rows=10) == pytest.approx(expected, abs=1e-10)
+
+
+def test_grids_leave_few_points_to_meet():
+    """Of 40,000 points in a square a leaf of 300 meets few one by one, and sums keep nine digits."""
+    from tablewright.operators import distance_sums as sums
+
+    rng = np.random.default_rng(5)
+    x = rng.random((40_000, 2))
+    order, nodes = sums._split(x, 300)
+    x = x[order]
+    assert (sums._split(x, 300)[0] == np.arange(len(x))).all()
+    rows = []
+    for i, (start, stop, left, right) in enumerate(nodes):
+        own = x[start:stop]
+        low, high = own.min(axis=0), own.max(axis=0)
+        grid = sums._weights(own, np.ones(len(own)), low, high).tobytes()
+        rows.append((0, i, start, stop, left, right, low, high, [0], grid))
+    tree = sums._Tree(pd.DataFrame(rows, columns=["b", "node", "start", "stop", "left", "right", "lo", "hi", "c", "m"]), 2)
+    for part, far, near in list(sums._views(x, tree, 300))[::40]:
+        met = np.concatenate([np.arange(tree.start[i], tree.stop[i]) for i in near])
+        assert len(met) < 16_000
+        got = tree.grid_sums(x[part], far, 1)
+        sums._pair_sums(x[part], x[met], np.zeros(len(met), int), np.ones(len(met)), got)
+        exact = np.sqrt(((x[part][:, None] - x[None]) ** 2).sum(axis=2)).sum(axis=1)
+        assert got[:, 0] == pytest.approx(exact, rel=1e-9)
+
+
 def test_silhouette_needs_two_clusters(spark):
     df = frame(spark, [([1.0], 0), ([2.0], 0)], "features array<double>, c long")
     assert silhouette(df, "features", "c") is None
