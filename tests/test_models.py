@@ -251,6 +251,21 @@ def test_agglomerative_matches_brute_force(spark, linkage):
     assert partition(agglomerative(df, "id", "features", n_clusters=4, linkage=linkage)) == brute_linkage(x, linkage, 4)
 
 
+def test_agglomerative_compares_distinct_points_only(spark, monkeypatch):
+    """Equal rows take the cluster of their point; centres are compared with every point once."""
+    from tablewright.clustering import hierarchy
+
+    seen, inner = [], hierarchy.assign
+    monkeypatch.setattr(hierarchy, "assign", lambda df, *a: seen.append(df.count()) or inner(df, *a))
+    x = np.random.default_rng(5).normal(size=(40, 2))
+    df = spark.createDataFrame([(i, x[i % 40].tolist()) for i in range(400)], "id long, features array<double>")
+    for linkage in ("ward", "average", "complete"):
+        copies = partition(agglomerative(df, "id", "features", n_clusters=4, linkage=linkage))
+        tree = cut_tree(40, merge_tree(x, np.full(40, 10.0), linkage), 4, None)
+        assert copies == {frozenset(i for i in range(400) if tree[i % 40] == k) for k in set(tree.tolist())}
+    assert seen == [40, 40, 40]
+
+
 def test_single_linkage_by_threshold(spark):
     x = np.random.default_rng(6).uniform(0, 5, (60, 2))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
