@@ -3,13 +3,19 @@
 The affinity is an edge table. Its nodes are drawn together along strong edges, level by
 level, until a small graph is left whose leading eigenvectors the driver computes. On the
 way back every level takes over the vectors of the level above and improves them by block
-iteration: edges are joined to the vectors, summed per node, and made orthonormal again
-through their small Gram matrix. A graph that is small from the start has one level.
+iteration: blocks of edges are joined to the vectors, summed per node, and made orthonormal
+again through their small Gram matrix. A graph that is small from the start has one level.
+
+Nodes are numbered in the order of their points, so the edges of a range of nodes lead to
+few others: each range holds its edges as one block and asks once for what it needs of a node.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,70 +33,163 @@ COARSE = 2_000
 CENTRES = 4
 # An edge is strong enough to be drawn together from this share of its node's strongest one.
 STRONG = 0.25
+# Nodes whose edges make a block, about; fewer if each has more than ten neighbours.
+BLOCK_NODES = 16_384
 # Block iterations on every finer level.
 STEPS = 2
 # Weight of edges that only keep a graph connected, relative to its usual ones.
 FAINT = 1e-6
 
 
-def affinity_graph(points: DataFrame, affinity: str, gamma: float, n_neighbors: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, loop, degree, w, x) and edges (u, v, a), both ways, of ``points(pid, x, w)``.
+def _merged(u: np.ndarray, v: np.ndarray, a: np.ndarray, total=np.add) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges in the order of their ends, equal ones as one."""
+    order = np.lexsort((a, v, u))
+    u, v, a = u[order], v[order], a[order]
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+    return u[first], v[first], total.reduceat(a, first)
+
+
+def _packed(edges: DataFrame, shift: int, total=np.add) -> DataFrame:
+    """(block, u, v, a): the edges (u, v, a) of 2 to the ``shift`` node numbers in one row, as bytes, equal ones as one."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v, a = _merged(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["a"].to_numpy(), total)
+        return pd.DataFrame({"block": [int(u[0]) >> shift], "u": [u.tobytes()], "v": [v.tobytes()], "a": [a.tobytes()]})
+
+    return cut(edges.withColumn("block", F.shiftright("u", shift)).groupBy("block").applyInPandas(pack, "block long, u binary, v binary, a binary"), "edges")
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row.u, np.int64), np.frombuffer(row.v, np.int64), np.frombuffer(row.a)
+
+
+def _edge_rows(packed: DataFrame) -> DataFrame:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                yield pd.DataFrame(dict(zip("uva", _unpacked(row))))
+
+    return packed.mapInPandas(rows, "u long, v long, a double")
+
+
+def _asked(packed: DataFrame) -> DataFrame:
+    """(block, id): the nodes at either end of a block's edges."""
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                u, v, _ = _unpacked(row)
+                yield pd.DataFrame({"id": np.union1d(u, v)}).assign(block=row.block)
+
+    return cut(packed.mapInPandas(ends, "id long, block long"), "asked")
+
+
+def _meet(packed: DataFrame, asked: DataFrame, values: DataFrame, run, schema: str) -> DataFrame:
+    """``run(u, v, a, ids, rows)`` for every block with the ``values(id, ...)`` of its nodes, rows in the order of ids."""
+    def each(edges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        return run(*_unpacked(next(edges.itertuples())), rows["id"].to_numpy(), rows)
+
+    return packed.groupBy("block").cogroup(asked.join(values, "id").groupBy("block")).applyInPandas(each, schema)
+
+
+def affinity_graph(points: DataFrame, affinity: str, gamma: float, n_neighbors: int, shift: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, loop, degree, w, x) and blocks of edges, both ways, of ``points(pid, x, w)``.
 
     ``n_neighbors`` counts the point itself. A point of weight w stands for w equal rows; the
     affinities among those are its loop. ``rbf`` edges weigh exp(-gamma d^2), the others 1,
     or half if only one end counts the other among its neighbours.
     """
-    found = neighbour_edges(points, max(1, n_neighbors - 1))
+    found = neighbour_edges(points.select("pid", "x", "w"), max(1, n_neighbors - 1), carried=("w",), distinct=True)
     weight = F.greatest(F.exp(-gamma * F.col("d") * F.col("d")), F.lit(1e-12)) if affinity == "rbf" else F.lit(0.5)
-    ways = found.select("u", "v", weight.alias("a")).union(found.select(F.col("v").alias("u"), F.col("u").alias("v"), weight.alias("a")))
-    total = F.max("a") if affinity == "rbf" else F.sum("a")
-    masses = points.select(F.col("pid").alias("u"), F.col("w").cast("double").alias("w"))
-    both = ways.groupBy("u", "v").agg(total.alias("a")).join(masses, "u").join(masses.select(F.col("u").alias("v"), F.col("w").alias("w2")), "v")
-    edges = cut(both.select("u", "v", (F.col("a") * F.col("w") * F.col("w2")).alias("a")), "edges")
+    masses = points.select(F.col("pid").alias("u"), F.col("w").cast("double").alias("w1"))
+    one_way = found.join(masses, "u").select("u", "v", (weight * F.col("w1") * F.col("w")).alias("a"))
+    both = one_way.select(F.inline(F.array(F.struct("u", "v", "a"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "a"))))
+    edges = _packed(both, shift, np.maximum if affinity == "rbf" else np.add)
     nodes = points.select(F.col("pid").alias("id"), (F.col("w") * (F.col("w") - 1)).cast("double").alias("loop"), F.col("w").cast("double").alias("w"), "x")
     return _with_degrees(nodes, edges), edges
 
 
 def _with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    sums = edges.groupBy("u").agg(F.sum("a").alias("_sum"))
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                u, _, a = _unpacked(row)
+                ids, first = np.unique(u, return_index=True)
+                yield pd.DataFrame({"u": ids, "_sum": np.add.reduceat(a, first)})
+
+    sums = edges.mapInPandas(add, "u long, _sum double")
     out = nodes.join(sums, F.col("id") == F.col("u"), "left").withColumn("degree", F.col("loop") + F.coalesce("_sum", F.lit(0.0)))
     return cut(out.select("id", "loop", F.greatest("degree", F.lit(1e-300)).alias("degree"), "w", "x"), "nodes")
 
 
+def _hashed(ids: np.ndarray, level: int) -> np.ndarray:
+    z = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _ties(edges: DataFrame, level: int) -> DataFrame:
+    """(id, own, top): a node's centre, if it is one or has a strong edge to one, and the node of its strongest edge."""
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                u, v, a = _unpacked(row)
+                mixed = _hashed(v, level)
+                order = np.lexsort((mixed, a, u))
+                u, v, a, centre = u[order], v[order], a[order], (mixed % np.uint64(CENTRES) == 0)[order]
+                last = np.flatnonzero(np.r_[u[1:] != u[:-1], True])
+                ids, top, most = u[last], v[last], a[last]
+                strong = centre & (a >= STRONG * most[np.searchsorted(ids, u)])
+                cu, cv = u[strong], v[strong]
+                end = np.flatnonzero(np.r_[cu[1:] != cu[:-1], True][:len(cu)])
+                own = pd.Series(pd.NA, index=ids, dtype="Int64")
+                own[cu[end]] = cv[end]
+                itself = ids[_hashed(ids, level) % np.uint64(CENTRES) == 0]
+                own[itself] = itself
+                yield pd.DataFrame({"id": ids, "own": own.array, "top": top})
+
+    return edges.mapInPandas(choose, "id long, own long, top long")
+
+
 def _mean(width: int) -> Column:
     return F.array(*[F.sum(F.col("x")[j] * F.col("w")) / F.sum("w") for j in range(width)])
 
 
-def coarsen(nodes: DataFrame, edges: DataFrame, level: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parents (id, parent), nodes, edges) of the next coarser graph.
+def coarsen(nodes: DataFrame, edges: DataFrame, asked: DataFrame, level: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parents (id, parent), nodes without degrees, edges as rows) of the next coarser graph.
 
     Some nodes, chosen by hash, are centres. Every other node goes to the centre it has its
-    strongest edge to, if that edge is strong for it; otherwise it stays by itself.
+    strongest edge to, if that edge is strong for it; otherwise it follows the node of its
+    strongest edge to that one's centre. Two that are left with each other make a pair, others
+    stay by themselves. Edges of nodes to themselves weigh 0; they keep nodes without others in their blocks.
     """
-    centre = lambda c: F.pmod(F.xxhash64(F.lit(level), F.col(c)), F.lit(CENTRES)) == 0
-    best = edges.where(~centre("u")).groupBy("u").agg(
-        F.max("a").alias("most"), F.max(F.when(centre("v"), F.struct("a", F.xxhash64("v").alias("h"), "v"))).alias("to"))
-    best = best.where(F.col("to.a") >= STRONG * F.col("most")).select(F.col("u").alias("id"), F.col("to.v").alias("parent"))
-    parents = cut(nodes.select("id").join(best, "id", "left").select("id", F.coalesce("parent", "id").alias("parent")), "parents")
-    up = parents.select(F.col("id").alias("u"), F.col("parent").alias("pu"))
-    joint = edges.join(up, "u").join(up.withColumnsRenamed({"u": "v", "pu": "pv"}), "v").groupBy("pu", "pv").agg(F.sum("a").alias("a"))
-    joint = cut(joint, "joint")
-    inner = joint.where("pu = pv").select(F.col("pu").alias("parent"), F.col("a").alias("inner"))
+    ties = cut(_ties(edges, level), "ties")
+    left = ties.where("own is null").select("id", "top")
+    followed = left.join(ties.select(F.col("id").alias("top"), F.col("own").alias("_own"), F.col("top").alias("_back")), "top")
+    pair = F.when(F.col("_back") == F.col("id"), F.least("id", "top"))
+    chosen = ties.where("own is not null").select("id", F.col("own").alias("parent")).union(followed.select("id", F.coalesce("_own", pair)))
+    parents = cut(nodes.select("id").join(chosen, "id", "left").select("id", F.coalesce("parent", "id").alias("parent")), "parents")
+
+    def rename(u, v, a, ids, rows):
+        parent = rows["parent"].to_numpy()
+        return pd.DataFrame(dict(zip("uva", _merged(parent[np.searchsorted(ids, u)], parent[np.searchsorted(ids, v)], a))))
+
+    joint = cut(_meet(edges, asked, parents, rename, "u long, v long, a double"), "joint")
+    inner = joint.where("u = v").groupBy(F.col("u").alias("parent")).agg(F.sum("a").alias("inner"))
     merged = nodes.join(parents, "id").groupBy("parent").agg(F.sum("loop").alias("loop"), _mean(width).alias("x"), F.sum("w").alias("w"))
     merged = merged.join(inner, "parent", "left").select(
         F.col("parent").alias("id"), (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop"), "w", "x")
-    edges = joint.where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"), "a")
-    return parents, _with_degrees(merged, edges), edges
+    return parents, merged, joint.withColumn("a", F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col("a")))
 
 
-def _relinked(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def _relinked(nodes: DataFrame, edges: DataFrame, k: int, shift: int) -> DataFrame:
     """More edges, faint ones, between nodes and those nearest to them, where no edges are left to draw together along."""
     near = neighbour_edges(nodes.select(F.col("id").alias("pid"), "x"), k)
     first = near.groupBy("u").agg(F.min("d").alias("d0"))
     faint = near.join(first, "u").join(nodes.select(F.col("id").alias("u"), "degree"), "u").select(
         "u", "v", (FAINT * F.col("degree") * F.pow(F.try_divide(F.col("d0"), F.col("d")), F.lit(2))).alias("a"))
     faint = faint.union(faint.select(F.col("v").alias("u"), F.col("u").alias("v"), "a"))
-    return cut(edges.union(faint).groupBy("u", "v").agg(F.sum("a").alias("a")), "edges")
+    return _packed(_edge_rows(edges).union(faint), shift)
 
 
 def _bridges(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -120,24 +219,29 @@ def _bridges(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _leading(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(id, v): the leading eigenvectors of a small graph."""
+    """(id, v0, ...): the leading eigenvectors of a small graph."""
     rows = nodes.orderBy("id").toPandas()
     at = {int(i): n for n, i in enumerate(rows["id"])}
     a = np.zeros((len(rows), len(rows)))
-    for r in edges.collect():  # at most COARSE squared
-        a[at[r.u], at[r.v]] = r.a
+    for r in edges.collect():  # at most COARSE squared edges, in blocks
+        for u, v, each in zip(*(t.tolist() for t in _unpacked(r))):
+            a[at[u], at[v]] = each
     a = (a + a.T) / 2
     a += _bridges(a, matrix(rows["x"], 1))
     a[np.diag_indices_from(a)] = rows["loop"]
     scale = 1.0 / np.sqrt(np.maximum(a.sum(axis=1), 1e-300))
     _, vectors = np.linalg.eigh(scale[:, None] * a * scale[None, :])
-    schema = "id long, v array<double>"
-    return nodes.sparkSession.createDataFrame([(int(i), [float(t) for t in v]) for i, v in zip(rows["id"], vectors[:, -k:])], schema)
+    schema = "id long, " + ", ".join(f"{c} double" for c in _names(k))
+    return nodes.sparkSession.createDataFrame([(int(i), *[float(t) for t in v]) for i, v in zip(rows["id"], vectors[:, -k:])], schema)
+
+
+def _names(k: int) -> list[str]:
+    return [f"v{j}" for j in range(k)]
 
 
 def _orthonormal(vectors: DataFrame, k: int) -> DataFrame:
-    """(id, v) with columns of length one at right angles, by the inverse root of the Gram matrix."""
-    v = F.col("v")
+    """``vectors(id, loop, degree, v0, ...)`` with columns of length one at right angles, by the inverse root of the Gram matrix."""
+    v = [F.col(c) for c in _names(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     sums = vectors.agg(*[F.sum(v[i] * v[j]) for i, j in pairs]).first()
     gram = np.zeros((k, k))
@@ -145,44 +249,55 @@ def _orthonormal(vectors: DataFrame, k: int) -> DataFrame:
         gram[i, j] = gram[j, i] = s or 0.0
     values, basis = np.linalg.eigh(gram)
     root = basis / np.sqrt(np.maximum(values, max(values.max(), 1e-300) * 1e-14))
-    turned = [sum((v[i] * float(root[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]
-    return vectors.select("id", F.array(*turned).alias("v"))
+    turned = [sum((v[i] * float(root[i, j]) for i in range(k)), F.lit(0.0)).alias(c) for j, c in enumerate(_names(k))]
+    return vectors.select("id", "loop", "degree", *turned)
 
 
-def _improved(vectors: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, steps: int) -> DataFrame:
+def _improved(vectors: DataFrame, edges: DataFrame, asked: DataFrame, k: int, steps: int) -> DataFrame:
     """Some block iterations with half the normalised affinity plus half the identity, whose spectrum is not negative."""
+    names = _names(k)
+
+    def step(u, v, a, ids, rows):
+        loop, degree, x = rows["loop"].to_numpy(), rows["degree"].to_numpy(), rows[names].to_numpy()
+        root = np.sqrt(degree)[:, None]
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        sums = np.add.reduceat((x / root)[np.searchsorted(ids, v)] * a[:, None], first, axis=0)
+        own = np.searchsorted(ids, u[first])
+        moved = (x[own] * (1 + loop / degree)[own, None] + sums / root[own]) / 2
+        return pd.DataFrame(moved, columns=names).assign(id=u[first], loop=loop[own], degree=degree[own])
+
+    schema = "id long, loop double, degree double, " + ", ".join(f"{c} double" for c in names)
     for _ in range(steps):
-        scaled = vectors.join(nodes.select("id", "loop", "degree"), "id")
-        sent = scaled.select(F.col("id").alias("v_"), F.transform("v", lambda t: t / F.sqrt("degree")).alias("t"))
-        got = edges.join(sent, F.col("v") == F.col("v_")).groupBy("u").agg(F.array(*[F.sum(F.col("a") * F.col("t")[j]) for j in range(k)]).alias("s"))
-        moved = scaled.join(got, F.col("id") == F.col("u"), "left")
-        each = [(F.col("v")[j] * (1 + F.col("loop") / F.col("degree")) + F.coalesce(F.col("s")[j], F.lit(0.0)) / F.sqrt("degree")) / 2 for j in range(k)]
-        vectors = _orthonormal(cut(moved.select("id", F.array(*each).alias("v")), "vectors"), k)
-    return cut(vectors, "vectors")
-
-
-def embedding(points: DataFrame, k: int, gamma: float, affinity: str, n_neighbors: int, coarse: int = COARSE) -> DataFrame:
-    """(id, v): leading eigenvectors of the normalised affinity of ``points(pid, x, w)``."""
-    width = len(points.first().x)
-    nodes, edges = affinity_graph(points, affinity, gamma, n_neighbors)
-    levels, n, tries = [], nodes.count(), 0
-    while n > coarse:
+        vectors = _orthonormal(cut(_meet(edges, asked, vectors, step, schema), "vectors"), k)
+    return vectors
+
+
+def embedding(points: DataFrame, k: int, gamma: float, affinity: str, n_neighbors: int, coarse: int = COARSE, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(id, v): leading eigenvectors of the normalised affinity of ``points(pid, x, w)``, pid from 0."""
+    width, n = len(points.first().x), points.count()
+    held = max(1, block_nodes * 10 // max(10, n_neighbors))
+    spaced = lambda m: max(0, int(np.log2(held * n / m)))  # noqa: E731  # numbers thin out as nodes are drawn together
+    nodes, edges = affinity_graph(points, affinity, gamma, n_neighbors, spaced(n))
+    levels, m, tries = [], n, 0
+    while m > coarse:
         tries += 1
-        parents, above, joint = coarsen(nodes, edges, tries, width)
-        m = above.count()
-        if m > 0.9 * n:  # nodes without edges: each that has one goes to a centre with a chance of 1 in CENTRES
-            edges = _relinked(nodes, edges, n_neighbors)
+        asked = _asked(edges)
+        parents, merged, joint = coarsen(nodes, edges, asked, tries, width)
+        above = parents.where("id = parent").count()
+        if above > 0.9 * m:  # nodes without edges: each that has one goes to a centre with a chance of 1 in CENTRES
+            edges = _relinked(nodes, edges, n_neighbors, spaced(m))
             nodes = _with_degrees(nodes.drop("degree"), edges)
             continue
-        levels.append((parents, nodes, edges))
-        nodes, edges, n = above, joint, m
-    vectors = _leading(nodes, edges, k)
-    for parents, finer, edges in reversed(levels):
-        up = vectors.join(nodes.select("id", "degree"), "id").select(F.col("id").alias("parent"), F.transform("v", lambda t: t / F.sqrt("degree")).alias("v"))
-        down = finer.join(parents, "id").join(up, "parent").select("id", F.transform("v", lambda t: t * F.sqrt("degree")).alias("v"))
-        vectors = _improved(cut(down, "vectors"), finer, edges, k, STEPS)
-        nodes = finer
-    return vectors
+        levels.append((parents, nodes, edges, asked))
+        m = above
+        edges = _packed(joint, spaced(m))
+        nodes = _with_degrees(merged, edges)
+    vectors = _leading(nodes, edges, k).join(nodes.select("id", "loop", "degree"), "id")
+    for parents, finer, edges, asked in reversed(levels):
+        up = vectors.select(F.col("id").alias("parent"), *[(F.col(c) / F.sqrt("degree")).alias(c) for c in _names(k)])
+        down = finer.join(parents, "id").join(up, "parent").select("id", "loop", "degree", *[(F.col(c) * F.sqrt("degree")).alias(c) for c in _names(k)])
+        vectors = _improved(down, edges, asked, k, STEPS)
+    return vectors.select("id", F.array(*_names(k)).alias("v"))
 
 
 def spectral(df: DataFrame, id_column: str, features, n_clusters: int = 8, n_components: int | None = None, gamma: float = 1.0,

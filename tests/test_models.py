@@ -1,5 +1,6 @@
 """Trainers against closed forms and brute force; clusterers against small exact answers."""
 
+import importlib
 import math
 from types import SimpleNamespace
 
@@ -21,6 +22,7 @@ from tablewright.learners import margins
 from tablewright.learners.base import load_model, save_model
 from tablewright.learners.catalogue import train
 from tablewright.plans.train import train_job, train_model
+from tablewright.runtime import cut
 from tablewright.sources.registry import model_metrics, read_registry
 
 RNG = np.random.default_rng(11)
@@ -368,6 +370,42 @@ def test_spectral_rings_over_levels(spark, coarse):
     assert partition(spectral(df, "id", "features", n_clusters=2, n_init=1, affinity="nearest_neighbors", coarse=coarse)) == want
 
 
+def test_spectral_takes_few_levels(spark, monkeypatch):
+    """Nodes without a centre beside them follow their neighbours, so that every graph has at most half the nodes of the one before."""
+    module, sizes = importlib.import_module("tablewright.clustering.spectral"), []
+
+    def counted(df, label="table"):
+        out = cut(df, label)
+        if label == "nodes":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut", counted)
+    x = [(i, [float(i % 3) * 100 + (i // 3) % 20, float(i // 60)]) for i in range(1_200)]
+    df = spark.createDataFrame(x, "id long, features array<double>")
+    labels = partition(spectral(df, "id", "features", n_clusters=3, n_init=1, affinity="nearest_neighbors", coarse=60))
+    assert labels == {frozenset(range(j, 1_200, 3)) for j in range(3)}
+    assert len(sizes) > 3 and all(b <= a / 2 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_spectral_block_step_is_a_matrix_product(spark):
+    module = importlib.import_module("tablewright.clustering.spectral")
+    rng, n = np.random.default_rng(5), 60
+    a = np.triu(rng.uniform(size=(n, n)) * (rng.uniform(size=(n, n)) < 0.1), 1)
+    a, loop = a + a.T, rng.uniform(size=n)
+    a[:, 7] = a[7] = 0  # a node by itself
+    rows = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))] + [(i, i, 0.0) for i in range(n)]
+    edges = module._packed(spark.createDataFrame(rows + rows[:1], "u long, v long, a double"), 3, np.maximum)
+    degree, v = a.sum(axis=1) + loop, rng.normal(size=(n, 2))
+    vectors = spark.createDataFrame([(i, float(loop[i]), float(degree[i]), *map(float, v[i])) for i in range(n)], "id long, loop double, degree double, v0 double, v1 double")
+    out = module._improved(vectors, edges, module._asked(edges), 2, 1).orderBy("id").toPandas()
+    root = np.sqrt(degree)
+    full = (v + (a + np.diag(loop)) / root[:, None] / root[None, :] @ v) / 2
+    values, basis = np.linalg.eigh(full.T @ full)
+    assert edges.count() == 8 and out["id"].tolist() == list(range(n))
+    assert np.allclose(out[["v0", "v1"]].to_numpy(), full @ (basis / np.sqrt(values)), atol=1e-10)
+
+
 def test_spectral_splits_what_hangs_together(spark):
     """Two clumps joined by a thin line fall apart in its middle; more parts than clusters go with the nearest."""
     rng = np.random.default_rng(7)
